@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import language_id, quality
+from . import compaction, language_id, quality, warc
 
-_MODULES = [language_id, quality]
+_MODULES = [language_id, compaction, quality, warc]
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: s for m in _MODULES for k, s in getattr(m, "ORACLES", {}).items()}
