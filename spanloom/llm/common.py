@@ -78,8 +78,10 @@ def map_texts(df: DataFrame, kept: list[str], text: str, ddl: str, make: Callabl
     """kept columns of df and the columns of ddl, which make()(texts) gives for a slice of rows.
 
     make is called once a task, so it may set up tables. Null texts arrive as None. No row is
-    dropped or added.
+    dropped or added. A kept column that has the name of a given one gives way to it.
     """
+    given = {f.name.lower() for f in T._parse_datatype_string(ddl).fields}
+    kept = [c for c in kept if c.lower() not in given]
     out = T.StructType([df.schema[c] for c in kept] + list(T._parse_datatype_string(ddl).fields))
     schema = arrow_schema(out)
 
