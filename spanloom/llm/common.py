@@ -62,6 +62,12 @@ def discard(spark: SparkSession, *tables: DataFrame | str) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def plain_unions(spark: SparkSession) -> None:
+    """Unions that keep their inputs' partitioning (new in Spark 4.1) go wrong when adaptive
+    execution coalesces those inputs differently; what follows a union is shuffled anew."""
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+
+
 def arrow_schema(ddl: str | T.StructType) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialise
+from .common import discard, materialise, plain_unions
 
 
 def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
@@ -15,6 +15,7 @@ def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
     half round is a table in the shared folder, so a lost executor costs one half round.
     """
     spark = edges.sparkSession
+    plain_unions(spark)
     now = materialise(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "cc")
     for _ in range(most_rounds):
         both = now.union(now.select("v", "u"))

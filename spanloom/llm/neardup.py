@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, discard, materialise, slices
+from .common import arrow_schema, discard, materialise, plain_unions, slices
 from .graph import components
 from .grams import mix, shingles, words
 
@@ -259,6 +259,7 @@ def _forest(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = NGRAM, threshold: float = THRESHOLD, recall: float = RECALL, hashes: int = HASHES) -> DataFrame:
     """(id, class_id, n_links, n_copies), one row for each row of docs."""
     spark = docs.sparkSession
+    plain_unions(spark)
     bands, rows = plan_bands(threshold, recall, hashes)
     k = bands * rows
     # Sketches of one byte agree by chance in 1/256 of the places that differ.
