@@ -137,7 +137,7 @@ def having_parent(x, y) -> Node:
 # Mailboxes: messages begin with "From " at the start of a line, headers end with an empty line.
 def _after_newline(text: str) -> Node:
     """text at the start of a line."""
-    return phrase("\n" + text).last_bytes(len(text)).or_(start.to(phrase(text)).shorter(len(text) + 1).equal(phrase(text)))
+    return phrase("\n" + text).last_bytes(len(text)).or_(phrase(text).containing(start))
 
 
 def mail_start() -> Node:

@@ -30,6 +30,9 @@ class Compiler:
     marks: DataFrame | None = None
 
     def run(self, node: Node) -> DataFrame:
+        # Unions that keep their inputs' partitioning (new in Spark 4.1) go wrong when adaptive
+        # execution coalesces those inputs differently: joins above fail or miss partners.
+        self.docs.sparkSession.conf.set("spark.sql.unionOutputPartitioning", "false")
         node = rewrite(node)
         self.patterns = sorted({(n.op, n.args[0]) for n in walk(node) if n.op in ("phrase", "class")})
         if self.patterns:
