@@ -118,7 +118,7 @@ class Sql:
             s, e = "e + 1" if op[0] == "_" else "s", "ns - 1" if op[1] == "_" else "ne"
             return f"SELECT DISTINCT d, s, e FROM (SELECT d, {s} AS s, {e} AS e FROM ({nx}) WHERE k = 1 AND nk = -1) WHERE s <= e"
         if "quote" in op:
-            step = self.add(f"SELECT x.d, x.s, x.e, r.s AS rs, r.e AS re FROM (SELECT d, s, e FROM {a}) x ASOF JOIN (SELECT d, s, max(-e) * -1 AS e FROM {b} GROUP BY d, s) r ON x.d = r.d AND r.s > x.e")
+            step = self.add(f"SELECT x.d, x.s, x.e, r.s AS rs, r.e AS re FROM (SELECT d, s, e FROM {a}) x ASOF JOIN (SELECT d, s, min(e) AS e FROM {b} GROUP BY d, s) r ON x.d = r.d AND r.s > x.e")
             first = f"SELECT d, min(s) AS s FROM {a} GROUP BY d"
             nxt = self.add(f"SELECT t.d, t.s, t.e, t.rs, t.re, n.s AS ns, n.e AS ne FROM {step} t ASOF LEFT JOIN (SELECT d, s, min(e) AS e FROM {a} GROUP BY d, s) n ON t.d = n.d AND n.s > t.re")
             heads = self.add(f"SELECT t.* FROM {nxt} t JOIN (SELECT x.d, x.s, min(x.e) AS e FROM {a} x JOIN ({first}) f ON f.d = x.d AND f.s = x.s GROUP BY x.d, x.s) h ON h.d = t.d AND h.s = t.s AND h.e = t.e")

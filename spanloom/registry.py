@@ -2,14 +2,268 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .functions import output
+from .functions.macros import MACROS
+from .model import docs_from, with_offsets
+from .plans.parser import parse
+from .plans.sql import to_sql
+from .search import search, search_streams
+from .sources.files import in_files
+from .sources.index import Index, build_index
+from .sources.shared import scratch
 
-def queries():
-    return {}
+TABLES = {"documents": ("doc_id", "text"), "pages": ("page_id", "html"), "benchmark": ("item_id", "text"), "events": ("event_id", "props")}
+STREAMS = "SELECT conv_id AS d, conv_id::VARCHAR AS name, string_agg(text, '' ORDER BY turn) AS t FROM conversations WHERE text IS NOT NULL GROUP BY conv_id"
+FLAGSHIP = '("<title>" .. "</title>") containing word("the*")'
 
+#: name -> (table, expression); each has an oracle made from the same expression.
+EXPRESSIONS: dict[str, tuple[str, str]] = {
+    "phrase": ("documents", '"token"'),
+    "phrase_escapes": ("documents", '"\\n" or "\\""'),
+    "parentheses": ("documents", '"the" .. ("." or ",")'),
+    "left_association": ("documents", '"the" .. "." or ","'),
+    "start": ("documents", "start"),
+    "end": ("documents", "end"),
+    "chars": ("benchmark", "chars"),
+    "constant_list": ("benchmark", "[(0,3) (2,9)]"),
+    "char_class": ("benchmark", '"a" or "e" or "o"'),
+    "file": ("documents", 'file("1*")'),
+    "word": ("documents", 'word("the")'),
+    "word_prefix": ("documents", 'word("tok*")'),
+    "in": ("documents", '"the" in LINES'),
+    "not_in": ("documents", '"the" not in ("the" .. ".")'),
+    "containing": ("documents", 'LINES containing "token"'),
+    "not_containing": ("documents", 'LINES not containing "the"'),
+    "equal": ("documents", '("the" .. ".") equal ("the" .. ("." or ","))'),
+    "not_equal": ("documents", '("the" .. ".") not equal ("the" .. ("." or ","))'),
+    "inner": ("pages", 'inner("<p>" .. "</p>" or ("<div" .. "</div>") or ("<p>" .. "</div>"))'),
+    "outer": ("pages", 'outer("<p>" .. "</p>" or ("<div" .. "</div>") or ("<p>" .. "</div>"))'),
+    "parenting": ("pages", '("<div" .. "</div>" or ("<body" .. "</body>")) parenting "<p>"'),
+    "childrening": ("pages", '("<div" .. "</div>" or ("<p>" .. "</p>")) childrening ("<body" .. "</body>")'),
+    "near": ("documents", 'word("and") near(12) word("the")'),
+    "before": ("documents", 'word("and") before(12) word("the")'),
+    "pair_dots": ("pages", '"<p>" .. "</p>"'),
+    "pair_without_right": ("pages", '"<p>" ._ "</p>"'),
+    "pair_without_left": ("pages", '"<p>" _. "</p>"'),
+    "pair_without_both": ("pages", '"<p>" __ "</p>"'),
+    "pair_braces": ("events", '"{" .. "}"'),
+    "quote": ("documents", '"the " quote "."'),
+    "quote_without_left": ("documents", '"the " _quote "."'),
+    "quote_without_right": ("documents", '"the " quote_ "."'),
+    "quote_without_both": ("events", '"\\"" _quote_ "\\""'),
+    "or": ("documents", '"the" or "and" or "la"'),
+    "extracting": ("benchmark", 'ALL extracting ("th" or " " or "an")'),
+    "concat": ("benchmark", 'concat("th" or "he" or "an" or " ")'),
+    "join_n": ("documents", 'join(3, "the")'),
+    "in_run": ("documents", '("the" .. ".") in join(40, chars)'),
+    "first_bytes": ("documents", 'first_bytes(5, "the" .. ".")'),
+    "last_bytes": ("documents", 'last_bytes(5, "the" .. ".")'),
+    "first_in": ("documents", 'FIRST_IN("the", LINES)'),
+    "second_in": ("documents", 'SECOND_IN("the", LINES)'),
+    "third_in": ("documents", 'THIRD_IN("the", LINES)'),
+    "last_in": ("documents", 'LAST_IN("the", LINES)'),
+    "lines": ("documents", "LINES"),
+    "empty_lines": ("documents", "ELINE"),
+    "words": ("benchmark", "WORDS"),
+    "numerals": ("documents", "concat(NUMERAL)"),
+    "regs_after": ("documents", 'REGS_AFTER(2, "the", "token")'),
+    "regs_before": ("documents", 'REGS_BEFORE(2, "the", "token")'),
+    "followed_by": ("documents", 'FBY("th", "er")'),
+    "all_text": ("documents", "ALL"),
+    "titles_containing": ("pages", FLAGSHIP),
+}
 
-def oracle_sql():
-    return {}
+
+def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return docs_from(spark.read.parquet(f"{sf_dir}/{table}.parquet"), *TABLES[table])
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles of web pages that contain a word, with their text."""
+    docs = read(spark, sf_dir, "pages")
+    return output.with_text(search(docs, FLAGSHIP), docs)
+
+
+def _expression(table: str, query: str) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: search(read(spark, sf_dir, table), query)
+
+
+def stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions over whole conversations: a turn is a file, a conversation is a stream."""
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return search_streams(turns, '"." .. "the"', "conv_id", "turn")
+
+
+def stream_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with the turn that each region begins in."""
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return in_files(stream(spark, sf_dir), turns, "conv_id", "turn")
+
+
+def ignore_case(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(read(spark, sf_dir, "documents"), '"TOKEN"', ignore_case=True)
+
+
+def stags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(read(spark, sf_dir, "pages"), 'stag("p")')
+
+
+def etags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(read(spark, sf_dir, "pages"), 'etag("p")')
+
+
+def named_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(read(spark, sf_dir, "pages"), 'ELEMENTS("p")')
+
+
+def all_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(read(spark, sf_dir, "pages"), "elements")
+
+
+_LINES = '"token" .. "\\n"'
+
+
+def output_short(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return output.short(search(docs, '"th" or "he" or "re"'), docs)
+
+
+def output_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return output.long(search(docs, _LINES), with_offsets(docs))
+
+
+def output_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return output.formatted(search(docs, _LINES), with_offsets(docs), "%n|%f|%i-%j|%l|%r")
+
+
+def output_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "benchmark").withColumn("base", F.lit(0).cast("long"))
+    return output.filtered(search(docs, '"the "'), docs, "<%r>")
+
+
+def output_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return output.count(search(read(spark, sf_dir, "documents"), '"the"'))
+
+
+def _index(spark: SparkSession, sf_dir: str, table: str = "documents", **options) -> Index:
+    return build_index(read(spark, sf_dir, table), scratch(spark, "index"), **options)
+
+
+def index_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(read(spark, sf_dir, "documents"), 'word("the")', index=_index(spark, sf_dir, with_markup=False))
+
+
+def index_prefix_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _index(spark, sf_dir, with_markup=False).lookup("word", "tok*")
+
+
+def index_range_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _index(spark, sf_dir, with_markup=False).range("ba", "be").select("term", "doc_id", "start_pos", "end_pos")
+
+
+def index_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _index(spark, sf_dir, with_markup=False).terms("a", "c")
+
+
+def index_file_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _index(spark, sf_dir, "benchmark", with_markup=False).docs
+
+
+def index_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _index(spark, sf_dir, "benchmark", with_markup=False).dump()
+
+
+def index_stop_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Terms of an index built without its stop words, which stay listed."""
+    stop = spark.createDataFrame([("the",), ("and",), ("of",)], "term string")
+    return _index(spark, sf_dir, "benchmark", stop_words=stop, with_markup=False).terms("", "")
+
+
+def stop_word_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _index(spark, sf_dir, with_markup=False).stop_word_candidates(200)
+
+
+def term_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _index(spark, sf_dir, with_markup=False).weights().select("term", "postings")
+
+
+def index_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _index(spark, sf_dir, "benchmark", with_markup=False).statistics()
+
+
+_OTHERS = [stream, stream_files, ignore_case, stags, etags, named_elements, all_elements, output_short, output_long, output_format, output_filter, output_count, index_lookup, index_prefix_lookup, index_range_lookup, index_terms, index_file_list, index_dump, index_stop_words, stop_word_candidates, term_weights, index_statistics]
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    out = {name: _expression(*x) for name, x in EXPRESSIONS.items()}
+    return out | {f.__name__: f for f in _OTHERS}
+
+
+def source(table: str) -> str:
+    key, text = TABLES[table]
+    return f"SELECT {key} AS d, {key}::VARCHAR AS name, {text} AS t FROM {table} WHERE {key} IS NOT NULL AND {text} IS NOT NULL"
+
+
+def _sql(table: str, query: str) -> str:
+    return to_sql(parse(query, MACROS), source(table))
+
+
+_WORDS = "[0-9A-Za-zÀ-ÖØ-öø-ɏ]+"
+
+
+def _tokens(table: str) -> str:
+    both = f"regexp_extract_all(t, '{_WORDS}|[^{_WORDS[1:]}')"
+    return f"SELECT c AS term, d AS doc_id, s::BIGINT AS start_pos, (s + length(c) - 1)::BIGINT AS end_pos FROM (SELECT *, sum(length(c)) OVER (PARTITION BY d ORDER BY i) - length(c) AS s FROM (SELECT d, unnest({both}) AS c, generate_subscripts({both}, 1) AS i FROM ({source(table)}))) WHERE regexp_full_match(c, '{_WORDS}')"
+
+
+# Tags by pieces of the page: comments, declarations and scripts are pieces of their own.
+_PIECES = """SELECT d, c, s::BIGINT AS s, (s + length(c) - 1)::BIGINT AS e FROM (SELECT *, sum(length(c)) OVER (PARTITION BY d ORDER BY i) - length(c) AS s FROM (
+SELECT d, unnest(regexp_extract_all(t, '(?s)<!--.*?-->|<[!?][^>]*>|<(?:script|style)[^>]*>.*?</(?:script|style)>|<[^<>]*>|[^<]+|<')) AS c, generate_subscripts(regexp_extract_all(t, '(?s)<!--.*?-->|<[!?][^>]*>|<(?:script|style)[^>]*>.*?</(?:script|style)>|<[^<>]*>|[^<]+|<'), 1) AS i FROM (%s)))""" % source("pages")
+_STAG = f"SELECT d AS doc_id, s AS start_pos, e AS end_pos FROM ({_PIECES}) WHERE regexp_full_match(c, '(?i)<p(\\s[^<>]*)?/?>')"
+_ETAG = f"SELECT d AS doc_id, s AS start_pos, e AS end_pos FROM ({_PIECES}) WHERE regexp_full_match(c, '(?i)</p\\s*>')"
+_ELEMENT = f"""WITH ev AS (SELECT doc_id, start_pos AS p, 1 AS k, start_pos AS s, end_pos AS e FROM ({_STAG}) UNION ALL SELECT doc_id, start_pos, -1, start_pos, end_pos FROM ({_ETAG})),
+lv AS (SELECT *, sum(k) OVER (PARTITION BY doc_id ORDER BY p ROWS UNBOUNDED PRECEDING) + CASE k WHEN 1 THEN 0 ELSE 1 END AS depth FROM ev),
+nx AS (SELECT *, lead(k) OVER w AS nk, lead(e) OVER w AS ne FROM lv WINDOW w AS (PARTITION BY doc_id, depth ORDER BY p))
+SELECT doc_id, s AS start_pos, ne AS end_pos FROM nx WHERE k = 1 AND nk = -1"""
+_LONG = f"""SELECT row_number() OVER (ORDER BY doc_id, start_pos, end_pos) AS ordinal, doc_id::VARCHAR AS file, end_pos - start_pos + 1 AS length,
+(start_pos + base)::BIGINT AS start_pos, (end_pos + base)::BIGINT AS end_pos, start_pos AS file_start_pos, end_pos AS file_end_pos, substr(text, start_pos + 1, end_pos - start_pos + 1) AS region_text
+FROM ({_sql("documents", _LINES)}) JOIN (SELECT doc_id, text, sum(length(text)) OVER (ORDER BY doc_id) - length(text) AS base FROM documents WHERE text IS NOT NULL) USING (doc_id)"""
+_TERMS = "SELECT term, count(*) AS postings FROM ({}) GROUP BY term"
+
+
+def oracle_sql() -> dict[str, str]:
+    out = {name: _sql(*x) for name, x in EXPRESSIONS.items()}
+    words = _tokens("documents")
+    stream_sql = to_sql(parse('"." .. "the"'), STREAMS)
+    islands = "SELECT doc_id, start_pos, end_pos, max(end_pos) OVER (PARTITION BY doc_id ORDER BY start_pos, end_pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM ({})".format(_sql("documents", '"th" or "he" or "re"'))
+    runs = f"SELECT doc_id, min(start_pos) AS start_pos, max(end_pos) AS end_pos FROM (SELECT *, sum(CASE WHEN m IS NULL OR start_pos > m THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY start_pos, end_pos ROWS UNBOUNDED PRECEDING) AS g FROM ({islands})) GROUP BY doc_id, g"
+    return out | {
+        "stream": stream_sql,
+        "stream_files": f"SELECT r.doc_id, r.start_pos, r.end_pos, f.file, (r.start_pos - f.base)::BIGINT AS file_start_pos, (r.end_pos - f.base)::BIGINT AS file_end_pos FROM ({stream_sql}) r JOIN (SELECT conv_id, turn AS file, length(text) AS n, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn) - length(text) AS base FROM conversations WHERE text <> '') f ON f.conv_id = r.doc_id AND r.start_pos >= f.base AND r.start_pos < f.base + f.n",
+        "ignore_case": to_sql(parse('"token"'), source("documents").replace("text AS t", "lower(text) AS t")),
+        "stags": _STAG,
+        "etags": _ETAG,
+        "named_elements": _ELEMENT,
+        "output_short": f"SELECT doc_id, start_pos, end_pos, substr(text, start_pos + 1, end_pos - start_pos + 1) AS region_text FROM ({runs}) JOIN documents USING (doc_id)",
+        "output_long": _LONG,
+        "output_format": f"SELECT ordinal, ordinal || '|' || file || '|' || file_start_pos || '-' || file_end_pos || '|' || length || '|' || region_text AS line FROM ({_LONG})",
+        "output_filter": "SELECT item_id AS doc_id, replace(text, 'the ', '<the >') AS text FROM benchmark WHERE text IS NOT NULL",
+        "output_count": f"SELECT count(*) AS regions FROM ({_sql('documents', chr(34) + 'the' + chr(34))})",
+        "index_lookup": f"SELECT doc_id, start_pos, end_pos FROM ({words}) WHERE term = 'the'",
+        "index_prefix_lookup": f"SELECT DISTINCT doc_id, start_pos, end_pos FROM ({words}) WHERE starts_with(term, 'tok')",
+        "index_range_lookup": f"SELECT term, doc_id, start_pos, end_pos FROM ({words}) WHERE term >= 'ba' AND substr(term, 1, 2) <= 'be'",
+        "index_terms": f"SELECT term, count(*) AS postings, false AS is_stop_word FROM ({words}) WHERE term >= 'a' AND substr(term, 1, 1) <= 'c' GROUP BY term",
+        "index_file_list": "SELECT item_id AS doc_id, item_id::VARCHAR AS name, length(text) AS length FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL",
+        "index_dump": f"SELECT term, doc_id, term || ':[' || string_agg('(' || start_pos || ',' || end_pos || ')', '' ORDER BY start_pos) || ']' AS line FROM ({_tokens('benchmark')}) GROUP BY term, doc_id",
+        "index_stop_words": f"SELECT term, CASE WHEN term IN ('the', 'and', 'of') THEN 0 ELSE count(*) END AS postings, term IN ('the', 'and', 'of') AS is_stop_word FROM ({_tokens('benchmark')}) GROUP BY term",
+        "stop_word_candidates": f"SELECT term, postings FROM ({_TERMS.format(words)}) WHERE (SELECT count(*) FROM ({words})) // postings < 200",
+        "term_weights": _TERMS.format(words),
+        "index_statistics": f"SELECT k.kind, k.terms, k.postings, s.documents, s.characters FROM (SELECT 'word' AS kind, count(DISTINCT term) AS terms, count(*) AS postings FROM ({_tokens('benchmark')}) UNION ALL SELECT 'file', count(DISTINCT item_id), count(*) FROM benchmark WHERE text <> '') k, (SELECT count(*) AS documents, sum(length(text))::BIGINT AS characters FROM benchmark WHERE text IS NOT NULL) s",
+    }
