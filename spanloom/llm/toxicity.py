@@ -37,7 +37,7 @@ TERMS = 1024
 MIN_DF = 4
 PREFIXES = (4, 5, 6, 7)
 NEAREST = 25
-BLOCK = 128
+BLOCK = 512
 OCCURRENCES = 3
 
 
@@ -71,7 +71,7 @@ def occurrences(h: np.ndarray, who: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     hs, ws, cs = [h], [who], [counts]
     for k in range(2, OCCURRENCES + 1):
         more = counts >= k
-        hs.append(mix(h[more] + np.uint64(k) * _M1))
+        hs.append(mix(h[more] + np.array([k], np.uint64) * _M1))
         ws.append(who[more])
         cs.append(counts[more] - k + 1)
     return np.concatenate(hs), np.concatenate(ws), np.concatenate(cs)
@@ -79,58 +79,64 @@ def occurrences(h: np.ndarray, who: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 @dataclass
 class Index:
-    """Block-max inverted index of unit vectors over `terms` dimensions."""
+    """Block-max inverted index of unit vectors over `terms` dimensions.
+
+    Examples are numbered by their heaviest terms, so those of one block are alike and most
+    blocks' bounds are low. A block's postings of one term are kept as a row of BLOCK weights.
+    """
 
     labels: np.ndarray  # of each example
     ids: np.ndarray
     texts: np.ndarray  # number of equal texts' class
     bounds: np.ndarray  # [terms, blocks]: the largest weight of a term in a block
-    at: np.ndarray  # [terms, blocks + 1]: where a block's postings begin
-    who: np.ndarray  # example of each posting, within its block
-    weight: np.ndarray
+    cells: np.ndarray  # of each posting: (block x terms + term) x BLOCK + place
+    weights: np.ndarray
     priors: np.ndarray = field(default_factory=lambda: np.ones(2))
     steps: tuple[np.ndarray, np.ndarray] = (np.zeros(0), np.zeros(0))
     base: float = 0.0
+    rows: np.ndarray | None = None
 
     @staticmethod
     def build(vectors: list[tuple[np.ndarray, np.ndarray]], labels, ids, texts, terms: int) -> Index:
-        n = len(vectors)
+        def heaviest(k):
+            t, w = vectors[k]
+            return tuple(t[np.argsort(-w, kind="stable")[:3]])
+
+        order = sorted((k for k in range(len(vectors)) if len(vectors[k][0])), key=heaviest)
+        n = len(order)
         blocks = max(1, -(-n // BLOCK))
-        t = np.concatenate([v[0] for v in vectors]) if n else np.zeros(0, np.int64)
-        w = np.concatenate([v[1] for v in vectors]) if n else np.zeros(0, np.float32)
-        doc = np.repeat(np.arange(n), [len(v[0]) for v in vectors]) if n else np.zeros(0, np.int64)
-        cell = t * blocks + doc // BLOCK
-        order = np.argsort(cell, kind="stable")
-        cell, doc, w = cell[order], doc[order], w[order]
-        bounds = np.zeros(terms * blocks, np.float32)
-        np.maximum.at(bounds, cell, w)
-        begins = np.searchsorted(cell, np.arange(terms * blocks + 1))
-        at = np.empty((terms, blocks + 1), np.int64)
-        at[:, :-1] = begins[:-1].reshape(terms, blocks)
-        at[:, -1] = begins[blocks::blocks] if terms else 0
-        return Index(np.asarray(labels, np.int64), np.asarray(ids), np.asarray(texts), bounds.reshape(terms, blocks), at, (doc % BLOCK).astype(np.int32), w)
+        t = np.concatenate([vectors[k][0] for k in order]) if n else np.zeros(0, np.int64)
+        w = np.concatenate([vectors[k][1] for k in order]) if n else np.zeros(0, np.float32)
+        doc = np.repeat(np.arange(n), [len(vectors[k][0]) for k in order]) if n else np.zeros(0, np.int64)
+        bounds = np.zeros((terms, blocks), np.float32)
+        np.maximum.at(bounds, (t, doc // BLOCK), w)
+        cells = (doc // BLOCK * terms + t) * BLOCK + doc % BLOCK
+        return Index(np.asarray(labels, np.int64)[order], np.asarray(ids)[order], np.asarray(texts)[order], bounds, cells, w)
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int = NEAREST, without: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(example, cosine) of the k nearest, nearest first; only those that share a term."""
+        if self.rows is None:  # once a task: at most 2 x EXAMPLES x TERMS numbers
+            rows = np.zeros(self.bounds.size * BLOCK, np.float32)
+            rows[self.cells] = self.weights
+            self.rows = rows.reshape(self.bounds.shape[1], -1, BLOCK)
         bound = weights @ self.bounds[terms]
-        order = np.argsort(-bound, kind="stable")
-        best_i, best_s = np.zeros(0, np.int64), np.zeros(0, np.float32)
-        for b in order:
-            if bound[b] <= 0 or (len(best_s) == k and bound[b] < best_s[-1] - 1e-6):
+        best_i, best_s, least = np.zeros(0, np.int64), np.zeros(0, np.float32), 0.0
+        for b in np.argsort(-bound, kind="stable").tolist():
+            if bound[b] <= 0 or bound[b] < least - 1e-4:
                 break
-            score = np.zeros(BLOCK, np.float32)
-            for t, w in zip(terms, weights, strict=True):
-                lo, hi = self.at[t, b], self.at[t, b + 1]
-                if hi > lo:
-                    score[self.who[lo:hi]] += w * self.weight[lo:hi]
-            got = np.flatnonzero(score > 0)
+            score = np.round(weights @ self.rows[b, terms], 5)
+            got = np.flatnonzero(score >= least if least > 0 else score > 0)
+            if not len(got):
+                continue
             ids = got + b * BLOCK
             if without is not None:
                 fine = self.texts[ids] != without
                 got, ids = got[fine], ids[fine]
-            best_i, best_s = np.concatenate((best_i, ids)), np.concatenate((best_s, np.round(score[got], 5)))
+            best_i, best_s = np.concatenate((best_i, ids)), np.concatenate((best_s, score[got]))
             keep = np.lexsort((best_i, -best_s))[:k]
             best_i, best_s = best_i[keep], best_s[keep]
+            if len(best_s) == k:
+                least = float(best_s[-1])
         return best_i, best_s
 
     def vote(self, near: tuple[np.ndarray, np.ndarray]) -> float | None:
@@ -218,7 +224,7 @@ def _roots(terms: np.ndarray) -> np.ndarray:
     may = np.zeros(1 << 20, bool)
     may[(t >> np.uint64(44)).astype(np.int64)] = True
     for k in range(2, OCCURRENCES + 1):
-        base = unmix(t) - np.uint64(k) * _M1
+        base = unmix(t) - (np.array([k], np.uint64) * _M1)
         may[(base >> np.uint64(44)).astype(np.int64)] = True
     return may
 
@@ -281,18 +287,20 @@ def score(docs: DataFrame, labels: DataFrame, kept: list[str], id_col: str = "do
     index = Index.build([tf_idf(t, c, idf) for t, c in zip(got["__t"].to_pylist(), got["__c"].to_pylist(), strict=True)], got["__y"].to_pylist(), got["__id"].to_pylist(), [same.setdefault(x, len(same)) for x in got["__sha"].to_pylist()], k)
     index.base = totals.get(1, 0) / every if every else 0.0
     if k and len(got):
-        counts = np.bincount(index.labels, minlength=2)
+        labels_of, texts_of = np.array(got["__y"].to_pylist()), [same[x] for x in got["__sha"].to_pylist()]
+        counts = np.bincount(labels_of, minlength=2)
         index.priors = np.array([totals.get(y, 0) / max(1, counts[y]) for y in (0, 1)])
         votes = []
         for e in range(len(got)):
             t, w = tf_idf(got["__t"][e].as_py(), got["__c"][e].as_py(), idf)
-            votes.append(index.vote(index.nearest(t, w, nearest, int(index.texts[e]))) if len(t) else None)
+            votes.append(index.vote(index.nearest(t, w, nearest, texts_of[e])) if len(t) else None)
         some = np.array([v is not None for v in votes])
-        weight = index.priors[index.labels]
+        weight = index.priors[labels_of]
         if some.any():
-            index.steps = isotonic(np.array([v for v in votes if v is not None]), index.labels[some].astype(float), weight[some])
+            index.steps = isotonic(np.array([v for v in votes if v is not None]), labels_of[some].astype(float), weight[some])
         if (~some).any():
-            index.base = float((weight * index.labels)[~some].sum() / weight[~some].sum())
+            index.base = float((weight * labels_of)[~some].sum() / weight[~some].sum())
+        index.rows = None
     shared = spark.sparkContext.broadcast((index, idf))  # bounded by examples and terms
     fields = T.StructType([found.schema[c] for c in kept] + list(T._parse_datatype_string("score double, predicted int, evidence array<struct<id:long,cosine:float>>").fields))
     schema = arrow_schema(fields)
