@@ -10,7 +10,8 @@ it, and the share of digits and symbols in the file. Neighbouring tokens belong
 if only white space lies between them, so a secret may go over several lines.
 
 The field is fitted to a bounded sample (TRAIN_TEXTS) of texts with possible tokens: tokens
-in base spans are labelled secret, and secrets of other kinds, with and without a keyword, are
+in base spans are labelled secret; others are labelled outside, but for those that look random,
+which may be secrets that no base pattern knows and are left out. Secrets of other kinds, with and without a keyword, are
 planted in copies of the chains by a seeded generator; identifiers, numbers and digests of
 harmless kinds are planted as outside.
 
@@ -97,6 +98,13 @@ def find_runs(texts: list[str | None]):
     return out
 
 
+def looks_random(w: str) -> bool:
+    """Letters of both cases and digits, or many changes between letters and digits."""
+    digits, uppers, lowers = (any(f(c) for c in w) for f in (str.isdigit, str.isupper, str.islower))
+    changes = sum(a.isdigit() != b.isdigit() for a, b in zip(w, w[1:], strict=False))
+    return (digits and uppers and lowers) or changes >= 5
+
+
 def chains(text: str, tokens: list[tuple[int, int]]) -> list[list[tuple[int, int]]]:
     """Possible tokens with nothing but white space between them."""
     out: list[list[tuple[int, int]]] = []
@@ -301,7 +309,9 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most:
     got = rows.mapInArrow(run, "h long, t string, n double, toks array<int>, labels array<int>").toArrow().sort_by([("h", "ascending"), ("t", "ascending")])
     rng, data, contexts = random.Random(seed), [], []
     for t, n, toks, labels in zip(*(got[c].to_pylist() for c in ("t", "n", "toks", "labels")), strict=True):
-        data.append(([features(t, s, e, n) for s, e in zip(toks[::2], toks[1::2], strict=True)][:8], labels[:8]))
+        places = list(zip(toks[::2], toks[1::2], strict=True))
+        if all(y or not looks_random(t[s:e]) for (s, e), y in zip(places, labels, strict=True)):
+            data.append(([features(t, s, e, n) for s, e in places[:8]], labels[:8]))
         contexts.append((t[: toks[0]], t[toks[-1] :], n))
     contexts = contexts or [("", "", 0.0)]
     for _ in range(max(600, len(data))):
