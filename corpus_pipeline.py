@@ -23,6 +23,8 @@ from spanloom.llm.common import crc_mod, materialise
 
 #: Texts of unknown language, or that fit their language this badly, are rejected.
 LEAST_LANGUAGE_SCORE = 0.2
+#: Numbers of rows to drop (8 bytes each) are broadcast up to this many, and joined by a shuffle beyond.
+BROADCAST_ROWS = 2_000_000
 KNOWN = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -38,10 +40,22 @@ def _whole_rows(stage):
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
-    """docs with a unique number __row, so that rows with equal or no ids are told apart."""
+    """docs with a number __row that tells rows apart: doc_id where that does, else one given here.
+
+    Numbers that are given are written with the rows, as they would not be the same again.
+    """
+    n, ids = docs.agg(F.count(F.lit(1)), F.count_distinct("doc_id")).first()
+    if n == ids:
+        return docs.withColumn("__row", F.col("doc_id").cast("long"))
     return materialise(docs.withColumn("__row", F.monotonically_increasing_id()), "stage", "lz4")
 
 
+def _without(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """rows without those whose __row is in gone, a written table; that is broadcast if it is small."""
+    small = gone.count() <= BROADCAST_ROWS
+    return rows.join(F.broadcast(gone) if small else gone, "__row", "left_anti")
+
+
 @_whole_rows
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = language_id.train(docs.where(crc_mod("doc_id", 4) != 2))
@@ -51,12 +65,12 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @_whole_rows
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class the row with the least number stays: the first in reading order."""
+    """Of each class the row with the least number stays: the least doc_id, if ids tell rows apart."""
     rows = _numbered(docs)
     classes = neardup.near_copies(rows.select("__row", "text"), id_col="__row")
     # A class is named by its least row number, so that row is the one that stays.
-    kept = classes.where("id = class_id").select(F.col("id").alias("__row"))
-    return rows.join(kept, "__row", "left_semi").select(*docs.columns)
+    gone = materialise(classes.where("id != class_id").select(F.col("id").alias("__row")), "gone")
+    return _without(rows, gone).select(*docs.columns)
 
 
 @_whole_rows
@@ -64,7 +78,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     rows = _numbered(docs)
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     leaks = decontaminate.leaks(rows.select("__row", "text"), items, id_col="__row").select(F.col("id").alias("__row")).distinct()
-    return rows.join(leaks, "__row", "left_anti").select(*docs.columns)
+    return _without(rows, materialise(leaks, "leaks")).select(*docs.columns)
 
 
 @_whole_rows
