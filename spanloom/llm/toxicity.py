@@ -1,17 +1,18 @@
 """Toxicity by nearest labelled examples.
 
 Terms are whole words and word beginnings (PREFIXES letters), in lower case, and each is
-counted again at its second and third occurrence, so one chance hit differs from many. The
-labelled examples choose the terms (chi-square with the label, at least MIN_DF examples); their
-document frequencies are counted over all texts. Every text becomes a sparse TF-IDF vector of
-length one. Its nearest examples by exact cosine come from an inverted index whose postings lie
-in blocks of examples with the largest weight of each block and term: blocks are visited by
-falling bound, until no further block can hold a nearer example. Their votes are weighted by
-cosine and by the share of their label among all labelled rows, and made a probability by
-isotonic regression on the examples themselves, each scored without its own and equal texts.
+counted again at its second and third occurrence, so one chance hit differs from many. Every
+term of every labelled example is indexed; document frequencies are counted over all texts. A
+text is a sparse vector of length one over all its terms: TF-IDF, times ORDINARY for terms that
+don't tell the labels apart (chi-square with the label, at least MIN_DF examples). Terms in no
+example count in a text's length as those in no text. A text's nearest examples are by exact
+cosine with every example: products with the rows of the commonest DENSE terms, and postings of
+all others. Their votes are weighted by cosine and by the share of their label among all
+labelled rows, and made a probability by isotonic regression on the examples themselves, each
+scored without its own and equal texts.
 
 Examples are a bounded sample (EXAMPLES of each label, by id hash) of the labelled rows that
-may be learnt from. Defined results: a text without a chosen term, null and empty ones included,
+may be learnt from. Defined results: a text without a term of an example, null and empty ones included,
 has the calibrated score of no vote; without labels of both kinds every score is the share
 of label 1 (0 without labels); equal cosines are taken by example number; several labels of one
 id are each an example; repeated rows are scored each for itself.
@@ -19,25 +20,31 @@ id are each an example; repeated rows are scored each for itself.
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_schema, bounded_sample, codepoints, crc_mod, discard, map_texts, materialise, slices
+from .common import SLICE_ROWS, arrow_schema, bounded_sample, codepoints, crc_mod, slices
 from .grams import _M1, mix, word_table, words
 
 #: Most examples of each label (a documented bound: the model is a classifier).
 EXAMPLES = 4000
-#: Most terms that the examples choose.
-TERMS = 1024
+#: Weight of terms that don't tell the labels apart, of those that do it is 1.
+ORDINARY = 0.05
+CHI = 15
+#: Commonest terms whose weights in all examples are kept as rows.
+DENSE = 1024
 MIN_DF = 4
 PREFIXES = (4, 5, 6, 7)
 NEAREST = 25
-BLOCK = 512
+#: Texts searched for at one time.
+BATCH = 64
 OCCURRENCES = 3
 
 
@@ -61,83 +68,143 @@ def term_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(out), np.concatenate(own)
 
 
-def occurrences(h: np.ndarray, who: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def term_counts(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct hashes, place of the term among them, text, count) of each term of each text, by text."""
+    h, who = term_hashes(texts)
+    distinct, place = np.unique(h, return_inverse=True)
+    size = max(1, len(distinct))
+    key = np.sort(who * size + place)
+    new = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
+    return distinct, key[new] % size, key[new] // size, np.diff(np.append(new, len(key)))
+
+
+def later(h: np.ndarray, k: int) -> np.ndarray:
+    """The term that is the k-th occurrence of a term."""
+    return mix(h + np.array([k], np.uint64) * _M1)
+
+
+def occurrences(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct (hash, text, count): a term's second and third occurrences are terms too."""
-    order = np.lexsort((h, who))
-    h, who = h[order], who[order]
-    new = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (who[1:] != who[:-1]))) if len(h) else np.zeros(0, bool))
-    counts = np.diff(np.append(new, len(h)))
-    h, who = h[new], who[new]
-    hs, ws, cs = [h], [who], [counts]
+    distinct, place, who, counts = term_counts(texts)
+    hs, ws, cs = [distinct[place]], [who], [counts]
     for k in range(2, OCCURRENCES + 1):
         more = counts >= k
-        hs.append(mix(h[more] + np.array([k], np.uint64) * _M1))
+        hs.append(later(distinct[place[more]], k))
         ws.append(who[more])
         cs.append(counts[more] - k + 1)
     return np.concatenate(hs), np.concatenate(ws), np.concatenate(cs)
 
 
 @dataclass
-class Index:
-    """Block-max inverted index of unit vectors over `terms` dimensions.
+class Vocabulary:
+    """All terms of the examples, sorted, and the places of their later occurrences (-1: none)."""
 
-    Examples are numbered by their heaviest terms, so those of one block are alike and most
-    blocks' bounds are low. A block's postings of one term are kept as a row of BLOCK weights.
-    """
+    hashes: np.ndarray
+    others: list[np.ndarray]
+
+    @staticmethod
+    def of(hashes: np.ndarray) -> Vocabulary:
+        v = Vocabulary(hashes, [])
+        v.others = [v.find(later(hashes, k)).astype(np.int32) for k in range(2, OCCURRENCES + 1)]
+        return v
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        if not len(self.hashes):
+            return np.full(len(h), -1)
+        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == h, at, -1)
+
+    def terms(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(term or -1, text, count) of every term of the texts."""
+        distinct, place, who, counts = term_counts(texts)
+        base = self.find(distinct)[place]
+        ts, ws, cs = [base], [who], [counts]
+        for k, other in enumerate(self.others, 2):
+            more = counts >= k
+            at = base[more]
+            ts.append(np.where(at >= 0, other[at], -1) if len(self.hashes) else at)
+            ws.append(who[more])
+            cs.append(counts[more] - k + 1)
+        return np.concatenate(ts), np.concatenate(ws), np.concatenate(cs)
+
+    def vectors(self, texts: list[str | None], weights: np.ndarray, unseen: float) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(terms, weights) of each text; terms in no example count in its length alone."""
+        t, who, c = self.terms(texts)
+        w = (1 + np.log(c)) * np.where(t >= 0, weights[t] if len(weights) else 0.0, unseen)
+        size = np.sqrt(np.bincount(who, w * w, len(texts)))
+        w = (w / np.maximum(size, 1e-12)[who]).astype(np.float32)
+        known = t >= 0
+        t, who, w = t[known], who[known], w[known]
+        order = np.argsort(who, kind="stable")
+        t, w = t[order], w[order]
+        cuts = np.searchsorted(who[order], np.arange(len(texts) + 1)).tolist()
+        return [(t[x:y], w[x:y]) for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
+@dataclass
+class Index:
+    """Inverted index of unit vectors: rows of the commonest terms, postings of the others."""
 
     labels: np.ndarray  # of each example
     ids: np.ndarray
     texts: np.ndarray  # number of equal texts' class
-    bounds: np.ndarray  # [terms, blocks]: the largest weight of a term in a block
-    cells: np.ndarray  # of each posting: (block x terms + term) x BLOCK + place
+    rows: np.ndarray  # [dense terms, examples]
+    row: np.ndarray  # of each term, or -1
+    first: np.ndarray  # first posting of each term, and the number of postings
+    docs: np.ndarray  # of each posting
     weights: np.ndarray
     priors: np.ndarray = field(default_factory=lambda: np.ones(2))
     steps: tuple[np.ndarray, np.ndarray] = (np.zeros(0), np.zeros(0))
     base: float = 0.0
-    rows: np.ndarray | None = None
 
     @staticmethod
-    def build(vectors: list[tuple[np.ndarray, np.ndarray]], labels, ids, texts, terms: int) -> Index:
-        def heaviest(k):
-            t, w = vectors[k]
-            return tuple(t[np.argsort(-w, kind="stable")[:3]])
-
-        order = sorted((k for k in range(len(vectors)) if len(vectors[k][0])), key=heaviest)
-        n = len(order)
-        blocks = max(1, -(-n // BLOCK))
-        t = np.concatenate([vectors[k][0] for k in order]) if n else np.zeros(0, np.int64)
-        w = np.concatenate([vectors[k][1] for k in order]) if n else np.zeros(0, np.float32)
-        doc = np.repeat(np.arange(n), [len(vectors[k][0]) for k in order]) if n else np.zeros(0, np.int64)
-        bounds = np.zeros((terms, blocks), np.float32)
-        np.maximum.at(bounds, (t, doc // BLOCK), w)
-        cells = (doc // BLOCK * terms + t) * BLOCK + doc % BLOCK
-        return Index(np.asarray(labels, np.int64)[order], np.asarray(ids)[order], np.asarray(texts)[order], bounds, cells, w)
+    def build(vectors: list[tuple[np.ndarray, np.ndarray]], labels, ids, texts, terms: int, dense: int = DENSE) -> Index:
+        n = len(vectors)
+        t = np.concatenate([v[0] for v in vectors]) if n else np.zeros(0, np.int64)
+        w = np.concatenate([v[1] for v in vectors]) if n else np.zeros(0, np.float32)
+        doc = np.repeat(np.arange(n), [len(v[0]) for v in vectors]).astype(np.int32) if n else np.zeros(0, np.int32)
+        df = np.bincount(t, minlength=terms)
+        common = np.argsort(-df, kind="stable")[: min(dense, terms)]
+        row = np.full(terms, -1, np.int32)
+        row[common] = np.arange(len(common))
+        rows = np.zeros((len(common), n), np.float32)
+        own = row[t] >= 0
+        rows[row[t[own]], doc[own]] = w[own]
+        t, w, doc = t[~own], w[~own], doc[~own]
+        order = np.argsort(t, kind="stable")
+        first = np.concatenate(([0], np.cumsum(np.bincount(t, minlength=terms))))
+        return Index(np.asarray(labels, np.int64), np.asarray(ids), np.asarray(texts), rows, row, first, doc[order], w[order].astype(np.float32))
+
+    def nearest_many(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int = NEAREST, without: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(example, cosine) of the k nearest, nearest first; only those that share a term."""
+        n, out = self.rows.shape[1], []
+        for at in range(0, len(vectors), BATCH):
+            part = vectors[at : at + BATCH]
+            q = np.zeros((len(part), len(self.rows)), np.float32)
+            rest = []
+            for i, (t, w) in enumerate(part):
+                r = self.row[t]
+                q[i, r[r >= 0]] = w[r >= 0]
+                rest.append((t[r < 0], w[r < 0]))
+            scores = q @ self.rows
+            for i, (t, w) in enumerate(rest):
+                score = scores[i]
+                size = self.first[t + 1] - self.first[t]
+                total = int(size.sum())
+                if total:
+                    places = np.repeat(self.first[t] - (np.cumsum(size) - size), size) + np.arange(total)
+                    score = score + np.bincount(self.docs[places], self.weights[places] * np.repeat(w, size), n)
+                score = np.round(score, 5)
+                if without is not None:
+                    score = np.where(self.texts == without[at + i], 0, score)
+                least = max(np.partition(score, n - k)[n - k], 1e-5) if n > k else 1e-5
+                got = np.flatnonzero(score >= least * (1 - 1e-6))
+                got = got[np.lexsort((got, -score[got]))[:k]]
+                out.append((got, score[got].astype(np.float32)))
+        return out
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int = NEAREST, without: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """(example, cosine) of the k nearest, nearest first; only those that share a term."""
-        if self.rows is None:  # once a task: at most 2 x EXAMPLES x TERMS numbers
-            rows = np.zeros(self.bounds.size * BLOCK, np.float32)
-            rows[self.cells] = self.weights
-            self.rows = rows.reshape(self.bounds.shape[1], -1, BLOCK)
-        bound = weights @ self.bounds[terms]
-        best_i, best_s, least = np.zeros(0, np.int64), np.zeros(0, np.float32), 0.0
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or bound[b] < least - 1e-4:
-                break
-            score = np.round(weights @ self.rows[b, terms], 5)
-            got = np.flatnonzero(score >= least if least > 0 else score > 0)
-            if not len(got):
-                continue
-            ids = got + b * BLOCK
-            if without is not None:
-                fine = self.texts[ids] != without
-                got, ids = got[fine], ids[fine]
-            best_i, best_s = np.concatenate((best_i, ids)), np.concatenate((best_s, score[got]))
-            keep = np.lexsort((best_i, -best_s))[:k]
-            best_i, best_s = best_i[keep], best_s[keep]
-            if len(best_s) == k:
-                least = float(best_s[-1])
-        return best_i, best_s
+        return self.nearest_many([(terms, weights)], k, None if without is None else [without])[0]
 
     def vote(self, near: tuple[np.ndarray, np.ndarray]) -> float | None:
         i, s = near
@@ -165,105 +232,46 @@ def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
     return np.array([p[2] / p[1] for p in pools]), np.array([p[0] / p[1] for p in pools])
 
 
-def choose_terms(sample: DataFrame, most: int = TERMS, min_df: int = MIN_DF) -> np.ndarray:
-    """Hashes of the terms that tell the labels apart best; sample has __y and __text."""
-    schema = arrow_schema("term long, y int, n long")
-
-    def count(batches):
-        for b in slices(batches):
-            y = b.column(0).to_numpy()
-            h, who, _ = occurrences(*term_hashes(b.column(1).to_pylist()))
-            for label in (0, 1):
-                t, n = np.unique(h[y[who] == label], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(t.view(np.int64)), pa.array(np.full(len(t), label, np.int32)), pa.array(n)], schema=schema)
-
-    totals = {r[0]: r[1] for r in sample.groupBy("__y").count().collect()}
-    n0, n1 = totals.get(0, 0), totals.get(1, 0)
+def tell_apart(hashes: np.ndarray, y: np.ndarray, n0: int, n1: int, min_df: int = MIN_DF) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct terms, do they tell the labels apart?) of the examples' terms, with the label of each."""
+    distinct, place = np.unique(hashes, return_inverse=True)
     if not n0 or not n1:
-        return np.zeros(0, np.int64)
-    counts = sample.select("__y", "__text").mapInArrow(count, "term long, y int, n long").groupBy("term").agg(F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("b"))
-    a, b = F.col("a").cast("double"), F.col("b").cast("double")
-    n = float(n0 + n1)
+        return distinct[:0], np.zeros(0, bool)
+    a = np.bincount(place, y == 1, len(distinct))
+    b = np.bincount(place, y == 0, len(distinct))
+    n = n0 + n1
     chi = n * (a * (n0 - b) - b * (n1 - a)) ** 2 / (n0 * n1 * (a + b) * (n - a - b + 1e-9))
-    top = counts.where(F.col("a") + F.col("b") >= min_df).withColumn("chi", F.round(chi, 6)).where("chi > 15").orderBy(F.desc("chi"), "term").limit(most)
-    return np.sort(np.array([r[0] for r in top.select("term").collect()], np.int64))  # at most `most`
-
-
-def vectors(docs: DataFrame, kept: list[str], text_col: str, terms: np.ndarray) -> DataFrame:
-    """kept columns and the chosen terms in each whole text: __t and __c, bytes of int16 and int32."""
-    shared = docs.sparkSession.sparkContext.broadcast(np.sort(terms.view(np.uint64)))  # at most TERMS numbers
-    def make():
-        chosen, may = shared.value, roots.value
-
-        def run(texts):
-            if not len(chosen):
-                return {"__t": [b""] * len(texts), "__c": [b""] * len(texts)}
-            h, who = term_hashes(texts)
-            # Only hashes that may be a chosen term, or the first occurrence of one, need counting.
-            near = may[(h >> np.uint64(44)).astype(np.int64)]
-            h, who = h[near], who[near]
-            h, who, c = occurrences(h, who)
-            at = np.searchsorted(chosen, h)
-            at[at == len(chosen)] = 0
-            fine = chosen[at] == h
-            t, who, c = at[fine], who[fine], c[fine]
-            order = np.lexsort((t, who))
-            t, who, c = t[order].astype(np.int16), who[order], c[order].astype(np.int32)
-            cuts = np.searchsorted(who, np.arange(len(texts) + 1))
-            return {"__t": [t[x:y].tobytes() for x, y in zip(cuts[:-1], cuts[1:], strict=True)], "__c": [c[x:y].tobytes() for x, y in zip(cuts[:-1], cuts[1:], strict=True)]}
-
-        return run
-
-    roots = docs.sparkSession.sparkContext.broadcast(_roots(terms))
-    return map_texts(docs, kept, text_col, "__t binary, __c binary", make)
-
-
-def _roots(terms: np.ndarray) -> np.ndarray:
-    """A bitmap of 2**20 places for hashes that are a chosen term or whose later occurrences are."""
-    t = terms.view(np.uint64)
-    may = np.zeros(1 << 20, bool)
-    may[(t >> np.uint64(44)).astype(np.int64)] = True
-    for k in range(2, OCCURRENCES + 1):
-        base = unmix(t) - (np.array([k], np.uint64) * _M1)
-        may[(base >> np.uint64(44)).astype(np.int64)] = True
-    return may
-
-
-def unmix(h: np.ndarray) -> np.ndarray:
-    """The inverse of grams.mix."""
-    inv = [np.uint64(pow(int(m), -1, 1 << 64)) for m in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
-    h = h ^ (h >> np.uint64(31)) ^ (h >> np.uint64(62))
-    h = h * inv[1]
-    h = h ^ (h >> np.uint64(27)) ^ (h >> np.uint64(54))
-    h = h * inv[0]
-    return h ^ (h >> np.uint64(30)) ^ (h >> np.uint64(60))
+    return distinct, (a + b >= min_df) & (chi > CHI)
 
 
-def tf_idf(t: bytes, c: bytes, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    terms = np.frombuffer(t, np.int16).astype(np.int64)
-    w = (1 + np.log(np.frombuffer(c, np.int32))) * idf[terms]
-    size = np.sqrt((w * w).sum())
-    return terms, (w / size if size > 0 else w).astype(np.float32)
-
-
-def document_frequencies(found: DataFrame, terms: int) -> tuple[int, np.ndarray]:
+def document_frequencies(docs: DataFrame, text_col: str, vocabulary: Broadcast, terms: int, parts: int = 64) -> tuple[int, np.ndarray]:
     """(texts, texts with each term) over all rows."""
-    schema = arrow_schema("t int, n long")
+    schema, width = arrow_schema("part int, df binary"), -(-(terms + 1) // parts)
 
     def run(batches):
-        n = np.zeros(terms + 1, np.int64)
-        for b in batches:
+        n = np.zeros(width * parts, np.int32)
+        for b in slices(batches):
+            t, _, _ = vocabulary.value.terms(b.column(0).to_pylist())
+            n[:terms] += np.bincount(t[t >= 0], minlength=terms)[:terms].astype(np.int32)
             n[terms] += b.num_rows
-            n[:terms] += np.bincount(np.frombuffer(b"".join(b.column(0).to_pylist()), np.int16), minlength=terms)[:terms]
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(terms + 1, dtype=np.int32)), pa.array(n)], schema=schema)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(parts, dtype=np.int32)), pa.array([c.tobytes() for c in np.split(n, parts)], pa.binary())], schema=schema)
 
-    out = np.zeros(terms + 1, np.int64)
-    for r in found.select("__t").mapInArrow(run, "t int, n long").groupBy("t").agg(F.sum("n")).collect():  # terms + 1 rows
-        out[r[0]] = r[1]
+    def add(batches):
+        held: dict[int, np.ndarray] = {}
+        for b in batches:
+            for k, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                held[k] = held.get(k, 0) + np.frombuffer(raw, np.int32).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([x.tobytes() for x in held.values()], pa.binary())], schema=schema)
+
+    out = np.zeros((parts, width), np.int64)
+    counted = docs.select(text_col).mapInArrow(run, "part int, df binary").repartition("part").mapInArrow(add, "part int, df binary").toArrow()
+    for k, raw in zip(counted["part"].to_pylist(), counted["df"].to_pylist(), strict=True):
+        out[k] = np.frombuffer(raw, np.int64)
+    out = out.reshape(-1)
     return int(out[terms]), out[:terms]
 
 
-def score(docs: DataFrame, labels: DataFrame, kept: list[str], id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", learn=None, examples: int = EXAMPLES, terms: int = TERMS, nearest: int = NEAREST, min_df: int = MIN_DF) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, kept: list[str], id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", learn=None, examples: int = EXAMPLES, nearest: int = NEAREST, min_df: int = MIN_DF) -> DataFrame:
     """kept columns, score, predicted and evidence (ids and cosines of the nearest examples).
 
     learn: a condition on the ids of labels that may be learnt from.
@@ -274,56 +282,64 @@ def score(docs: DataFrame, labels: DataFrame, kept: list[str], id_col: str = "do
     totals = {r[0]: r[1] for r in rows.groupBy("__y").count().collect()}
     picked = bounded_sample(rows, "__id", "__y", examples)  # at most 2 x examples rows of two integers
     texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
-    sample = materialise(texts.join(F.broadcast(picked), "__id"), "examples")
-    chosen = choose_terms(sample, terms, min_df)
-    k = len(chosen)
-    found = materialise(vectors(docs, kept, text_col, chosen), "vectors")
-    n, df = document_frequencies(found, k)
-    idf = np.log((n + 1) / (df + 1)) + 0.1
+    sample = texts.join(F.broadcast(picked), "__id").toArrow()  # bounded by examples
+    # Sorted, the index is the same each time.
+    found = sorted(zip(*(sample[c].to_pylist() for c in ("__id", "__y", "__text")), strict=True), key=lambda r: (r[0], r[1], r[2] or ""))
+    ys, own_texts = np.array([r[1] for r in found], np.int64), [r[2] for r in found]
+    n1 = int(ys.sum())
+    hashes, whose = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for at in range(0, len(found), SLICE_ROWS):
+        h, who, _ = occurrences(own_texts[at : at + SLICE_ROWS])
+        hashes.append(h)
+        whose.append(who + at)
+    distinct, apart = tell_apart(np.concatenate(hashes), ys[np.concatenate(whose)], len(ys) - n1, n1, min_df)
+    del hashes, whose
+    k = len(distinct)
+    vocabulary = Vocabulary.of(distinct)
+    terms = spark.sparkContext.broadcast(vocabulary)  # bounded by the examples' terms
+    n, df = document_frequencies(texts, "__text", terms, k) if k else (0, np.zeros(0))
+    weights = (np.log((n + 1) / (df + 1)) + 0.1) * np.where(apart, 1.0, ORDINARY)
+    unseen = (np.log(n + 1) + 0.1) * ORDINARY
     every = totals.get(0, 0) + totals.get(1, 0)
-    # The sample is bounded; sorted, the index is the same each time.
-    got = vectors(sample.withColumn("__sha", F.sha1(F.coalesce("__text", F.lit("")).cast("binary"))), ["__id", "__y", "__sha"], "__text", chosen).toArrow().sort_by([("__id", "ascending"), ("__y", "ascending"), ("__sha", "ascending")])
     same: dict[str, int] = {}
-    index = Index.build([tf_idf(t, c, idf) for t, c in zip(got["__t"].to_pylist(), got["__c"].to_pylist(), strict=True)], got["__y"].to_pylist(), got["__id"].to_pylist(), [same.setdefault(x, len(same)) for x in got["__sha"].to_pylist()], k)
+    own = [v for at in range(0, len(found), SLICE_ROWS) for v in vocabulary.vectors(own_texts[at : at + SLICE_ROWS], weights, unseen)]
+    classes = [same.setdefault(t or "", len(same)) for t in own_texts]
+    index = Index.build(own, ys, [r[0] for r in found], classes, k)
     index.base = totals.get(1, 0) / every if every else 0.0
-    if k and len(got):
-        labels_of, texts_of = np.array(got["__y"].to_pylist()), [same[x] for x in got["__sha"].to_pylist()]
-        counts = np.bincount(labels_of, minlength=2)
+    if k and len(found):
+        counts = np.bincount(ys, minlength=2)
         index.priors = np.array([totals.get(y, 0) / max(1, counts[y]) for y in (0, 1)])
-        votes = []
-        for e in range(len(got)):
-            t, w = tf_idf(got["__t"][e].as_py(), got["__c"][e].as_py(), idf)
-            votes.append(index.vote(index.nearest(t, w, nearest, texts_of[e])) if len(t) else None)
+        votes = [index.vote(near) for near in index.nearest_many(own, nearest, classes)]
         some = np.array([v is not None for v in votes])
-        weight = index.priors[labels_of]
+        weight = index.priors[ys]
         if some.any():
-            index.steps = isotonic(np.array([v for v in votes if v is not None]), labels_of[some].astype(float), weight[some])
+            index.steps = isotonic(np.array([v for v in votes if v is not None]), ys[some].astype(float), weight[some])
         if (~some).any():
-            index.base = float((weight * labels_of)[~some].sum() / weight[~some].sum())
-        index.rows = None
-    shared = spark.sparkContext.broadcast((index, idf))  # bounded by examples and terms
-    fields = T.StructType([found.schema[c] for c in kept] + list(T._parse_datatype_string("score double, predicted int, evidence array<struct<id:long,cosine:float>>").fields))
+            index.base = float((weight * ys)[~some].sum() / weight[~some].sum())
+    del own, own_texts, found, sample
+    shared = spark.sparkContext.broadcast((index, weights))  # bounded by examples and their terms
+    fields = T.StructType([docs.schema[c] for c in kept] + list(T._parse_datatype_string("score double, predicted int, evidence array<struct<id:long,cosine:float>>").fields))
     schema = arrow_schema(fields)
 
     def run(batches):
-        index, idf = shared.value
-        seen: dict[tuple[bytes, bytes], tuple] = {}
-        for b in slices(batches, 4096):
-            out = []
-            for key in zip(b.column(len(kept)).to_pylist(), b.column(len(kept) + 1).to_pylist(), strict=True):
-                r = seen.get(key)
-                if r is None:
-                    near = index.nearest(*tf_idf(*key, idf), nearest) if key[0] else (np.zeros(0, np.int64), np.zeros(0))
-                    p = min(1.0, max(0.0, index.calibrated(index.vote(near))))
-                    r = p, int(p >= 0.5), [{"id": int(index.ids[i]), "cosine": float(s)} for i, s in zip(near[0][:5], near[1][:5], strict=True)]
-                    if len(seen) < 100_000:
-                        seen[key] = r
-                out.append(r)
+        index, weights = shared.value
+        seen: dict[bytes, tuple] = {}
+        for b in slices(batches):
+            texts = b.column(len(kept)).to_pylist()
+            keys = [hashlib.sha1((t or "").encode("utf-8", "surrogatepass")).digest() for t in texts]
+            new = {key: t for key, t in zip(keys, texts, strict=True) if key not in seen}
+            got = dict(zip(new, index.nearest_many(terms.value.vectors(list(new.values()), weights, unseen), nearest), strict=True))
+            fresh = {}
+            for key, near in got.items():
+                p = min(1.0, max(0.0, index.calibrated(index.vote(near))))
+                fresh[key] = p, int(p >= 0.5), [{"id": int(index.ids[i]), "cosine": float(s)} for i, s in zip(near[0][:5], near[1][:5], strict=True)]
+            out = [fresh.get(key) or seen[key] for key in keys]
+            if len(seen) < 100_000:
+                seen.update(fresh)
             cols = [b.column(i) for i in range(len(kept))] + [pa.array([o[j] for o in out], type=schema.field(len(kept) + j).type) for j in range(3)]
-            yield pa.RecordBatch.from_arrays(cols, schema=schema)
+            yield pa.RecordBatch.from_arrays([c.cast(schema.field(i).type) if c.type != schema.field(i).type else c for i, c in enumerate(cols)], schema=schema)
 
-    discard(spark, sample)
-    return found.select(*kept, "__t", "__c").mapInArrow(run, fields)
+    return docs.select(*kept, F.col(text_col).alias("__text")).mapInArrow(run, fields)
 
 
 def op7_toxicity(spark, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 
-from spanloom.llm import secrets
+from spanloom.llm import secrets, toxicity
 from tests.llm.test_operators import prose
 
 
@@ -50,3 +50,40 @@ def test_secrets_pruning_is_exact():
         cut = int(rng.integers(0, len(e) + 1))
         want = [y for part in (e[:cut], e[cut:]) if len(part) for y in f.viterbi(part)]
         assert f.labels(e, np.array([0, cut, len(e)])).tolist() == want
+
+
+def test_toxicity_searches_every_text(spark):
+    """Texts and examples without a term that tells the labels apart have neighbours too, by their whole texts."""
+    rng = random.Random(12)
+    rows, labels = [], []
+    for i in range(300):
+        t, y = prose(rng, "en", 40).split(), int(i % 5 == 0)
+        if y:
+            t[rng.randrange(len(t))] = "moron"
+        rows.append((i, " ".join(t)))
+        labels.append((i, y))
+    rows.append((900, rows[7][1] + " entirely unseen closing words"))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in toxicity.score(df, spark.createDataFrame(labels, "doc_id long, toxic int"), ["doc_id"]).collect()}
+    assert all(r.evidence for r in got.values())
+    assert got[900].evidence[0].id == 7 and 0.3 < got[900].evidence[0].cosine < 1 and not got[900].predicted
+    assert all(abs(got[i].evidence[0].cosine - 1) < 1e-4 for i in range(300))
+    assert sum(got[i].predicted == y for i, y in labels) >= 295
+
+
+def test_toxicity_cosine_is_over_all_terms():
+    rng = random.Random(13)
+    texts = [prose(rng, "en", 30) for _ in range(200)]
+    per = [dict(zip(*(x[w == i].tolist() for x in (h, c)), strict=True)) for h, w, c in [toxicity.occurrences(texts)] for i in range(200)]
+    vocabulary = toxicity.Vocabulary.of(np.unique(toxicity.occurrences(texts[:150])[0]))
+    weights = np.random.default_rng(4).random(len(vocabulary.hashes)) + 0.1
+    weight = dict(zip(vocabulary.hashes.tolist(), weights.tolist(), strict=True))
+    vectors = vocabulary.vectors(texts, weights, 0.7)
+    index = toxicity.Index.build(vectors[:150], [0] * 150, list(range(150)), list(range(150)), len(weights), dense=50)
+    unit = []
+    for p in per:
+        v = {h: (1 + np.log(c)) * weight.get(h, 0.7) for h, c in p.items()}
+        unit.append({h: x / np.sqrt(sum(y * y for y in v.values())) for h, x in v.items()})
+    for q in range(140, 200):
+        want = sorted((sum(x * unit[d].get(h, 0) for h, x in unit[q].items()) for d in range(150)), reverse=True)[:25]
+        assert np.allclose(index.nearest(*vectors[q])[1], want, atol=3e-5)
