@@ -1,11 +1,12 @@
 """What the operators must not leave out: findings of the review."""
 
 import random
+import re
 
 import numpy as np
 
-from spanloom.llm import secrets, toxicity
-from tests.llm.test_operators import prose
+from spanloom.llm import decontaminate, secrets, toxicity
+from tests.llm.test_operators import paraphrase, prose
 
 
 def test_secrets_short_and_with_symbols(spark):
@@ -87,3 +88,30 @@ def test_toxicity_cosine_is_over_all_terms():
     for q in range(140, 200):
         want = sorted((sum(x * unit[d].get(h, 0) for h, x in unit[q].items()) for d in range(150)), reverse=True)[:25]
         assert np.allclose(index.nearest(*vectors[q])[1], want, atol=3e-5)
+
+
+def test_decontamination_recall_beyond_the_fit(spark):
+    """Recall against brute force where the latent space is fitted to a real sample of the texts."""
+    assert decontaminate.FIT_TEXTS >= 4000 and decontaminate.OVERSAMPLE >= 16
+    rng = random.Random(14)
+    items = [(i, prose(rng, "en", rng.randrange(20, 50))) for i in range(20)]
+    rows = []
+    for i in range(3 * decontaminate.FIT_TEXTS):
+        text = prose(rng, rng.choice(["en", "fr", "de"]), rng.randrange(20, 70))
+        if i % 40 == 0:
+            text += " " + paraphrase(rng, items[rng.randrange(20)][1]) + " " + prose(rng, "en", 20)
+        rows.append((i, text))
+    df, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.id, r.item_id) for r in decontaminate.leaks(df, bench).collect()}
+    brute = set()
+    targets = [(k, re.findall(r"[^\W_]+", u.lower())) for k, u in items]
+    for i, t in rows:
+        b = re.findall(r"[^\W_]+", t.lower())
+        there = set(b)
+        for k, a in targets:
+            # No common subsequence is longer than the words in common.
+            if sum(w in there for w in a) >= decontaminate.COVERED * len(a) and any(decontaminate.is_leak(*decontaminate.covered(a, b[s : s + len(a) * 4 // 3 + 2])) for s in range(0, max(1, len(b) - len(a) // 2), 2)):
+                brute.add((i, k))
+    recall = len(got & brute) / len(brute)
+    print("recall", recall, "of", len(brute))
+    assert len(brute) >= 200 and recall >= 0.95
