@@ -6,10 +6,11 @@ term of every labelled example is indexed; document frequencies are counted over
 text is a sparse vector of length one over all its terms: TF-IDF, times ORDINARY for terms that
 don't tell the labels apart (chi-square with the label, at least MIN_DF examples). Terms in no
 example count in a text's length as those in no text. A text's nearest examples are by exact
-cosine with every example: products with the rows of the commonest DENSE terms, and postings of
-all others. Their votes are weighted by cosine and by the share of their label among all
-labelled rows, and made a probability by isotonic regression on the examples themselves, each
-scored without its own and equal texts.
+cosine over all terms, found in a block-max inverted index: short posting lists are added up, and
+long ones, whose largest weight in each block of examples bounds what they can add, are looked up
+only for the examples that can still be among the nearest. Their votes are weighted by cosine and
+by the share of their label among all labelled rows, and made a probability by isotonic
+regression on the examples themselves, each scored without its own and equal texts.
 
 Examples are a bounded sample (EXAMPLES of each label, by id hash) of the labelled rows that
 may be learnt from. Defined results: a text without a term of an example, null and empty ones included,
@@ -30,52 +31,72 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SLICE_ROWS, arrow_schema, bounded_sample, codepoints, crc_mod, slices
-from .grams import _M1, mix, word_table, words
+from .common import arrow_schema, bounded_sample, crc_mod, slices
+from .grams import _M1, mix, words_and_letters
 
 #: Most examples of each label (a documented bound: the model is a classifier).
 EXAMPLES = 4000
 #: Weight of terms that don't tell the labels apart, of those that do it is 1.
 ORDINARY = 0.05
 CHI = 15
-#: Commonest terms whose weights in all examples are kept as rows.
-DENSE = 1024
+#: Commonest terms whose long posting lists are kept as maxima of blocks, and examples of a block.
+COMMON = 4096
+BLOCK = 16
 MIN_DF = 4
 PREFIXES = (4, 5, 6, 7)
 NEAREST = 25
-#: Texts searched for at one time.
-BATCH = 64
 OCCURRENCES = 3
+#: Texts worked on at one time: their arrays stay in a core's cache.
+SLICE_ROWS = 128
 
 
-def term_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, text number) of every word and word beginning of the texts."""
-    h, start, end, first = words(texts)
+def term_counts(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct hashes, place of the term among them, text, count) of each term of each text, by text.
+
+    Beginnings are hashed once for each different word, and counted by the words that have them.
+    """
+    h, start, end, first, m = words_and_letters(texts)
     if not len(h):
-        return h, np.zeros(0, np.int64)
-    who = np.repeat(np.arange(len(texts)), np.diff(first))
-    m = word_table()[codepoints("\n".join([t or "" for t in texts]))].astype(np.uint64)
-    out, own = [h], [who]
-    n = end - start
-    run = np.zeros(len(h), np.uint64)
+        return h, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    order = np.argsort(h)
+    new = np.concatenate(([True], h[order][1:] != h[order][:-1]))
+    word = np.empty(len(h), np.int64)
+    word[order] = np.cumsum(new) - 1
+    there = order[new]  # a place of each different word
+    count = len(there)
+    own, begin = h[there], start[there]
+    n = end[there] - begin
+    hashes, whose = [own], [np.arange(count)]
+    run = np.zeros(count, np.uint64)
     for i in range(max(PREFIXES)):
-        k = n > i
-        run[k] = run[k] * _M1 + m[start[k] + i]
+        k = np.flatnonzero(n > i)
+        run[k] = run[k] * _M1 + m[begin[k] + i].astype(np.uint64)
         if i + 1 in PREFIXES:
-            k = n > i + 1  # a shorter word is the word itself
-            out.append(mix(run[k] + np.uint64(i + 1)))
-            own.append(who[k])
-    return np.concatenate(out), np.concatenate(own)
-
-
-def term_counts(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(distinct hashes, place of the term among them, text, count) of each term of each text, by text."""
-    h, who = term_hashes(texts)
-    distinct, place = np.unique(h, return_inverse=True)
-    size = max(1, len(distinct))
-    key = np.sort(who * size + place)
-    new = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
-    return distinct, key[new] % size, key[new] // size, np.diff(np.append(new, len(key)))
+            k = np.flatnonzero(n > i + 1)  # a shorter word is the word itself
+            hashes.append(mix(run[k] + np.uint64(i + 1)))
+            whose.append(k)
+    distinct, place = np.unique(np.concatenate(hashes), return_inverse=True)
+    whose = np.concatenate(whose)
+    by_word = np.argsort(whose, kind="stable")
+    term = place[by_word]  # the terms of each word
+    at = np.concatenate(([0], np.cumsum(np.bincount(whose, minlength=count))))
+    # (text, word) and their counts, then (text, term) and theirs.
+    pair = np.sort(np.repeat(np.arange(len(texts)), np.diff(first)) * count + word)
+    cut = np.flatnonzero(np.concatenate(([True], pair[1:] != pair[:-1])))
+    times, pair = np.diff(np.append(cut, len(pair))), pair[cut]
+    who, word = pair // count, pair % count
+    per = at[word + 1] - at[word]
+    places = np.repeat(at[word] - (np.cumsum(per) - per), per) + np.arange(int(per.sum()))
+    key = np.repeat(who, per) * len(distinct) + term[places]
+    times = np.repeat(times, per)
+    # Counts ride in the low bits of what is sorted; larger ones are split.
+    full = times >> 10
+    key, low = np.concatenate((key, np.repeat(key, full))), np.concatenate((times & 1023, np.full(int(full.sum()), 1024)))
+    packed = np.sort(key << 11 | low)
+    key = packed >> 11
+    cut = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    key = key[cut]
+    return distinct, key % len(distinct), key // len(distinct), np.add.reduceat(packed & 2047, cut)
 
 
 def later(h: np.ndarray, k: int) -> np.ndarray:
@@ -141,66 +162,148 @@ class Vocabulary:
         return [(t[x:y], w[x:y]) for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
+def alike(vectors: list[tuple[np.ndarray, np.ndarray]], df: np.ndarray, terms: int = 512, groups: int = 64, rounds: int = 4) -> np.ndarray:
+    """An order of unit vectors in which those with the same commonest terms are near each other."""
+    n = len(vectors)
+    row = np.full(len(df), -1, np.int32)
+    common = np.argsort(-df, kind="stable")[:terms]
+    row[common] = np.arange(len(common))
+    x = np.zeros((n, len(common)), np.float32)
+    for i, (t, w) in enumerate(vectors):
+        r = row[t]
+        x[i, r[r >= 0]] = w[r >= 0]
+    centres = x[np.random.default_rng(5).permutation(n)[:groups]]
+    near = np.zeros(n, np.int64)
+    for _ in range(rounds):
+        near = (x @ centres.T).argmax(1)
+        centres = np.stack([x[near == k].sum(0) if (near == k).any() else c for k, c in enumerate(centres)])
+        centres /= np.maximum(np.sqrt((centres * centres).sum(1, keepdims=True)), 1e-9)
+    return np.lexsort((np.arange(n), (x * x).sum(1).round(3), near))
+
+
+def _pack(number: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """number in the upper halves of 64-bit integers, weight as a float in the lower ones."""
+    return number.astype("<i8") << 32 | weight.astype("<f4").view("<u4").astype("<i8")
+
+
+def _ranges(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(all numbers from lo to hi, without hi, of each range; sizes of the ranges)."""
+    size = hi - lo
+    ends = np.cumsum(size)
+    out = np.repeat(lo - (ends - size), size)
+    out += np.arange(len(out))
+    return out, size
+
+
 @dataclass
 class Index:
-    """Inverted index of unit vectors: rows of the commonest terms, postings of the others."""
+    """Block-max inverted index of unit vectors.
+
+    Examples lie in an order in which alike ones are neighbours, in blocks. Long posting lists
+    (of the COMMON commonest terms that don't tell the labels apart) are kept as the largest
+    weight in each block, and example by example; those of all other terms as they are.
+    """
 
     labels: np.ndarray  # of each example
     ids: np.ndarray
     texts: np.ndarray  # number of equal texts' class
-    rows: np.ndarray  # [dense terms, examples]
-    row: np.ndarray  # of each term, or -1
-    first: np.ndarray  # first posting of each term, and the number of postings
-    docs: np.ndarray  # of each posting
-    weights: np.ndarray
+    place: np.ndarray  # example at each place of the index's order
+    column: np.ndarray  # of each term among the common ones, or -1
+    first: np.ndarray  # first posting of each other term, and the number of postings
+    postings: np.ndarray  # place and weight of each, packed
+    maxima: np.ndarray  # [common terms, blocks]
+    begin: np.ndarray  # first common term of each place, and their number
+    entries: np.ndarray  # common term and weight of each, packed
+    block: int = BLOCK
     priors: np.ndarray = field(default_factory=lambda: np.ones(2))
     steps: tuple[np.ndarray, np.ndarray] = (np.zeros(0), np.zeros(0))
     base: float = 0.0
 
     @staticmethod
-    def build(vectors: list[tuple[np.ndarray, np.ndarray]], labels, ids, texts, terms: int, dense: int = DENSE) -> Index:
+    def build(vectors: list[tuple[np.ndarray, np.ndarray]], labels, ids, texts, terms: int, apart: np.ndarray | None = None, common: int = COMMON, block: int = BLOCK) -> Index:
         n = len(vectors)
         t = np.concatenate([v[0] for v in vectors]) if n else np.zeros(0, np.int64)
         w = np.concatenate([v[1] for v in vectors]) if n else np.zeros(0, np.float32)
-        doc = np.repeat(np.arange(n), [len(v[0]) for v in vectors]).astype(np.int32) if n else np.zeros(0, np.int32)
         df = np.bincount(t, minlength=terms)
-        common = np.argsort(-df, kind="stable")[: min(dense, terms)]
-        row = np.full(terms, -1, np.int32)
-        row[common] = np.arange(len(common))
-        rows = np.zeros((len(common), n), np.float32)
-        own = row[t] >= 0
-        rows[row[t[own]], doc[own]] = w[own]
+        place = alike(vectors, df) if n else np.zeros(0, np.int64)
+        at = np.empty(n, np.int32)
+        at[place] = np.arange(n)
+        doc = np.repeat(at, [len(v[0]) for v in vectors]) if n else np.zeros(0, np.int32)
+        ordinary = df if apart is None else df * ~apart
+        long = np.argsort(-ordinary, kind="stable")[: min(common, int((ordinary > 0).sum()))]
+        column = np.full(terms, -1, np.int32)
+        column[long] = np.arange(len(long))
+        own = column[t] >= 0 if terms else np.zeros(0, bool)
+        maxima = np.zeros((len(long), -(-n // block)), np.float32)
+        c, d, v = column[t[own]], doc[own], w[own].astype(np.float32)
+        np.maximum.at(maxima, (c, d // block), v)
+        order = np.argsort(d, kind="stable")
+        begin = np.concatenate(([0], np.cumsum(np.bincount(d, minlength=n))))
+        entries = _pack(c[order], v[order])
         t, w, doc = t[~own], w[~own], doc[~own]
         order = np.argsort(t, kind="stable")
         first = np.concatenate(([0], np.cumsum(np.bincount(t, minlength=terms))))
-        return Index(np.asarray(labels, np.int64), np.asarray(ids), np.asarray(texts), rows, row, first, doc[order], w[order].astype(np.float32))
+        return Index(np.asarray(labels, np.int64), np.asarray(ids), np.asarray(texts), place, column, first, _pack(doc[order], w[order]), maxima, begin, entries, block)
 
     def nearest_many(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int = NEAREST, without: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
-        """(example, cosine) of the k nearest, nearest first; only those that share a term."""
-        n, out = self.rows.shape[1], []
-        for at in range(0, len(vectors), BATCH):
-            part = vectors[at : at + BATCH]
-            q = np.zeros((len(part), len(self.rows)), np.float32)
-            rest = []
-            for i, (t, w) in enumerate(part):
-                r = self.row[t]
-                q[i, r[r >= 0]] = w[r >= 0]
-                rest.append((t[r < 0], w[r < 0]))
-            scores = q @ self.rows
-            for i, (t, w) in enumerate(rest):
-                score = scores[i]
-                size = self.first[t + 1] - self.first[t]
-                total = int(size.sum())
-                if total:
-                    places = np.repeat(self.first[t] - (np.cumsum(size) - size), size) + np.arange(total)
-                    score = score + np.bincount(self.docs[places], self.weights[places] * np.repeat(w, size), n)
-                score = np.round(score, 5)
+        """(example, cosine) of the k nearest, nearest first; only those that share a term.
+
+        The short posting lists are added up for all examples. To these sums, which the cosines
+        are not below, each block's bound of what the long lists can add is added; only examples
+        whose bound reaches the k-th largest cosine known get what they do add.
+        """
+        n, out = len(self.place), []
+        dense = np.zeros(max(1, len(self.maxima)), np.float32)
+        for i, (t, w) in enumerate(vectors):
+            c = self.column.take(t)
+            own = c >= 0
+            long, weight = c[own], w[own]
+            t, w = t[~own], w[~own]
+            places, size = _ranges(self.first.take(t), self.first.take(t + 1))
+            if len(places):
+                found = self.postings.take(places)
+                score = np.bincount(found >> 32, found.view(np.float32)[::2] * np.repeat(w, size), n).astype(np.float32)
+            else:
+                score = np.zeros(n, np.float32)
+            bound = score
+            if len(long):
+                bound = score + np.repeat(weight @ self.maxima.take(long, 0), self.block)[:n]
+            if without is not None:
+                same = self.texts[self.place] == without[i]
+                score, bound = np.where(same, 0, score), np.where(same, 0, bound)
+            dense[long] = weight
+            m = k + k // 4
+            some = np.argpartition(bound, n - m)[n - m :] if n > m else np.arange(n)
+            known = score.copy()
+            known[some] += self._long(dense, some)
+            if without is not None:
+                known[same] = 0
+            if n > m:
+                least = np.partition(known, n - k)[n - k]
+                more = bound >= least - 2e-5
+                more[some] = False
+                more = np.flatnonzero(more)
+                known[more] += self._long(dense, more)
                 if without is not None:
-                    score = np.where(self.texts == without[at + i], 0, score)
-                least = max(np.partition(score, n - k)[n - k], 1e-5) if n > k else 1e-5
-                got = np.flatnonzero(score >= least * (1 - 1e-6))
-                got = got[np.lexsort((got, -score[got]))[:k]]
-                out.append((got, score[got].astype(np.float32)))
+                    known[same] = 0
+                some = np.concatenate((some, more))
+            dense[long] = 0
+            value, who = np.round(known[some].astype(np.float64), 5), self.place[some]
+            got = np.lexsort((who, -value))[:k]
+            got = got[value[got] >= 1e-5]
+            out.append((who[got], value[got].astype(np.float32)))
+        return out
+
+    def _long(self, dense: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """What the common terms of a text, as a dense vector, add to the cosines of examples."""
+        at, size = _ranges(self.begin[places], self.begin[places + 1])
+        out = np.zeros(len(places), np.float32)
+        if len(at):
+            found = self.entries.take(at)
+            added = dense.take(found >> 32)
+            added *= found.view(np.float32)[::2]
+            some = np.flatnonzero(size)
+            out[some] = np.add.reduceat(added, (np.cumsum(size) - size)[some])
         return out
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int = NEAREST, without: int | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -250,7 +353,7 @@ def document_frequencies(docs: DataFrame, text_col: str, vocabulary: Broadcast,
 
     def run(batches):
         n = np.zeros(width * parts, np.int32)
-        for b in slices(batches):
+        for b in slices(batches, SLICE_ROWS):
             t, _, _ = vocabulary.value.terms(b.column(0).to_pylist())
             n[:terms] += np.bincount(t[t >= 0], minlength=terms)[:terms].astype(np.int32)
             n[terms] += b.num_rows
@@ -304,7 +407,7 @@ def score(docs: DataFrame, labels: DataFrame, kept: list[str], id_col: str = "do
     same: dict[str, int] = {}
     own = [v for at in range(0, len(found), SLICE_ROWS) for v in vocabulary.vectors(own_texts[at : at + SLICE_ROWS], weights, unseen)]
     classes = [same.setdefault(t or "", len(same)) for t in own_texts]
-    index = Index.build(own, ys, [r[0] for r in found], classes, k)
+    index = Index.build(own, ys, [r[0] for r in found], classes, k, apart)
     index.base = totals.get(1, 0) / every if every else 0.0
     if k and len(found):
         counts = np.bincount(ys, minlength=2)
@@ -324,7 +427,7 @@ def score(docs: DataFrame, labels: DataFrame, kept: list[str], id_col: str = "do
     def run(batches):
         index, weights = shared.value
         seen: dict[bytes, tuple] = {}
-        for b in slices(batches):
+        for b in slices(batches, SLICE_ROWS):
             texts = b.column(len(kept)).to_pylist()
             keys = [hashlib.sha1((t or "").encode("utf-8", "surrogatepass")).digest() for t in texts]
             new = {key: t for key, t in zip(keys, texts, strict=True) if key not in seen}

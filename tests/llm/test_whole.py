@@ -80,7 +80,7 @@ def test_toxicity_cosine_is_over_all_terms():
     weights = np.random.default_rng(4).random(len(vocabulary.hashes)) + 0.1
     weight = dict(zip(vocabulary.hashes.tolist(), weights.tolist(), strict=True))
     vectors = vocabulary.vectors(texts, weights, 0.7)
-    index = toxicity.Index.build(vectors[:150], [0] * 150, list(range(150)), list(range(150)), len(weights), dense=50)
+    index = toxicity.Index.build(vectors[:150], [0] * 150, list(range(150)), list(range(150)), len(weights), common=50, block=8)
     unit = []
     for p in per:
         v = {h: (1 + np.log(c)) * weight.get(h, 0.7) for h, c in p.items()}
