@@ -62,6 +62,16 @@ def discard(spark: SparkSession, *tables: DataFrame | str) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def read_shared(path: str, columns: list[str] | None = None) -> pa.Table:
+    """A table of the shared folder, read whole by a task: for tables of a bounded size."""
+    import pyarrow.parquet as pq
+    from pyarrow import fs
+
+    store, root = fs.FileSystem.from_uri(path)
+    files = sorted(f.path for f in store.get_file_info(fs.FileSelector(root)) if f.path.endswith(".parquet"))
+    return pa.concat_tables([pq.ParquetFile(store.open_input_file(f)).read(columns) for f in files])
+
+
 def plain_unions(spark: SparkSession) -> None:
     """Unions that keep their inputs' partitioning (new in Spark 4.1) go wrong when adaptive
     execution coalesces those inputs differently; what follows a union is shuffled anew."""

@@ -115,3 +115,19 @@ def test_decontamination_recall_beyond_the_fit(spark):
     recall = len(got & brute) / len(brute)
     print("recall", recall, "of", len(brute))
     assert len(brute) >= 200 and recall >= 0.95
+
+
+def test_items_in_blocks(spark, monkeypatch):
+    """Blocks of items, long items in several rows, null ids and repeated items give what one block gives."""
+    rng = random.Random(15)
+    items = [(i, prose(rng, "en", rng.randrange(20, 120))) for i in range(15)] + [(None, prose(rng, "en", 40))]
+    rows = [(i, prose(rng, "en", 30) + " " + items[i % 16][1] + " " + prose(rng, "fr", 50)) for i in range(48)] + [(100, prose(rng, "en", 200))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame(items + items[:2] + [(99, items[3][1])], "item_id long, text string")
+    found = lambda: sorted(((r.id, r.item_id) for r in decontaminate.leaks(df, bench).collect()), key=str)
+    got = found()
+    want = [(i, items[i % 16][0]) for i in range(48)] + [(i, 99) for i in range(48) if i % 16 == 3]
+    assert set(want) <= set(got) and len(got) == len(set(got)) and not [x for x in got if x[0] == 100]
+    monkeypatch.setattr(decontaminate, "ITEM_PASSAGES", 20)
+    monkeypatch.setattr(decontaminate, "ITEM_ROW", 4)
+    assert found() == got
