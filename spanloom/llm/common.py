@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import math
 import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -20,19 +22,25 @@ SLICE_ROWS = 512
 #: Rows of one bucket of a two-level running sum.
 PREFIX_ROWS = 20_000
 
+#: Most groups (labels, languages) that are sampled, a documented bound.
+GROUPS = 256
+
 _own_dir: str | None = None
+_scopes: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir of the session.
 
-    Only where that is unset (tests on one machine) a temporary folder is made, which goes
-    when the process ends.
+    Only where that is unset and all runs on one machine (tests) a temporary folder is made,
+    which goes when the process ends.
     """
     global _own_dir
     at = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if at:
         return at.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if _own_dir is None:
         _own_dir = tempfile.mkdtemp(prefix="spanloom-")
         atexit.register(shutil.rmtree, _own_dir, ignore_errors=True)
@@ -40,7 +48,20 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(path)
+    return path
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Tables and folders made within, but for those taken off the list that this gives, go at the end."""
+    _scopes.append([])
+    try:
+        yield _scopes[-1]
+    finally:
+        discard(spark, *_scopes.pop())
 
 
 def materialise(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
@@ -72,10 +93,37 @@ def read_shared(path: str, columns: list[str] | None = None) -> pa.Table:
     return pa.concat_tables([pq.ParquetFile(store.open_input_file(f)).read(columns) for f in files])
 
 
-def plain_unions(spark: SparkSession) -> None:
+@contextmanager
+def plain_unions(spark: SparkSession):
     """Unions that keep their inputs' partitioning (new in Spark 4.1) go wrong when adaptive
-    execution coalesces those inputs differently; what follows a union is shuffled anew."""
-    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+    execution coalesces those inputs differently; within, what follows a union is shuffled anew."""
+    name = "spark.sql.unionOutputPartitioning"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def _trim() -> None:
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not this C library
+        pass
+
+
+def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], ddl: str | T.StructType) -> DataFrame:
+    """mapInArrow whose workers, which Spark keeps for later tasks, give their memory back after each."""
+
+    def lean(batches):
+        pa.set_memory_pool(pa.system_memory_pool())
+        try:
+            yield from run(batches)
+        finally:
+            _trim()
+
+    return df.mapInArrow(lean, ddl)
 
 
 def arrow_schema(ddl: str | T.StructType) -> pa.Schema:
@@ -109,7 +157,7 @@ def map_texts(df: DataFrame, kept: list[str], text: str, ddl: str, make: Callabl
             cols += [pa.array(got[schema.field(i).name], type=schema.field(i).type) for i in range(len(kept), len(schema.names))]
             yield pa.RecordBatch.from_arrays([c.cast(schema.field(i).type) if c.type != schema.field(i).type else c for i, c in enumerate(cols)], schema=schema)
 
-    return df.select(*kept, F.col(text).alias("__text")).mapInArrow(run, out)
+    return map_arrow(df.select(*kept, F.col(text).alias("__text")), run, out)
 
 
 def crc_mod(id_col: str, n: int):
@@ -121,25 +169,40 @@ def codepoints(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def bounded_sample(df: DataFrame, id_col: str, group_col: str, most: int) -> DataFrame:
-    """At most `most` rows of each group: those with the least hashes of their ids.
+def bounded_sample(df: DataFrame, id_col: str, group_col: str, most: int, *values: str) -> DataFrame:
+    """At most `most` ids of each group, those with the least hashes, and one row (group, id, values) for each.
 
-    A threshold on the hash, from one count per group, cuts most rows before the exact bound
-    is applied by rank, so no group is ever sorted whole. Groups must be few (labels,
-    languages).
+    Groups are labels or languages: the GROUPS commonest are sampled.
+
+    A threshold on the hash, from a count of each group, cuts most rows before anything is sorted.
+    Rows of one id and group, however many, are then reduced to that with the least values, map-side
+    first, so no group or id is ever in one task whole; the exact bound is applied by rank to what is left.
     """
-    counts = {r[0]: r[1] for r in df.groupBy(group_col).count().collect()}
-    if not counts:
-        return df
     whole = 1 << 30
-    below = F.lit(whole)
-    for g, n in counts.items():
-        share = min(1.0, (most + 6 * math.sqrt(most) + 10) / n)
-        below = F.when(F.col(group_col).eqNullSafe(F.lit(g)), F.lit(int(share * whole))).otherwise(below)
-    h = F.xxhash64(F.col(id_col), F.lit(20177))
-    cut = df.withColumn("__h", h).where(F.pmod(F.col("__h"), F.lit(whole)) < below)
-    rank = F.row_number().over(Window.partitionBy(group_col).orderBy(F.pmod(F.col("__h"), F.lit(whole)), id_col))
-    return cut.withColumn("__rank", rank).where(F.col("__rank") <= most).drop("__rank", "__h")
+    share = F.least(F.lit(1.0), F.lit(most + 6 * math.sqrt(most) + 10) / F.col("__n"))
+    groups = df.groupBy(F.col(group_col).alias("__g")).agg(F.count(F.lit(1)).alias("__n")).orderBy(F.desc("__n"), "__g").limit(GROUPS)
+    below = groups.select("__g", (share * whole).cast("long").alias("__below"))
+    h = F.pmod(F.xxhash64(F.col(id_col), F.lit(20177)), F.lit(whole))
+    cut = df.select(group_col, id_col, *values).withColumn("__h", h).join(F.broadcast(below), F.col(group_col).eqNullSafe(F.col("__g"))).where(F.col("__h") < F.col("__below"))
+    kept = cut.groupBy("__g", F.col(id_col).alias("__i"), "__h").agg(F.min(F.struct(F.lit(0), *values)).alias("__v"))
+    rank = F.row_number().over(Window.partitionBy("__g").orderBy("__h", "__i"))
+    return kept.withColumn("__rank", rank).where(F.col("__rank") <= most).select(F.col("__g").alias(group_col), F.col("__i").alias(id_col), *[F.col(f"__v.{v}").alias(v) for v in values])
+
+
+def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, label_id: str, id_col: str, text_col: str, most: int, chars: int) -> DataFrame:
+    """(__id, __y, __text) of a bounded sample of labels 0 and 1: at most `most` ids a label, and of them
+    those that come first by hash whose texts together have at most `chars` characters (the first at least).
+
+    An id with several texts has the least of them by hash; an id without a text isn't there.
+    """
+    rows = labels.where(F.col(label).isin(0, 1) & F.col(label_id).isNotNull()).select(F.col(label_id).alias("__id"), F.col(label).cast("int").alias("__y"))
+    picked = bounded_sample(rows, "__id", "__y", most)  # at most 2 x most rows of two integers: small enough to broadcast
+    found = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(F.broadcast(picked), "__id")
+    one = found.groupBy("__id", "__y").agg(F.min(F.struct(F.xxhash64("__text").alias("h"), F.col("__text").alias("t"))).alias("__m"))
+    n = F.coalesce(F.length("__m.t"), F.lit(0)).cast("long")
+    order = Window.partitionBy("__y").orderBy(F.xxhash64("__id", F.lit(20177)), "__id")  # of at most `most` rows
+    held = one.withColumn("__before", F.sum(n).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - n).withColumn("__n", n)
+    return held.where((F.col("__before") == 0) | (F.col("__before") + F.col("__n") <= chars)).select("__id", "__y", F.col("__m.t").alias("__text"))
 
 
 def bucket_count(rows: int, per: int = PREFIX_ROWS) -> int:

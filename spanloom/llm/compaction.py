@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_schema, scratch_path, slices
+from .common import arrow_schema, map_arrow, scratch_path, slices
 
 #: Uncompressed bytes of an arrival's shard, and bytes on disk of a compacted file.
 SHARD_BYTES = 16 << 20
@@ -141,7 +141,7 @@ class ShardTable:
             if made:
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*made, strict=True), wanted, strict=True)], schema=wanted)
 
-        new = [r.asDict() for r in arrivals.mapInArrow(write, _ENTRY).collect()]  # one row a shard: metadata
+        new = [r.asDict() for r in map_arrow(arrivals, write, _ENTRY).collect()]  # one row a shard: metadata
         for _ in range(tries):
             now = self.manifest()
             if now.version and now.schema != arrivals.schema.json():
@@ -204,7 +204,7 @@ class ShardTable:
                     yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(made, wanted, strict=True)], schema=wanted)
 
         tasks = self.spark.range(0, len(groups), 1, len(groups))
-        return {r.k: {"name": r.name, "rows": r.rows, "bytes": r.bytes} for r in tasks.mapInArrow(merge, ddl).collect()}
+        return {r.k: {"name": r.name, "rows": r.rows, "bytes": r.bytes} for r in map_arrow(tasks, merge, ddl).collect()}
 
     def read(self, version: int | None = None) -> DataFrame:
         now = self.manifest(version)

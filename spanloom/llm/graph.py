@@ -14,8 +14,12 @@ def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
     Rows of a hot node are reduced before they are shuffled (minima and distinct pairs); each
     half round is a table in the shared folder, so a lost executor costs one half round.
     """
+    with plain_unions(edges.sparkSession):
+        return _components(edges, most_rounds)
+
+
+def _components(edges: DataFrame, most_rounds: int) -> DataFrame:
     spark = edges.sparkSession
-    plain_unions(spark)
     now = materialise(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "cc")
     for _ in range(most_rounds):
         both = now.union(now.select("v", "u"))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, bounded_sample, codepoints, crc_mod, map_texts, slices
+from .common import arrow_schema, bounded_sample, codepoints, crc_mod, map_arrow, map_texts, slices
 
 #: Most training texts of one language (a documented bound: the model is a classifier).
 TRAIN_TEXTS = 1500
@@ -120,7 +120,7 @@ class Model:
 def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most: int = TRAIN_TEXTS, bits: int = BITS) -> Model:
     """Counts trigrams of labelled whole texts: at most `most` a language, chosen by id hash."""
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(id_col, F.col(lang_col).alias("__lang"), F.col(text_col).alias("__text"))
-    rows = bounded_sample(rows.where(F.length("__text") > 0), id_col, "__lang", most)
+    rows = bounded_sample(rows.where(F.length("__text") > 0), id_col, "__lang", most, "__text")
     schema = arrow_schema("lang string, bucket int, n long")
 
     def count(batches):
@@ -133,7 +133,7 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
             at = np.flatnonzero(own)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(own[at])], schema=schema)
 
-    counts = rows.select("__lang", "__text").mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    counts = map_arrow(rows.select("__lang", "__text"), count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     langs = sorted(set(counts.column("lang").to_pylist()))
     probs = np.full((1 << bits, len(langs)), SMOOTHING, np.float64)
     if langs:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-from .common import arrow_schema, bucket_count, materialise, prefix_sum, scratch_path, slices
+from .common import arrow_schema, bucket_count, map_arrow, materialise, prefix_sum, scratch_path, slices
 from .tokens import Encoder, default_vocabulary
 
 LENGTH = 1024
@@ -53,7 +53,7 @@ def tokenise(docs: DataFrame, id_col: str, text_col: str, source_col: str, path:
             yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array([len(x) // item for x in ids]), pa.array(ids, pa.binary())], schema=schema)
 
     rows = docs.select(F.monotonically_increasing_id().alias("row_id"), F.spark_partition_id().alias("part"), F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).alias("text"))
-    return materialise(rows.mapInArrow(run, ddl), "ids")
+    return materialise(map_arrow(rows, run, ddl), "ids")
 
 
 def schedule(lengths: DataFrame, length: int = LENGTH, chunk: int = CHUNK, shares: dict[str, float] | None = None) -> DataFrame:
@@ -127,7 +127,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
             if got:
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*got, strict=True), schema, strict=True)], schema=schema)
 
-    return tokens.select("row_id", "part", "doc_id", "n", "ids").mapInArrow(run, ddl)
+    return map_arrow(tokens.select("row_id", "part", "doc_id", "n", "ids"), run, ddl)
 
 
 def window_mixture(pieces: DataFrame, sources: DataFrame, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, discard, materialise, plain_unions, slices
+from .common import arrow_schema, discard, map_arrow, materialise, plain_unions, slices
 from .graph import components
 from .grams import mix, shingles, words
 
@@ -99,7 +99,7 @@ def _signatures(docs: DataFrame, id_col: str, text_col: str, n: int, bands: int,
 
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows_in = docs.select(F.col(id_col).cast("long").alias("id"), F.unhex(F.md5(text.cast("binary"))).alias("digest"), text.alias("t"))
-    return rows_in.mapInArrow(run, ddl)
+    return map_arrow(rows_in, run, ddl)
 
 
 def _explode_bands(texts: DataFrame) -> DataFrame:
@@ -113,7 +113,7 @@ def _explode_bands(texts: DataFrame) -> DataFrame:
             ids = np.repeat(b.column(0).to_numpy(zero_copy_only=False), n)
             yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(raw), np.int64)), pa.array(ids)], schema=schema)
 
-    return texts.select("id", "bands").mapInArrow(run, "bucket long, id long")
+    return map_arrow(texts.select("id", "bands"), run, "bucket long, id long")
 
 
 def _similar(pairs: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
@@ -127,7 +127,7 @@ def _similar(pairs: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(fine), batch.column(1).filter(fine)], schema=schema)
 
     own = pairs.join(sketches.select(F.col("id").alias("a"), F.col("sketch").alias("sa")), "a").join(sketches.select(F.col("id").alias("b"), F.col("sketch").alias("sb")), "b")
-    return own.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    return map_arrow(own.select("a", "b", "sa", "sb"), run, "a long, b long")
 
 
 def _blocked(members: DataFrame, group: str, per: int) -> DataFrame:
@@ -183,7 +183,7 @@ def _gram_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, n
     side = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
     rows = rows.join(side, "digest").where(F.col("own_id").eqNullSafe(F.col("least_id")))
     # The row that names a text may be there repeatedly.
-    return rows.select("id", "t").mapInArrow(run, "id long, grams binary").groupBy("id").agg(F.first("grams").alias("grams"))
+    return map_arrow(rows.select("id", "t"), run, "id long, grams binary").groupBy("id").agg(F.first("grams").alias("grams"))
 
 
 def _square_links(table: pa.Table, threshold: float) -> pa.Table:
@@ -258,8 +258,12 @@ def _forest(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = NGRAM, threshold: float = THRESHOLD, recall: float = RECALL, hashes: int = HASHES) -> DataFrame:
     """(id, class_id, n_links, n_copies), one row for each row of docs."""
+    with plain_unions(docs.sparkSession):
+        return _near_copies(docs, id_col, text_col, n, threshold, recall, hashes)
+
+
+def _near_copies(docs: DataFrame, id_col: str, text_col: str, n: int, threshold: float, recall: float, hashes: int) -> DataFrame:
     spark = docs.sparkSession
-    plain_unions(spark)
     bands, rows = plan_bands(threshold, recall, hashes)
     k = bands * rows
     # Sketches of one byte agree by chance in 1/256 of the places that differ.
@@ -340,7 +344,7 @@ def _verify_small(few: DataFrame, threshold: float, ddl: str) -> DataFrame:
             yield from flush(held).to_batches()
 
     parted = few.repartition("batch").sortWithinPartitions("grp")
-    return parted.select("grp", "i", "j", "blk", "id", "grams").mapInArrow(run, ddl)
+    return map_arrow(parted.select("grp", "i", "j", "blk", "id", "grams"), run, ddl)
 
 
 def op2_near_copies(spark, sf_dir: str) -> DataFrame:

@@ -20,10 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, bounded_sample, codepoints, map_texts, slices
+from .common import arrow_schema, codepoints, labelled_texts, map_arrow, map_texts, slices
 
 #: Most labelled rows of each label that the classifier is fitted to (a documented bound).
 TRAIN_ROWS = 2500
+#: Most characters of the texts of a label that it is fitted to (a bound of bytes, documented).
+TRAIN_CHARS = 16 << 20
 BITS = 15
 KEEP_AT = 0.5
 MIN_WORDS = 10
@@ -193,11 +195,9 @@ def platt(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return a, c
 
 
-def labelled_features(docs: DataFrame, labels: DataFrame, label: str, id_col: str = "doc_id", text_col: str = "text", most: int = TRAIN_ROWS) -> list[tuple[int, np.ndarray, np.ndarray]]:
+def labelled_features(docs: DataFrame, labels: DataFrame, label: str, id_col: str = "doc_id", text_col: str = "text", most: int = TRAIN_ROWS, chars: int = TRAIN_CHARS) -> list[tuple[int, np.ndarray, np.ndarray]]:
     """Features of a bounded sample of labelled rows: at most `most` of each label, by id hash."""
-    rows = labels.where(F.col(label).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("__id"), F.col(label).cast("int").alias("__y"))
-    rows = bounded_sample(rows, "__id", "__y", most)  # at most 2 x most rows of two integers: small enough to broadcast
-    sample = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(F.broadcast(rows), "__id").select("__id", "__y", "__text")
+    sample = labelled_texts(docs, labels, label, id_col, id_col, text_col, most, chars)
     schema = arrow_schema("id string, y int, i binary, v binary")
 
     def run(batches):
@@ -211,7 +211,7 @@ def labelled_features(docs: DataFrame, labels: DataFrame, label: str, id_col: st
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.string()), b.column(1), pa.array([o[0] for o in out], pa.binary()), pa.array([o[1] for o in out], pa.binary())], schema=schema)
 
     # The sample is bounded, so the driver may hold it; sorted, the fit is the same each time.
-    got = sample.mapInArrow(run, "id string, y int, i binary, v binary").toArrow().sort_by([("id", "ascending"), ("y", "ascending"), ("i", "ascending")])
+    got = map_arrow(sample, run, "id string, y int, i binary, v binary").toArrow().sort_by([("id", "ascending"), ("y", "ascending"), ("i", "ascending")])
     return [(y, np.frombuffer(i, np.int32).astype(np.int64), np.frombuffer(v, np.float32)) for y, i, v in zip(got["y"].to_pylist(), got["i"].to_pylist(), got["v"].to_pylist(), strict=True)]
 
 

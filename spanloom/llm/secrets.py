@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, codepoints, map_texts, slices
+from .common import arrow_schema, codepoints, map_arrow, map_texts, slices
 
 #: Most texts that the field is fitted to (a documented bound: the model is a classifier).
 TRAIN_TEXTS = 1500
@@ -502,7 +502,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most:
     share = min(1.0, 4.0 * most / max(1, total))
     rows = docs.where(possible).select(h.alias("h"), F.col(text_col).alias("t")).where(F.pmod("h", F.lit(1 << 30)) < int(share * (1 << 30)))
     rows = rows.dropDuplicates(["h"]).orderBy(F.pmod("h", F.lit(1 << 30)), "h").limit(most)
-    got = rows.mapInArrow(run, ddl).toArrow().sort_by([("h", "ascending"), ("left", "ascending"), ("right", "ascending")]).to_pylist()
+    got = map_arrow(rows, run, ddl).toArrow().sort_by([("h", "ascending"), ("left", "ascending"), ("right", "ascending")]).to_pylist()
     rng, data = random.Random(seed), []
     width = len(TEMPLATES)
     for r in got:

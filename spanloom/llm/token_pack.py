@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, slices
+from .common import arrow_schema, map_arrow, slices
 from .tokens import Encoder, default_vocabulary
 
 LENGTH = 1024
@@ -126,7 +126,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
         yield from rows([[rests[k] for k in s] for s in best_fit_decreasing([len(r[2]) // item for r in rests], length)])
 
     rows_in = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text"), F.spark_partition_id().alias("__task"))
-    return rows_in.mapInArrow(run, SCHEMA)
+    return map_arrow(rows_in, run, SCHEMA)
 
 
 def position_ids(cu_seqlens: list[int]) -> np.ndarray:
@@ -162,7 +162,7 @@ def write_matrices(packed: DataFrame, folder: str, length: int = LENGTH) -> Data
         if n:
             yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n]), pa.array([sum(map(len, cu)) - 1])], schema=schema)
 
-    return packed.select("input_ids", "cu_seqlens").mapInArrow(run, ddl)
+    return map_arrow(packed.select("input_ids", "cu_seqlens"), run, ddl)
 
 
 def op8_token_ids(spark, sf_dir: str) -> DataFrame:

@@ -16,7 +16,8 @@ Examples are a bounded sample (EXAMPLES of each label, by id hash) of the labell
 may be learnt from. Defined results: a text without a term of an example, null and empty ones included,
 has the calibrated score of no vote; without labels of both kinds every score is the share
 of label 1 (0 without labels); equal cosines are taken by example number; several labels of one
-id are each an example; repeated rows are scored each for itself.
+id are each an example; repeated rows are scored each for itself, and an id with several texts is
+an example with one of them.
 """
 
 from __future__ import annotations
@@ -31,11 +32,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_schema, bounded_sample, crc_mod, slices
+from .common import arrow_schema, crc_mod, labelled_texts, map_arrow, slices
 from .grams import _M1, mix, words_and_letters
 
 #: Most examples of each label (a documented bound: the model is a classifier).
 EXAMPLES = 4000
+#: Most characters of the texts of the examples of a label (a bound of bytes, documented).
+CHARS = 64 << 20
 #: Weight of terms that don't tell the labels apart, of those that do it is 1.
 ORDINARY = 0.05
 CHI = 15
@@ -162,16 +165,16 @@ class Vocabulary:
         return [(t[x:y], w[x:y]) for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
-def alike(vectors: list[tuple[np.ndarray, np.ndarray]], df: np.ndarray, terms: int = 512, groups: int = 64, rounds: int = 4) -> np.ndarray:
+def alike(terms: np.ndarray, weights: np.ndarray, cuts: np.ndarray, df: np.ndarray, common: int = 512, groups: int = 64, rounds: int = 4) -> np.ndarray:
     """An order of unit vectors in which those with the same commonest terms are near each other."""
-    n = len(vectors)
+    n = len(cuts) - 1
     row = np.full(len(df), -1, np.int32)
-    common = np.argsort(-df, kind="stable")[:terms]
-    row[common] = np.arange(len(common))
-    x = np.zeros((n, len(common)), np.float32)
-    for i, (t, w) in enumerate(vectors):
-        r = row[t]
-        x[i, r[r >= 0]] = w[r >= 0]
+    top = np.argsort(-df, kind="stable")[:common]
+    row[top] = np.arange(len(top))
+    x = np.zeros((n, len(top)), np.float32)
+    for i in range(n):
+        r = row[terms[cuts[i] : cuts[i + 1]]]
+        x[i, r[r >= 0]] = weights[cuts[i] : cuts[i + 1]][r >= 0]
     centres = x[np.random.default_rng(5).permutation(n)[:groups]]
     near = np.zeros(n, np.int64)
     for _ in range(rounds):
@@ -183,7 +186,10 @@ def alike(vectors: list[tuple[np.ndarray, np.ndarray]], df: np.ndarray, terms: i
 
 def _pack(number: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """number in the upper halves of 64-bit integers, weight as a float in the lower ones."""
-    return number.astype("<i8") << 32 | weight.astype("<f4").view("<u4").astype("<i8")
+    out = number.astype("<i8")
+    out <<= 32
+    out |= weight.astype("<f4").view("<u4")
+    return out
 
 
 def _ranges(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -222,28 +228,30 @@ class Index:
     @staticmethod
     def build(vectors: list[tuple[np.ndarray, np.ndarray]], labels, ids, texts, terms: int, apart: np.ndarray | None = None, common: int = COMMON, block: int = BLOCK) -> Index:
         n = len(vectors)
-        t = np.concatenate([v[0] for v in vectors]) if n else np.zeros(0, np.int64)
-        w = np.concatenate([v[1] for v in vectors]) if n else np.zeros(0, np.float32)
+        t = np.concatenate([v[0] for v in vectors]).astype(np.int32) if n else np.zeros(0, np.int32)
+        w = np.concatenate([v[1] for v in vectors]).astype(np.float32) if n else np.zeros(0, np.float32)
+        cuts = np.concatenate(([0], np.cumsum([len(v[0]) for v in vectors], dtype=np.int64)))
         df = np.bincount(t, minlength=terms)
-        place = alike(vectors, df) if n else np.zeros(0, np.int64)
+        place = alike(t, w, cuts, df) if n else np.zeros(0, np.int64)
         at = np.empty(n, np.int32)
         at[place] = np.arange(n)
-        doc = np.repeat(at, [len(v[0]) for v in vectors]) if n else np.zeros(0, np.int32)
+        doc = np.repeat(at, np.diff(cuts))
         ordinary = df if apart is None else df * ~apart
         long = np.argsort(-ordinary, kind="stable")[: min(common, int((ordinary > 0).sum()))]
         column = np.full(terms, -1, np.int32)
         column[long] = np.arange(len(long))
-        own = column[t] >= 0 if terms else np.zeros(0, bool)
+
+        def lists(key, number, weight, keys):
+            order = np.argsort(key, kind="stable")
+            return np.concatenate(([0], np.cumsum(np.bincount(key, minlength=keys)))), _pack(number[order], weight[order])
+
+        is_long = column[t] >= 0
         maxima = np.zeros((len(long), -(-n // block)), np.float32)
-        c, d, v = column[t[own]], doc[own], w[own].astype(np.float32)
+        c, d, v = column[t[is_long]], doc[is_long], w[is_long]
         np.maximum.at(maxima, (c, d // block), v)
-        order = np.argsort(d, kind="stable")
-        begin = np.concatenate(([0], np.cumsum(np.bincount(d, minlength=n))))
-        entries = _pack(c[order], v[order])
-        t, w, doc = t[~own], w[~own], doc[~own]
-        order = np.argsort(t, kind="stable")
-        first = np.concatenate(([0], np.cumsum(np.bincount(t, minlength=terms))))
-        return Index(np.asarray(labels, np.int64), np.asarray(ids), np.asarray(texts), place, column, first, _pack(doc[order], w[order]), maxima, begin, entries, block)
+        begin, entries = lists(d, c, v, n)
+        first, postings = lists(t[~is_long], doc[~is_long], w[~is_long], terms)
+        return Index(np.asarray(labels, np.int64), np.asarray(ids), np.asarray(texts), place, column, first, postings, maxima, begin, entries, block)
 
     def nearest_many(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int = NEAREST, without: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
         """(example, cosine) of the k nearest, nearest first; only those that share a term.
@@ -253,42 +261,41 @@ class Index:
         whose bound reaches the k-th largest cosine known get what they do add.
         """
         n, out = len(self.place), []
+        if not n:
+            return [(np.zeros(0, np.int64), np.zeros(0, np.float32))] * len(vectors)
         dense = np.zeros(max(1, len(self.maxima)), np.float32)
         for i, (t, w) in enumerate(vectors):
             c = self.column.take(t)
-            own = c >= 0
-            long, weight = c[own], w[own]
-            t, w = t[~own], w[~own]
+            is_long = c >= 0
+            long, weight = c[is_long], w[is_long]
+            t, w = t[~is_long], w[~is_long]
             places, size = _ranges(self.first.take(t), self.first.take(t + 1))
             if len(places):
                 found = self.postings.take(places)
-                score = np.bincount(found >> 32, found.view(np.float32)[::2] * np.repeat(w, size), n).astype(np.float32)
+                known = np.bincount(found >> 32, found.view(np.float32)[::2] * np.repeat(w, size), n).astype(np.float32)
             else:
-                score = np.zeros(n, np.float32)
-            bound = score
+                known = np.zeros(n, np.float32)
+            bound = known
             if len(long):
-                bound = score + np.repeat(weight @ self.maxima.take(long, 0), self.block)[:n]
+                bound = known + np.repeat(weight @ self.maxima.take(long, 0), self.block)[:n]
+                dense[long] = weight
             if without is not None:
-                same = self.texts[self.place] == without[i]
-                score, bound = np.where(same, 0, score), np.where(same, 0, bound)
-            dense[long] = weight
+                bound = np.where(self.texts[self.place] == without[i], 0, bound)
             m = k + k // 4
             some = np.argpartition(bound, n - m)[n - m :] if n > m else np.arange(n)
-            known = score.copy()
-            known[some] += self._long(dense, some)
-            if without is not None:
-                known[same] = 0
+            value = known.take(some) + self._long(dense, some)
             if n > m:
-                least = np.partition(known, n - k)[n - k]
-                more = bound >= least - 2e-5
+                # The k-th largest of these is not above that of all.
+                more = bound >= np.partition(value, m - k)[m - k] - 2e-5
                 more[some] = False
                 more = np.flatnonzero(more)
-                known[more] += self._long(dense, more)
-                if without is not None:
-                    known[same] = 0
-                some = np.concatenate((some, more))
+                if len(more):
+                    some = np.concatenate((some, more))
+                    value = np.concatenate((value, known.take(more) + self._long(dense, more)))
             dense[long] = 0
-            value, who = np.round(known[some].astype(np.float64), 5), self.place[some]
+            value, who = np.round(value.astype(np.float64), 5), self.place[some]
+            if without is not None:
+                value[self.texts[who] == without[i]] = 0
             got = np.lexsort((who, -value))[:k]
             got = got[value[got] >= 1e-5]
             out.append((who[got], value[got].astype(np.float32)))
@@ -296,7 +303,7 @@ class Index:
 
     def _long(self, dense: np.ndarray, places: np.ndarray) -> np.ndarray:
         """What the common terms of a text, as a dense vector, add to the cosines of examples."""
-        at, size = _ranges(self.begin[places], self.begin[places + 1])
+        at, size = _ranges(self.begin.take(places), self.begin.take(places + 1))
         out = np.zeros(len(places), np.float32)
         if len(at):
             found = self.entries.take(at)
@@ -335,16 +342,32 @@ def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
     return np.array([p[2] / p[1] for p in pools]), np.array([p[0] / p[1] for p in pools])
 
 
-def tell_apart(hashes: np.ndarray, y: np.ndarray, n0: int, n1: int, min_df: int = MIN_DF) -> tuple[np.ndarray, np.ndarray]:
-    """(distinct terms, do they tell the labels apart?) of the examples' terms, with the label of each."""
-    distinct, place = np.unique(hashes, return_inverse=True)
+def tell_apart(distinct: np.ndarray, a: np.ndarray, b: np.ndarray, n0: int, n1: int, min_df: int = MIN_DF) -> np.ndarray:
+    """Do terms tell the labels apart? a, b: the examples of label 1 and 0 that have each."""
     if not n0 or not n1:
-        return distinct[:0], np.zeros(0, bool)
-    a = np.bincount(place, y == 1, len(distinct))
-    b = np.bincount(place, y == 0, len(distinct))
-    n = n0 + n1
+        return np.zeros(len(distinct), bool)
+    n, a, b = n0 + n1, a.astype(np.float64), b.astype(np.float64)
     chi = n * (a * (n0 - b) - b * (n1 - a)) ** 2 / (n0 * n1 * (a + b) * (n - a - b + 1e-9))
-    return distinct, (a + b >= min_df) & (chi > CHI)
+    return (a + b >= min_df) & (chi > CHI)
+
+
+def example_terms(texts: list[str | None], ys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct terms, examples of label 1 with each, of label 0) of the examples, some at a time."""
+    empty = np.zeros(0, np.int32)
+    now = (np.zeros(0, np.uint64), empty, empty)
+    parts: list[tuple] = []
+
+    def merged(parts: list[tuple]) -> tuple:
+        h, place = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+        return h, *(np.bincount(place, np.concatenate([p[k] for p in parts]), len(h)).astype(np.int32) for k in (1, 2))
+
+    for at in range(0, len(texts), SLICE_ROWS):
+        h, who, _ = occurrences(texts[at : at + SLICE_ROWS])
+        y = ys[at : at + SLICE_ROWS][who]
+        parts.append(merged([(h, y, 1 - y)]))
+        if sum(len(p[0]) for p in parts) > 1 << 20:
+            now, parts = merged([now, *parts]), []
+    return merged([now, *parts])
 
 
 def document_frequencies(docs: DataFrame, text_col: str, vocabulary: Broadcast, terms: int, parts: int = 64) -> tuple[int, np.ndarray]:
@@ -367,45 +390,42 @@ def document_frequencies(docs: DataFrame, text_col: str, vocabulary: Broadcast,
         yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([x.tobytes() for x in held.values()], pa.binary())], schema=schema)
 
     out = np.zeros((parts, width), np.int64)
-    counted = docs.select(text_col).mapInArrow(run, "part int, df binary").repartition("part").mapInArrow(add, "part int, df binary").toArrow()
+    counted = map_arrow(map_arrow(docs.select(text_col), run, "part int, df binary").repartition("part"), add, "part int, df binary").toArrow()
     for k, raw in zip(counted["part"].to_pylist(), counted["df"].to_pylist(), strict=True):
         out[k] = np.frombuffer(raw, np.int64)
     out = out.reshape(-1)
     return int(out[terms]), out[:terms]
 
 
-def score(docs: DataFrame, labels: DataFrame, kept: list[str], id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", learn=None, examples: int = EXAMPLES, nearest: int = NEAREST, min_df: int = MIN_DF) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, kept: list[str], id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", learn=None, examples: int = EXAMPLES, nearest: int = NEAREST, min_df: int = MIN_DF, chars: int = CHARS) -> DataFrame:
     """kept columns, score, predicted and evidence (ids and cosines of the nearest examples).
 
+    A kept column that has the name of one of these gives way to it.
+
     learn: a condition on the ids of labels that may be learnt from.
     """
     spark = docs.sparkSession
+    kept = [c for c in kept if c.lower() not in ("score", "predicted", "evidence")]
     rows = labels.where(F.col(label).isin(0, 1) & F.col(id_col).isNotNull())
     rows = (rows.where(learn) if learn is not None else rows).select(F.col(id_col).alias("__id"), F.col(label).cast("int").alias("__y"))
     totals = {r[0]: r[1] for r in rows.groupBy("__y").count().collect()}
-    picked = bounded_sample(rows, "__id", "__y", examples)  # at most 2 x examples rows of two integers
-    texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
-    sample = texts.join(F.broadcast(picked), "__id").toArrow()  # bounded by examples
+    sample = labelled_texts(docs, rows, "__y", "__id", id_col, text_col, examples, chars).toArrow()
     # Sorted, the index is the same each time.
     found = sorted(zip(*(sample[c].to_pylist() for c in ("__id", "__y", "__text")), strict=True), key=lambda r: (r[0], r[1], r[2] or ""))
     ys, own_texts = np.array([r[1] for r in found], np.int64), [r[2] for r in found]
     n1 = int(ys.sum())
-    hashes, whose = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-    for at in range(0, len(found), SLICE_ROWS):
-        h, who, _ = occurrences(own_texts[at : at + SLICE_ROWS])
-        hashes.append(h)
-        whose.append(who + at)
-    distinct, apart = tell_apart(np.concatenate(hashes), ys[np.concatenate(whose)], len(ys) - n1, n1, min_df)
-    del hashes, whose
-    k = len(distinct)
+    distinct, a, b = example_terms(own_texts, ys)
+    apart = tell_apart(distinct, a, b, len(ys) - n1, n1, min_df)
+    k = len(distinct) if 0 < n1 < len(ys) else 0
+    distinct, apart = distinct[:k], apart[:k]
     vocabulary = Vocabulary.of(distinct)
     terms = spark.sparkContext.broadcast(vocabulary)  # bounded by the examples' terms
-    n, df = document_frequencies(texts, "__text", terms, k) if k else (0, np.zeros(0))
+    n, df = document_frequencies(docs, text_col, terms, k) if k else (0, np.zeros(0))
     weights = (np.log((n + 1) / (df + 1)) + 0.1) * np.where(apart, 1.0, ORDINARY)
     unseen = (np.log(n + 1) + 0.1) * ORDINARY
     every = totals.get(0, 0) + totals.get(1, 0)
     same: dict[str, int] = {}
-    own = [v for at in range(0, len(found), SLICE_ROWS) for v in vocabulary.vectors(own_texts[at : at + SLICE_ROWS], weights, unseen)]
+    own = [(t.astype(np.int32), w) for at in range(0, len(found), SLICE_ROWS) for t, w in vocabulary.vectors(own_texts[at : at + SLICE_ROWS], weights, unseen)]
     classes = [same.setdefault(t or "", len(same)) for t in own_texts]
     index = Index.build(own, ys, [r[0] for r in found], classes, k, apart)
     index.base = totals.get(1, 0) / every if every else 0.0
@@ -442,7 +462,7 @@ def score(docs: DataFrame, labels: DataFrame, kept: list[str], id_col: str = "do
             cols = [b.column(i) for i in range(len(kept))] + [pa.array([o[j] for o in out], type=schema.field(len(kept) + j).type) for j in range(3)]
             yield pa.RecordBatch.from_arrays([c.cast(schema.field(i).type) if c.type != schema.field(i).type else c for i, c in enumerate(cols)], schema=schema)
 
-    return docs.select(*kept, F.col(text_col).alias("__text")).mapInArrow(run, fields)
+    return map_arrow(docs.select(*kept, F.col(text_col).alias("__text")), run, fields)
 
 
 def op7_toxicity(spark, sf_dir: str) -> DataFrame:

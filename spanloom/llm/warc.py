@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, materialise, scratch_path, slices
+from .common import arrow_schema, map_arrow, materialise, scratch_path, slices
 
 #: A file is closed once it has this size, so one file is a task's worth of reading.
 FILE_BYTES = 64 << 20
@@ -108,7 +108,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     at = jvm.org.apache.hadoop.fs.Path(folder)
     at.getFileSystem(conf).mkdirs(at)
-    index = rows.mapInArrow(write, INDEX)
+    index = map_arrow(rows, write, INDEX)
     index.write.option("compression", "zstd").parquet(f"{folder}/index")
     return open_index(spark, folder)
 
@@ -171,7 +171,7 @@ def read_records(selected: DataFrame, folder: str, with_payload: bool = True) ->
             yield pa.RecordBatch.from_arrays([pa.array([g[f.name] for g in got], type=f.type) for f in schema], schema=schema)
 
     by_file = selected.select("file", "offset", "length").repartition("file").sortWithinPartitions("file", "offset")
-    return by_file.mapInArrow(read, ddl)
+    return map_arrow(by_file, read, ddl)
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -331,7 +331,7 @@ def test_nearest_is_exact():
         t = np.unique(rng.integers(0, 60, rng.integers(0, 9)))
         w = rng.random(len(t)).astype(np.float32)
         vectors.append((t, w / np.sqrt((w * w).sum()) if len(t) else w))
-    index = toxicity.Index.build(vectors, [0] * 1500, list(range(1500)), list(range(1500)), 60)
+    index = toxicity.Index.build(vectors, [0] * 1500, list(range(1500)), list(range(1500)), 60, common=20)
     dense = np.zeros((1500, 60), np.float32)
     for k, (t, w) in enumerate(vectors):
         dense[k, t] = w

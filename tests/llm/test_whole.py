@@ -5,7 +5,7 @@ import re
 
 import numpy as np
 
-from spanloom.llm import decontaminate, secrets, toxicity
+from spanloom.llm import common, decontaminate, quality, secrets, toxicity
 from tests.llm.test_operators import paraphrase, prose
 
 
@@ -131,3 +131,28 @@ def test_items_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "ITEM_PASSAGES", 20)
     monkeypatch.setattr(decontaminate, "ITEM_ROW", 4)
     assert found() == got
+
+
+def test_samples_stay_bounded_under_hot_ids(spark):
+    """One id on a third of all rows, with equal and different texts, is one example."""
+    rng = random.Random(16)
+    rows = [(i, prose(rng, "en", 20)) for i in range(400)] + [(7, "hot")] * 100 + [(7, f"hot {i}") for i in range(100)] + [(None, "x y")] * 30
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    lab = spark.createDataFrame([(i, i % 2) for i in range(400)] + [(7, 1)] * 50, "doc_id long, quality int")
+    got = common.labelled_texts(df, lab, "quality", "doc_id", "doc_id", "text", 20, 10**6).collect()
+    assert len(got) == len({(r["__id"], r["__y"]) for r in got}) <= 40
+    few = common.labelled_texts(df, lab, "quality", "doc_id", "doc_id", "text", 20, 300).groupBy("__y").agg({"__text": "count"}).collect()
+    assert all(1 <= r[1] <= 4 for r in few)
+    fitted = quality.labelled_features(df, lab, "quality", most=2)
+    assert len(fitted) <= 4
+    some = common.bounded_sample(df.selectExpr("doc_id", "text", "'en' lang"), "doc_id", "lang", 50, "text").collect()
+    assert len(some) <= 50 and len({r.doc_id for r in some}) == len(some)
+
+
+def test_toxicity_kept_columns_give_way(spark):
+    df = spark.createDataFrame([(1, "a b", 0.5, "x"), (2, None, 0.5, "y")], "doc_id long, text string, Score double, evidence string")
+    out = toxicity.score(df, spark.createDataFrame([(1, 1)], "doc_id long, toxic int"), ["doc_id", "Score", "evidence"])
+    assert out.columns == ["doc_id", "score", "predicted", "evidence"] and out.count() == 2
+    long = spark.createDataFrame([(1, "bad " * 60_000), (2, "good " * 60_000), (3, "bad day")], "doc_id long, text string")
+    out = toxicity.score(long, spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int"), ["doc_id"]).collect()
+    assert {r.doc_id: r.predicted for r in out}[3] in (0, 1) and all(0 <= r.score <= 1 for r in out)
