@@ -120,13 +120,13 @@ def children(x) -> Node:
 
 
 def stags_of(x) -> Node:
-    x = as_node(x)
-    return stag("*").within(x).equal(stag("*").or_(x).childrening(x))
+    """Start tags directly in x, not in another element there."""
+    return stag("*").or_(elements).childrening(as_node(x)).equal(stag("*"))
 
 
 def etags_of(x) -> Node:
-    x = as_node(x)
-    return etag("*").within(x).equal(etag("*").or_(x).childrening(x))
+    """End tags that x ends with."""
+    return etag("*").containing(as_node(x).last_bytes(1))
 
 
 def having_parent(x, y) -> Node:
@@ -134,14 +134,11 @@ def having_parent(x, y) -> Node:
     return elements.or_(x).childrening(y).equal(x)
 
 
-# Mailboxes: messages begin with "From " at the start of a line, headers end with an empty line.
-def _after_newline(text: str) -> Node:
-    """text at the start of a line."""
-    return phrase("\n" + text).last_bytes(len(text)).or_(phrase(text).containing(start))
-
-
+# Mailboxes: messages begin with "From ", at the text's start or in a line with the two colons of a time; headers
+# end with an empty line.
 def mail_start() -> Node:
-    return _after_newline("From ")
+    stamped = phrase("\nFrom ").extracting(NL).to(phrase(":")).to(phrase(":")).within(lines())
+    return followed_by(phrase("F").in_or_equal(start), phrase("rom ")).or_(phrase("From ").within(stamped))
 
 
 def mail_header_end() -> Node:
@@ -161,26 +158,28 @@ def mail_body() -> Node:
     return mail_message().extracting(mail_header())
 
 
-def _field(name: str, within: Node) -> Node:
+def _mail_field(name: str) -> Node:
+    """Lines that begin so, in headers or not, without the newline before."""
     key = phrase("\n" + name)
-    return key.last_bytes(len(name)).within(within).to(line_end())
+    return key.to(line_end()).extracting(NL.within(key))
 
 
 def mail_from() -> Node:
-    return _field("From: ", mail_header())
+    return _mail_field("From: ")
 
 
 def mail_subject() -> Node:
-    return _field("Subject: ", mail_header())
+    return _mail_field("Subject: ")
 
 
 def mail_to() -> Node:
-    """Recipients, continued lines included: up to the next header line or the header's end."""
-    return phrase("\nTo: ").last_bytes(4).within(mail_header()).to(lines().containing(phrase(":")).or_(mail_header_end()), skip_right=True)
+    """Recipients, continued lines included: up to the next line with a colon or the header's end."""
+    key = phrase("\nTo: ")
+    return key.to(lines().containing(phrase(":")).or_(mail_header_end()), skip_right=True).extracting(NL.within(key))
 
 
 def mail_date() -> Node:
-    return _field("Date: ", mail_header())
+    return _mail_field("Date: ")
 
 
 # News spools: articles begin at the text's start or with "From " after an empty line.
@@ -193,7 +192,7 @@ def news_article() -> Node:
 
 
 def news_header() -> Node:
-    return news_start().to(phrase("\n\n").first_bytes(1))
+    return news_start().to(NL.within(phrase("\n\n")))
 
 
 def news_body() -> Node:
@@ -201,8 +200,8 @@ def news_body() -> Node:
 
 
 def news_line(name: Node | str) -> Node:
-    name = name.args[0] if isinstance(name, Node) else name
-    return _field(name + " ", news_header())
+    key = phrase("\n" + (name.args[0] if isinstance(name, Node) else name) + " ")
+    return key.within(news_header()).extracting(NL.within(key)).to(line_end())
 
 
 def news_from() -> Node:
@@ -263,8 +262,16 @@ def c_if_conditions() -> Node:
     return phrase("if").not_in(c_comments().or_(c_control_lines())).to(phrase("(").to(phrase(")")))
 
 
+# Macro files
+def macro_names() -> Node:
+    """The names that a macro file defines: between the parenthesis of a definition and its comma."""
+    defined = phrase("efine").not_in(phrase("(").to(phrase(")")))
+    return defined.to(phrase("(")).to(phrase(",").to(phrase(")")), True, True)
+
+
 #: Names in queries.
 MACROS = {
+    "MACRO_NAMES": macro_names,
     "NUMERAL": numeral, "BLANK": blank, "LOWER": lower, "UPPER": upper, "LEND": line_end, "LSTART": line_start, "LINE": lines, "LINES": lines, "ELINE": empty_lines,
     "REGS_AFTER": regs_after, "REGS_BEFORE": regs_before, "FIRST_I": first_position, "FIRST_IN": first_in, "SECOND_IN": second_in, "THIRD_IN": third_in, "LAST_IN": last_in, "FBY": followed_by, "NEXTTO": followed_by, "ALL": all_text, "WORDS": words, "WORD": word_in,
     "ELEMENTS": elements_named, "ROOT_ELEMENTS": root_elements, "PARENTS": parents, "CHILDREN": children, "STAGS_OF": stags_of, "ETAGS_OF": etags_of, "HAVING_PARENT": having_parent,

@@ -11,7 +11,9 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -80,23 +82,48 @@ def elements(marks: DataFrame, with_name: bool = False) -> DataFrame:
     return regions(m, S(), F.col("n.end_pos")).distinct()
 
 
+def split_words(texts: pa.Array, word_chars: str = WORD_CHARS) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray]:
+    """(text number, word, start, length) of the words of texts without nulls.
+
+    A text is cut at its words and at what lies between; where a word begins is the length of what
+    both lists have before it. The cuts and lengths are Arrow's, over all texts at once.
+    """
+    words = pc.split_pattern_regex(texts, f"[^{word_chars}]+")
+    gaps = pc.split_pattern_regex(texts, f"[{word_chars}]+")
+
+    def cut(lists):
+        flat = lists.flatten()
+        sizes = pc.utf8_length(flat).to_numpy(zero_copy_only=False).astype(np.int64)
+        n = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+        total = np.concatenate(([0], np.cumsum(sizes)))
+        return flat, sizes, n, np.concatenate(([0], np.cumsum(n)))[:-1], total
+
+    flat, sizes, n, first, total = cut(words)
+    _, _, m, gap_first, gap_total = cut(gaps)
+    row = np.repeat(np.arange(len(n)), n)
+    place = np.arange(len(row)) - first[row]
+    # A text that begins with a word has an empty gap first; one that doesn't has an empty word.
+    begins = np.zeros(len(n), bool)
+    some = np.flatnonzero(n > 0)
+    begins[some] = sizes[first[some]] > 0
+    before = np.minimum(place + begins[row], m[row])
+    start = total[:-1] - total[first[row]] + gap_total[gap_first[row] + before] - gap_total[gap_first[row]]
+    keep = sizes > 0
+    return row[keep], flat.filter(pa.array(keep)), start[keep], sizes[keep]
+
+
 def tokens(docs: DataFrame, word_chars: str = WORD_CHARS, ignore_case: bool = False) -> DataFrame:
     """(doc_id, term, start_pos, end_pos) of every word: a longest run of word characters."""
     schema = pa.schema([("doc_id", pa.int64()), ("term", pa.string()), ("start_pos", pa.int64()), ("end_pos", pa.int64())])
 
     def run(batches):
-        rx = re.compile(f"[{word_chars}]+")
         for b in batches:
-            for at in range(0, b.num_rows, 128):
-                c = b.slice(at, 128)
-                ids, terms, ss, es = [], [], [], []
-                for d, text in zip(c.column(0).to_pylist(), c.column(1).to_pylist(), strict=True):
-                    for m in rx.finditer(text):
-                        ids.append(d)
-                        terms.append(m[0].lower() if ignore_case else m[0])
-                        ss.append(m.start())
-                        es.append(m.end() - 1)
-                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip((ids, terms, ss, es), schema, strict=True)], schema=schema)
+            for at in range(0, b.num_rows, 256):
+                c = b.slice(at, 256)
+                row, terms, start, size = split_words(c.column(1), word_chars)
+                if ignore_case:
+                    terms = pa.array([t.lower() for t in terms.to_pylist()], pa.string())
+                yield pa.RecordBatch.from_arrays([c.column(0).take(pa.array(row)), terms, pa.array(start), pa.array(start + size - 1)], schema=schema)
 
     rows = docs.select("doc_id", "text").where(F.col("text").isNotNull())
     return rows.mapInArrow(run, "doc_id long, term string, start_pos long, end_pos long")

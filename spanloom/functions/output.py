@@ -4,8 +4,13 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..model import COLS, E, S
 from ..operators import sets
@@ -16,8 +21,34 @@ _UNESCAPE = {"n": "\n", "t": "\t", "r": "\r", "\\": "\\", "%": "%"}
 
 def with_text(found: DataFrame, docs: DataFrame) -> DataFrame:
     """Regions with the text of each (region_text)."""
-    text = F.substring(F.col("text"), (S() + 1).cast("int"), (E() - S() + 1).cast("int"))
-    return found.join(docs.select("doc_id", "text"), "doc_id").select(*found.columns, text.alias("region_text"))
+    return _sliced(found, docs, "start_pos", "end_pos")
+
+
+def _sliced(found: DataFrame, docs: DataFrame, start: str, end: str) -> DataFrame:
+    """found with region_text; a text meets the regions of its document as one row, and is sliced in one pass."""
+    others = [c for c in found.columns if c != "doc_id"]
+    own = found.groupBy("doc_id").agg(F.collect_list(F.struct(*others)).alias("p"))  # bounded by what one text holds
+    rows = docs.select("doc_id", "text").join(own, "doc_id").select("doc_id", "text", "p")
+    fields = T.StructType([found.schema[c] for c in found.columns] + [T.StructField("region_text", T.StringType())])
+    schema = to_arrow_schema(fields)
+
+    def run(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                c = b.slice(at, 256)
+                lists = c.column(2)
+                n = pc.list_value_length(lists)
+                flat = lists.flatten()
+                cols = {name: flat.field(name) for name in others}
+                ss, es, k, texts = cols[start].to_pylist(), cols[end].to_pylist(), 0, []
+                for text, m in zip(c.column(1).to_pylist(), n.to_pylist(), strict=True):
+                    texts += [text[ss[i] : es[i] + 1] for i in range(k, k + m)]
+                    k += m
+                cols["doc_id"] = c.column(0).take(pa.array(np.repeat(np.arange(len(n)), n.to_numpy(zero_copy_only=False))))
+                yield pa.RecordBatch.from_arrays([*[cols[name].cast(schema.field(name).type) for name in found_columns], pa.array(texts, pa.string())], schema=schema)
+
+    found_columns = found.columns
+    return rows.mapInArrow(run, fields)
 
 
 def short(found: DataFrame, docs: DataFrame) -> DataFrame:
@@ -54,9 +85,8 @@ def numbered(found: DataFrame, docs: DataFrame) -> DataFrame:
 
 def long(found: DataFrame, docs: DataFrame) -> DataFrame:
     """All columns of long output, the text included."""
-    n = numbered(found, docs).join(docs.select("doc_id", "text"), "doc_id")
-    text = F.substring(F.col("text"), (F.col("file_start_pos") + 1).cast("int"), F.col("length").cast("int"))
-    return n.select("ordinal", "file", "length", "start_pos", "end_pos", "file_start_pos", "file_end_pos", text.alias("region_text"))
+    n = _sliced(numbered(found, docs), docs, "file_start_pos", "file_end_pos")
+    return n.select("ordinal", "file", "length", "start_pos", "end_pos", "file_start_pos", "file_end_pos", "region_text")
 
 
 _FIELDS = {"f": "file", "s": "start_pos", "e": "end_pos", "l": "length", "i": "file_start_pos", "j": "file_end_pos", "r": "region_text", "n": "ordinal"}
@@ -97,11 +127,18 @@ def read_style(path: str) -> str:
 
 
 def filtered(found: DataFrame, docs: DataFrame, style: str = "%r") -> DataFrame:
-    """(doc_id, text): whole documents with each (merged) region replaced by its format."""
-    style = re.sub(r"%n", "", style) if "%n" in style else style
+    """(doc_id, text): whole documents with each (merged) region replaced by its format.
+
+    A format with %n needs seq in docs too (model.with_offsets): regions are numbered over all documents.
+    """
     merged = sets.concat(found, adjacent=False)
     own = merged.join(docs.select("doc_id", F.col("name").alias("file"), "text", F.col("base")), "doc_id")
-    own = own.select("doc_id", "text", "file", S().alias("file_start_pos"), E().alias("file_end_pos"), (S() + F.col("base")).alias("start_pos"), (E() + F.col("base")).alias("end_pos"), (E() - S() + 1).alias("length"), F.substring("text", (S() + 1).cast("int"), (E() - S() + 1).cast("int")).alias("region_text"))
+    if re.search(r"(?<!%)(?:%%)*%n", style):
+        numbers = numbered(merged, docs).select("doc_id", "ordinal", F.col("file_start_pos").alias("start_pos"))
+        own = own.join(numbers, ["doc_id", "start_pos"])
+    else:
+        own = own.withColumn("ordinal", F.lit(None).cast("long"))
+    own = own.select("doc_id", "text", "ordinal", "file", S().alias("file_start_pos"), E().alias("file_end_pos"), (S() + F.col("base")).alias("start_pos"), (E() + F.col("base")).alias("end_pos"), (E() - S() + 1).alias("length"), F.substring("text", (S() + 1).cast("int"), (E() - S() + 1).cast("int")).alias("region_text"))
     w = Window.partitionBy("doc_id").orderBy("file_start_pos")
     last = F.coalesce(F.lag("file_end_pos").over(w), F.lit(-1))
     own = own.withColumn("from", last + 1)

@@ -48,10 +48,11 @@ def with_offsets(docs: DataFrame) -> DataFrame:
     low, high = sized.agg(F.min("doc_id"), F.max("doc_id")).first()
     if low is None:
         return sized.withColumn("seq", F.lit(0).cast("long")).withColumn("base", F.lit(0).cast("long")).select("doc_id", "name", "text", "seq", "length", "base")
-    width = max(1, (high - low) // n + 1)
-    sized = sized.withColumn("__range", F.floor((F.col("doc_id") - low) / width))
+    # Whole division keeps the order of ids, negative ones included, and can't overflow.
+    width = (high - low) // max(4, n) + 1
+    sized = sized.withColumn("__range", F.expr(f"doc_id div {width}L"))
     sums = sized.groupBy("__range").agg(F.sum("length").alias("__l"), F.count(F.lit(1)).alias("__n"))
-    w = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # at most n + 1 rows
+    w = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # at most n + 2 rows
     sums = sums.select("__range", F.coalesce(F.sum("__l").over(w), F.lit(0)).alias("__bl"), F.coalesce(F.sum("__n").over(w), F.lit(0)).alias("__bn"))
     own = Window.partitionBy("__range").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     out = sized.withColumn("__run", F.sum("length").over(own) - F.col("length")).withColumn("__i", F.row_number().over(own) - 1)

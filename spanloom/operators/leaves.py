@@ -1,8 +1,8 @@
 """Leaf operators: document edges, characters, constant lists, phrases and character classes.
 
 All phrases and classes of an expression are found in one pass over the texts. That pass gives
-one row a document with an array of hits for each pattern, is shuffled once by document, and
-every leaf reads its own array; the plans above it share that one exchange.
+one row a document with an array of hits for each pattern, and every leaf reads its own array;
+if a query's plan shuffles that pass's result by document, its leaves share the exchange.
 """
 
 from __future__ import annotations
@@ -65,20 +65,29 @@ def scan(docs: DataFrame, patterns: list[tuple[str, str]], ignore_case: bool = F
         exact = [t if k == "phrase" and not ignore_case else None for k, t in patterns]
         regexes = [re.compile(pattern(k, t, ignore_case)) for k, t in patterns]
 
-        def hits(text: str, k: int):
-            if exact[k] is not None:
-                p, n, at, out = exact[k], len(exact[k]) - 1, text.find(exact[k]), []
-                while at >= 0:
-                    out.append({"s": at, "e": at + n})
-                    at = text.find(p, at + 1)
-                return out
-            return [{"s": m.start(), "e": m.end(1) - 1} for m in regexes[k].finditer(text)]
-
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 c = b.slice(at, 256)
-                found = [[hits(t, k) for k in range(len(patterns))] for t in c.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([c.column(0), pa.array(found, schema.field(1).type)], schema=schema)
+                ss: list[int] = []
+                es: list[int] = []
+                ends = [0]
+                for text in c.column(1).to_pylist():
+                    for p, rx in zip(exact, regexes, strict=True):
+                        if p is None:
+                            for m in rx.finditer(text):
+                                ss.append(m.start())
+                                es.append(m.end(1) - 1)
+                        else:
+                            n, i = len(p) - 1, text.find(p)
+                            while i >= 0:
+                                ss.append(i)
+                                es.append(i + n)
+                                i = text.find(p, i + 1)
+                        ends.append(len(ss))
+                spans = pa.StructArray.from_arrays([pa.array(ss, pa.int64()), pa.array(es, pa.int64())], names=["s", "e"])
+                each = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), spans)
+                found = pa.ListArray.from_arrays(pa.array(range(0, len(ends), len(patterns)), pa.int32()), each)
+                yield pa.RecordBatch.from_arrays([c.column(0), found.cast(schema.field(1).type)], schema=schema)
 
     rows = docs.select("doc_id", "text").where(F.col("text").isNotNull())
     if not ignore_case and all(k == "phrase" for k, _ in patterns):
@@ -86,7 +95,7 @@ def scan(docs: DataFrame, patterns: list[tuple[str, str]], ignore_case: bool = F
         for _, t in patterns:
             any_of = any_of | F.contains("text", F.lit(t))
         rows = rows.where(any_of)  # texts without any of them never leave the JVM
-    return rows.mapInArrow(run, "doc_id long, hits array<array<struct<s:long,e:long>>>").repartition("doc_id")
+    return rows.mapInArrow(run, "doc_id long, hits array<array<struct<s:long,e:long>>>")
 
 
 def hits_of(scanned: DataFrame, k: int) -> DataFrame:

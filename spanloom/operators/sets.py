@@ -40,25 +40,27 @@ def extracting(a: DataFrame, b: DataFrame) -> DataFrame:
     """What is left of each region of a without the positions that b covers.
 
     Regions and gaps between runs of b meet in the cells of text they have in common, so a
-    document with many of both isn't compared all with all.
+    document with many of both isn't compared all with all. The gap after the last run, which has
+    no end, is in a cell of its own (-1), and so is every region: one that meets nothing there is
+    in a document without b.
     """
-    runs = concat(b)
     w = Window.partitionBy("doc_id").orderBy("start_pos")
-    gap_after = runs.select("doc_id", (E() + 1).alias("gs"), (F.lead("start_pos").over(w) - 1).alias("ge"))
-    gap_first = runs.groupBy("doc_id").agg(F.min("start_pos").alias("m")).select("doc_id", F.lit(0).cast("long").alias("gs"), (F.col("m") - 1).alias("ge"))
-    gaps = gap_after.unionAll(gap_first).where("ge is null or gs <= ge")
-    last = gaps.where("ge is null").select("doc_id", "gs")
-    # The open gap after the last run: at most one a document.
-    tails = a.join(last, "doc_id").where(E() >= F.col("gs")).select("doc_id", F.greatest(S(), F.col("gs")).alias("start_pos"), "end_pos")
-    cells = lambda x, y: F.explode(F.sequence(F.floor(x / CELL), F.floor(y / CELL)))
-    parts = gaps.where("ge is not null").withColumn("cell", cells(F.col("gs"), F.col("ge")))
-    # Clipped to its cells, a piece would be cut at their borders; so the whole overlap is taken, once.
-    own = a.withColumn("cell", cells(S(), E()))
-    meet = own.join(parts, ["doc_id", "cell"]).where((F.col("gs") <= E()) & (F.col("ge") >= S()))
-    meet = meet.where(F.col("cell") == F.floor(F.greatest(S(), F.col("gs")) / CELL))
-    inside = meet.select("doc_id", F.greatest(S(), F.col("gs")).alias("start_pos"), F.least(E(), F.col("ge")).alias("end_pos"))
-    alone = a.join(b.select("doc_id").distinct(), "doc_id", "left_anti")
-    return union(inside, tails, alone)
+    runs = concat(b).withColumn("next", F.lead("start_pos").over(w)).withColumn("k", F.row_number().over(w))
+    after = F.struct((E() + 1).alias("gs"), (F.col("next") - 1).alias("ge"))
+    before = F.struct(F.lit(0).cast("long").alias("gs"), (S() - 1).alias("ge"))
+    gaps = runs.select("doc_id", F.explode(F.when(F.col("k") == 1, F.array(after, before)).otherwise(F.array(after))).alias("g"))
+    gaps = gaps.select("doc_id", "g.gs", "g.ge").where("ge is null or gs <= ge")
+    cells = lambda x, y: F.sequence(F.floor(x / CELL), F.floor(y / CELL))
+    open_cell = F.array(F.lit(-1).cast("long"))
+    parts = gaps.withColumn("cell", F.explode(F.when(F.col("ge").isNull(), open_cell).otherwise(cells(F.col("gs"), F.col("ge")))))
+    own = a.withColumn("cell", F.explode(F.concat(open_cell, cells(S(), E()))))
+    meet = own.join(parts, ["doc_id", "cell"], "left")
+    first = F.greatest(S(), F.col("gs"))
+    # Clipped to its cells, a piece would be cut at their borders; so the whole overlap is taken, in its first cell.
+    inside = (F.col("cell") >= 0) & (F.col("gs") <= E()) & (F.col("ge") >= S()) & (F.col("cell") == F.floor(first / CELL))
+    last = (F.col("cell") < 0) & (F.col("gs").isNull() | (F.col("gs") <= E()))
+    # greatest and least leave out nulls.
+    return meet.where(inside | last).select("doc_id", first.alias("start_pos"), F.least(E(), F.col("ge")).alias("end_pos")).distinct()
 
 
 def first_bytes(a: DataFrame, n: int) -> DataFrame:

@@ -1,21 +1,30 @@
 """Expressions to DataFrames.
 
 Equal sub-expressions are compiled once; all phrases and classes of a query are found in one
-pass over the texts, whose result is shuffled once by document. Every operator works on
-documents by themselves, so that partitioning serves the whole plan.
+pass over the texts, whose result is shuffled once by document if an operator above needs it so.
+Operators of two sets shuffle their union again (see Compiler.run). A large sub-expression that
+is used repeatedly is written as a table, as its plan would be copied, and run, for every use.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import markup
-from ..model import E, S
+from ..model import COLS, E, S
 from ..operators import contain, leaves, pair, sets
-from .ast import Node, rewrite, walk
+from ..sources.shared import materialise
+from .ast import BARE, NAMED, Node, rewrite, walk
+
+#: How often an operator's plan has its operands in it, where that is not once.
+TIMES = {"parenting": (2, 1), "childrening": (2, 1)}
+#: Operators in the plan of a sub-expression from which on it is a table, if it is used repeatedly.
+LARGE = 24
+LEAVES = ("phrase", "class", "list", *BARE, *NAMED)
 
 
 @dataclass
@@ -28,20 +37,33 @@ class Compiler:
     scanned: DataFrame | None = None
     patterns: list = field(default_factory=list)
     marks: DataFrame | None = None
+    uses: Counter = field(default_factory=Counter)
+    weights: dict = field(default_factory=dict)
+    tables: list[str] = field(default_factory=list)
 
     def run(self, node: Node) -> DataFrame:
         # Unions that keep their inputs' partitioning (new in Spark 4.1) go wrong when adaptive
         # execution coalesces those inputs differently: joins above fail or miss partners.
         self.docs.sparkSession.conf.set("spark.sql.unionOutputPartitioning", "false")
         node = rewrite(node)
+        for n in set(walk(node)):
+            for a, times in _operands(n):
+                self.uses[a] += times
         self.patterns = sorted({(n.op, n.args[0]) for n in walk(node) if n.op in ("phrase", "class")})
         if self.patterns:
             self.scanned = leaves.scan(self.docs, self.patterns, self.ignore_case)
+            if any(n.op not in LEAVES and n.op != "or" for n in walk(node)):
+                self.scanned = self.scanned.repartition("doc_id")
         return self.compile(node)
 
     def compile(self, n: Node) -> DataFrame:
         if n not in self.done:
             self.done[n] = self._compile(n)
+            self.weights[n] = 1 + sum(times * self.weights.get(a, 1) for a, times in _operands(n))
+            if self.weights[n] > LARGE and self.uses[n] > 1:
+                self.done[n] = materialise(self.done[n], "regions")
+                self.tables.append(self.done[n].scratch)
+                self.weights[n] = 1
         return self.done[n]
 
     def _markup(self) -> DataFrame:
@@ -68,10 +90,10 @@ class Compiler:
         if op == "word":
             return markup.words_like(self.docs, args[0], self.ignore_case, self.word_chars)
         if op == "in_run":
-            # In a run of n characters: shorter than n, in a document that has such a run.
+            # In a run of n characters: shorter than n and inside the text, which has such a run.
             n_chars, a = args
-            long = self.docs.where(F.length("text") >= n_chars).select("doc_id")
-            return self.compile(a).where(E() - S() + 1 < n_chars).join(long, "doc_id", "left_semi")
+            long = self.docs.where(F.length("text") >= n_chars).select("doc_id", F.length("text").alias("n"))
+            return self.compile(a).where(E() - S() + 1 < n_chars).join(long, "doc_id").where(E() < F.col("n")).select(*COLS)
         sub = [self.compile(a) for a in args if isinstance(a, Node)]
         if op in ("in", "not in"):
             return contain.within(*sub, negate=op != "in")
@@ -96,6 +118,11 @@ class Compiler:
         raise ValueError(f"unknown operator {op}")
 
 
+def _operands(n: Node) -> list[tuple[Node, int]]:
+    nodes = [a for a in n.args if isinstance(a, Node)]
+    return list(zip(nodes, TIMES.get(n.op, (1,) * len(nodes)), strict=True))
+
+
 def _flat(n: Node) -> list[Node]:
     """Operands of a union of unions, so that duplicates are removed once."""
     return [y for a in n.args for y in (_flat(a) if a.op == "or" else [a])]

@@ -13,16 +13,29 @@ from .plans.ast import Node, unparse
 from .plans.compile import Compiler
 from .plans.parser import QueryError, parse
 from .sources.files import concatenate
+from .sources.shared import delete
 
 
 def search(docs: DataFrame, query: str | Node, ignore_case: bool = False, index=None, macros=None, word_chars: str = markup.WORD_CHARS) -> DataFrame:
-    """Regions (doc_id, start_pos, end_pos) of an expression in documents (doc_id, name, text)."""
+    """Regions (doc_id, start_pos, end_pos) of an expression in documents (doc_id, name, text).
+
+    Large sub-expressions that are used repeatedly are written to the shared folder when the query is
+    compiled. release() deletes those tables once the result is no longer read.
+    """
     node = parse(query, MACROS if macros is None else macros) if isinstance(query, str) else query
     if "name" not in docs.columns:
         from pyspark.sql import functions as F
 
         docs = docs.withColumn("name", F.col("doc_id").cast("string"))
-    return Compiler(docs.select("doc_id", "name", "text"), ignore_case, index, word_chars).run(node)
+    compiler = Compiler(docs.select("doc_id", "name", "text"), ignore_case, index, word_chars)
+    out = compiler.run(node)
+    out.tables = compiler.tables  # type: ignore[attr-defined]
+    return out
+
+
+def release(found: DataFrame) -> None:
+    """Deletes the tables that search() has written for this result, which can't be read after that."""
+    delete(found.sparkSession, *getattr(found, "tables", []))
 
 
 def search_streams(files: DataFrame, query: str | Node, stream_col: str, order_col: str, text_col: str = "text", **options) -> DataFrame:

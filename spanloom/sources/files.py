@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import fnmatch
+import re
 import sys
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,14 +11,37 @@ from pyspark.sql import functions as F
 
 
 def read_files(spark: SparkSession, paths: list[str], recursive: bool = False, encoding: str = "UTF-8", glob: str | None = None) -> DataFrame:
-    """One document a file: (doc_id, name, text). Ids are hashes of names, so they need no order of all files."""
+    """One document a file: (doc_id, name, text). Ids are the files' numbers, in the order of paths.
+
+    Files that one path stands for (a folder or a pattern) are in the order of their names; a file
+    that several paths stand for has its first place. Spark lists the names on the driver as well.
+    """
     if not paths:
         raise ValueError("no input files")
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
-    raw = reader.load(paths)
-    return raw.select(F.xxhash64("path").alias("doc_id"), F.col("path").alias("name"), F.decode("content", encoding).alias("text"))
+
+    def load(some):
+        reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
+        return (reader.option("pathGlobFilter", glob) if glob else reader).load(some)
+
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    whole = {}
+    for k, p in enumerate(paths):
+        at = path(p)
+        whole.setdefault(at.getFileSystem(conf).makeQualified(at).toString(), k)
+    patterns = [(re.compile(fnmatch.translate(p)), k) for p, k in whole.items() if any(c in p for c in "*?[{")]
+
+    def order(name: str) -> int:
+        parts, best = name.split("/"), len(paths)
+        for n in range(len(parts), 0, -1):
+            best = min(best, whole.get("/".join(parts[:n]), best))
+        return min([best, *(k for rx, k in patterns if rx.match(name))])
+
+    raw = load(paths)
+    names = sorted({r.path for r in raw.select("path").collect()}, key=lambda n: (order(n), n))  # contents aren't read for that
+    numbers = spark.createDataFrame([(n, i) for i, n in enumerate(names)], "path string, doc_id long")
+    raw = load(list(dict.fromkeys(whole)))
+    return raw.join(numbers, "path").select("doc_id", F.col("path").alias("name"), F.decode("content", encoding).alias("text"))
 
 
 def read_lists(spark: SparkSession, lists: list[str], paths: list[str] | None = None, **options) -> DataFrame:

@@ -7,11 +7,12 @@ all postings have is spread over files as any other range.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import markup
 from ..model import COLS, POSTINGS
+from .shared import delete, materialise
 
 FORMAT = 1
 #: Stop words are broadcast up to this many, and joined by a shuffle beyond.
@@ -44,10 +45,28 @@ def postings_of(docs: DataFrame, word_chars: str = markup.WORD_CHARS, ignore_cas
     return out
 
 
-def build_index(docs: DataFrame, path: str, stop_words: DataFrame | None = None, word_chars: str = markup.WORD_CHARS, ignore_case: bool = False, with_markup: bool = True, partitions: int | None = None) -> Index:
-    """Writes an index below path. docs: doc_id, name, text."""
+def build_index(docs: DataFrame, path: str, stop_words: DataFrame | None = None, word_chars: str = markup.WORD_CHARS, ignore_case: bool = False, with_markup: bool = True, partitions: int | None = None, with_texts: bool = False) -> Index:
+    """Writes an index below path. docs: doc_id, name, text. If that fails, nothing is left there.
+
+    with_texts keeps the texts too, so that they can be searched and shown without the documents.
+    """
+    spark = docs.sparkSession
+    # The range shuffle reads its input twice, to find the ranges and to cut by them: texts are scanned once.
+    postings = materialise(postings_of(docs, word_chars, ignore_case, with_markup), "postings")
+    try:
+        if with_texts:
+            docs.select("doc_id", "name", "text").write.parquet(f"{path}/texts")
+        _write(docs, postings, path, stop_words, word_chars, ignore_case, partitions)
+    except BaseException:
+        delete(spark, path)
+        raise
+    finally:
+        delete(spark, postings.scratch)
+    return Index(spark, path)
+
+
+def _write(docs: DataFrame, postings: DataFrame, path: str, stop_words: DataFrame | None, word_chars: str, ignore_case: bool, partitions: int | None) -> None:
     spark = docs.sparkSession
-    postings = postings_of(docs, word_chars, ignore_case, with_markup)
     if stop_words is not None:
         # Stop words stay known as terms, with how many postings they would have had.
         stopped = postings.where("kind = 'word'").join(F.broadcast(stop_words) if stop_words.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS else stop_words, "term", "left_semi")
@@ -61,7 +80,46 @@ def build_index(docs: DataFrame, path: str, stop_words: DataFrame | None = None,
     docs.select("doc_id", "name", F.length("text").cast("long").alias("length")).write.parquet(f"{path}/docs")
     meta = spark.range(1).select(F.lit(FORMAT).alias("format_version"), F.lit(word_chars).alias("word_chars"), F.lit(ignore_case).alias("ignore_case"))
     meta.coalesce(1).write.parquet(f"{path}/meta")  # last: an index without it is not complete
-    return Index(spark, path)
+
+
+def escaped(term: Column) -> Column:
+    """A term on one line: backslash, quote, newline, tab and return as in phrases, other control characters by number."""
+    out = F.regexp_replace(term, r"([\\\"])", r"\\$1")
+    for c, e in (("\n", "n"), ("\t", "t"), ("\r", "r")):
+        out = F.replace(out, F.lit(c), F.lit(f"\\{e}"))
+    for n in (*range(32), 127):
+        if chr(n) not in "\n\t\r":
+            out = F.replace(out, F.lit(chr(n)), F.lit(f"\\#x{n:x};"))
+    return out
+
+
+class Entries:
+    """A cursor over index terms, in order; rows come from the executors as they are asked for."""
+
+    def __init__(self, terms: DataFrame):
+        self._rows, self._now = terms.toLocalIterator(), None
+        self.next()
+
+    def next(self) -> bool:
+        """Goes on to the next term; false after the last."""
+        self._now = next(self._rows, None) if self._rows is not None else None
+        return self._now is not None
+
+    @property
+    def term(self) -> str | None:
+        return self._now.term if self._now is not None else None
+
+    @property
+    def size(self) -> int:
+        return self._now.postings if self._now is not None else 0
+
+    def close(self) -> None:
+        self._rows = self._now = None
+
+    def __iter__(self):
+        while self.term is not None:
+            yield self.term, self.size
+            self.next()
 
 
 class Index:
@@ -79,6 +137,10 @@ class Index:
         self.docs = spark.read.parquet(f"{path}/docs")
         self.stop_words = spark.read.parquet(f"{path}/stop_words")
 
+    def texts(self) -> DataFrame:
+        """The documents themselves, of an index that keeps them."""
+        return self.spark.read.schema("doc_id long, name string, text string").parquet(f"{self.path}/texts")
+
     def lookup(self, kind: str, term: str) -> DataFrame:
         """Regions of a term; a trailing * looks up all terms that begin with what precedes it."""
         own = self.postings.where(F.col("kind") == kind)
@@ -111,11 +173,22 @@ class Index:
                 s = s.where(F.substring("term", 1, len(last)) <= last) if last else s
             else:
                 s = s.where(F.col("term") == first)
-            out = out.unionAll(s.select("term", F.lit(0).cast("long"), F.lit(True)))
+            out = out.unionAll(s.select("term", "n", F.lit(True)))  # the postings that were left out
         return out.orderBy("term")
 
+    def listing(self, first: str = "", last: str | None = None, kind: str = "word") -> DataFrame:
+        """Terms as lines, in order; what would break a line, and other control characters, is escaped."""
+        return self.terms(first, last, kind).select(escaped(F.col("term")).alias("line"))
+
+    def entries(self, first: str = "", last: str | None = None, kind: str = "word") -> Entries:
+        """A cursor over the terms of a range, with the number of postings of each."""
+        return Entries(self.terms(first, last, kind))
+
     def dump(self, kind: str = "word") -> DataFrame:
-        """One line a term and document: term:[(s,e)(s,e)]."""
+        """term:[(s,e)(s,e)] for each term and document, so that no row holds all postings of a hot term.
+
+        One after the other, the rows of a term are its entry in all documents.
+        """
         # By term and document, so that no group holds all postings of a term.
         p = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("start_pos", "end_pos"))), lambda x: F.concat(F.lit("("), x["start_pos"], F.lit(","), x["end_pos"], F.lit(")"))), "")
         return self.postings.where(F.col("kind") == kind).groupBy("term", "doc_id").agg(p.alias("p")).select("term", "doc_id", F.concat("term", F.lit(":["), "p", F.lit("]")).alias("line"))
@@ -138,7 +211,15 @@ class Index:
         n.select(F.concat_ws(" ", F.col("postings").cast("string"), "term").alias("value")).write.text(path)
 
     def statistics(self) -> DataFrame:
-        """(kind, terms, postings, documents, characters)."""
+        """(kind, terms, postings, stop_words, percent, documents, characters).
+
+        Stop words count as terms, and what was left out of them as postings, as they came by when
+        the index was built; percent is the kind's part of all postings.
+        """
         size = self.docs.agg(F.count(F.lit(1)).alias("documents"), F.sum("length").alias("characters"))  # one row
-        kinds = self.postings.groupBy("kind", "term").agg(F.count(F.lit(1)).alias("n")).groupBy("kind").agg(F.count(F.lit(1)).alias("terms"), F.sum("n").alias("postings"))
-        return kinds.crossJoin(F.broadcast(size))
+        held = self.postings.groupBy("kind", "term").agg(F.count(F.lit(1)).alias("n")).withColumn("stop", F.lit(0))
+        held = held.unionAll(self.stop_words.select(F.lit("word"), "term", "n", F.lit(1)))
+        kinds = held.groupBy("kind").agg(F.count(F.lit(1)).alias("terms"), F.sum("n").alias("postings"), F.sum("stop").alias("stop_words"))
+        total = kinds.agg(F.sum("postings").alias("total"))  # one row
+        out = kinds.crossJoin(F.broadcast(total)).withColumn("percent", 100.0 * F.col("postings") / F.col("total")).drop("total")
+        return out.crossJoin(F.broadcast(size))

@@ -112,7 +112,7 @@ def test_markup(spark):
     assert sorted(t[:6] for t in texts('CHILDREN(ELEMENTS("html"))')) == ["<body>", "<head>"]
 
 
-MAIL = "From a@x Mon\nFrom: a\nSubject: one\nTo: b,\n c\nDate: d1\n\nbody 1\nFrom b@y Tue\nFrom: b\nSubject: two\n\nbody From: me\n"
+MAIL = "From a@x Mon 5 10:00:00\nFrom: a\nSubject: one\nTo: b,\n c\nDate: d1\n\nbody 1\nFrom here on we go\nFrom b@y Tue 6 11:30:00\nFrom: b\nSubject: two\n\nbody From: me\n"
 
 
 def test_mail(spark):
@@ -123,8 +123,9 @@ def test_mail(spark):
     assert texts("MAIL_FROM") == ["From: a\n", "From: b\n"]
     assert texts("MAIL_TO") == ["To: b,\n c\n"]
     assert texts("MAIL_DATE") == ["Date: d1\n"]
-    assert [t[-7:] for t in texts("MAIL_MESS")] == ["body 1\n", "om: me\n"]
-    assert texts("MAIL_BODY") == ["body 1\n", "body From: me\n"]
+    assert [t[-7:] for t in texts("MAIL_MESS")] == [" we go\n", "om: me\n"]
+    assert texts("MAIL_BODY") == ["body 1\nFrom here on we go\n", "body From: me\n"]
+    assert texts("MAIL_HSTART") == ["From ", "From "]
 
 
 NEWS = "Path: p1\nFrom: a\nNewsgroups: g\n\ntext\n\nFrom x\nPath: p2\n\nmore"
@@ -259,3 +260,137 @@ def test_docs_from_drops_what_is_no_document(spark):
     assert with_offsets(docs_from(df, "k", "t").where("false")).count() == 0
     assert markup.tokens(docs_of(spark, None, "a b")).count() == 2
     assert sl.search(docs_of(spark, None, "a b"), word("a").or_(constant([(0, 0)]))).count() >= 1
+
+
+def test_tags_of(spark):
+    """Start tags directly in a region; end tags that it ends with."""
+    page = "<div><p>a</p></div>"
+    assert found(spark, page, 'STAGS_OF(ELEMENTS("div"))') == [(0, 4)]
+    assert found(spark, page, 'ETAGS_OF(ELEMENTS("div"))') == [(13, 18)]
+    assert found(spark, page, 'HAVING_PARENT(ELEMENTS("p"), ELEMENTS("div"))') == [(5, 12)]
+
+
+def test_runs_end_with_the_text(spark):
+    assert found(spark, "abcdefghij", "[(2,4) (8,10) (20,22)] in join(5, chars)") == [(2, 4)]
+
+
+def test_numbered_characters(spark):
+    assert found(spark, "aAé", '"\\#65;\\#xe9;"') == [(1, 2)]
+    with pytest.raises(sl.QueryError):
+        sl.parse('"\\#xd800;"')
+
+
+def test_large_shared_parts_are_tables(spark):
+    docs = docs_of(spark, MAIL)
+    got = sl.search(docs, "MAIL_BODY")
+    assert got.tables and got.count() == 2
+    sl.release(got)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|FILE_NOT_EXIST|does not exist"):
+        got.count()
+
+
+def test_bare_phrases_are_not_shuffled(spark):
+    plan = sl.search(docs_of(spark, "a"), '"a"')._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+
+
+def test_stop_words_count(spark, tmp_path):
+    docs = docs_of(spark, "to be or not to be", "be")
+    stop = spark.createDataFrame([("to",)], "term string")
+    index = build_index(docs, f"{tmp_path}/i", stop_words=stop, with_markup=False)
+    r = {x.kind: x for x in index.statistics().collect()}
+    assert (r["word"].terms, r["word"].postings, r["word"].stop_words) == (4, 7, 1) and r["file"].postings == 2
+    assert abs(sum(x.percent for x in r.values()) - 100) < 1e-9
+    assert {(x.term, x.postings, x.is_stop_word) for x in index.terms("", "").collect()} == {("be", 3, False), ("not", 1, False), ("or", 1, False), ("to", 2, True)}
+    cursor = index.entries("n", "z")
+    assert (cursor.term, cursor.size) == ("not", 1) and cursor.next() and cursor.term == "or"
+    assert list(cursor) == [("or", 1), ("to", 2)] and not cursor.next()
+    cursor.close()
+    assert cursor.term is None
+
+
+def test_listing_is_escaped(spark, tmp_path):
+    index = build_index(docs_of(spark, 'a"b\\c\x01d\te'), f"{tmp_path}/i", word_chars='a-e"\\x01\\\\', with_markup=False)
+    assert [r.line for r in index.listing("", "").collect()] == ['a\\"b\\\\c\\#x1;d', "e"]
+
+
+def test_failed_index_leaves_nothing(spark, tmp_path):
+    docs = docs_of(spark, "a b")
+    bad = spark.createDataFrame([("x",)], "other string")
+    with pytest.raises(Exception):
+        build_index(docs, f"{tmp_path}/i", stop_words=bad)
+    assert not (tmp_path / "i").exists()
+
+
+def test_files_keep_their_order(spark, tmp_path):
+    names = ["f3", "f1", "f10", "f2"]
+    for n in [*names, "g1"]:
+        (tmp_path / n).write_text(f"text of {n}")
+    (tmp_path / "d").mkdir()
+    for n in ("y", "x"):
+        (tmp_path / "d" / n).write_text(n)
+    docs = files.read_files(spark, [f"{tmp_path}/{n}" for n in names] + [f"{tmp_path}/d", f"{tmp_path}/g*", f"{tmp_path}/f1"])
+    got = [(r.doc_id, r.name.rpartition("/")[2]) for r in docs.orderBy("doc_id").collect()]
+    assert got == list(enumerate([*names, "x", "y", "g1"]))
+    (tmp_path / "list").write_text("".join(f"{tmp_path}/{n}\n" for n in reversed(names)))
+    docs = files.read_lists(spark, [f"{tmp_path}/list"], [f"{tmp_path}/g1"])
+    assert [r.text[8:] for r in docs.orderBy("doc_id").collect()] == [*reversed(names), "g1"]
+
+
+def test_offsets_of_ids_of_any_size(spark):
+    docs = spark.createDataFrame([(-9 * 10**18, "a", "ab"), (9 * 10**18, "b", "c"), (0, "c", "def")], "doc_id long, name string, text string")
+    assert [(r.seq, r.base) for r in with_offsets(docs).orderBy("doc_id").collect()] == [(0, 0), (1, 2), (2, 5)]
+
+
+def test_filter_numbers_regions(spark):
+    docs = docs_of(spark, "a b a", "b", "a")
+    got = output.filtered(sl.search(docs, '"a"'), with_offsets(docs), "<%n%r%%n>")
+    assert [r.text for r in got.orderBy("doc_id").collect()] == ["<1a%n> b <2a%n>", "b", "<3a%n>"]
+
+
+def test_text_macros():
+    from spanloom.functions.textmacros import MacroError, expand, read_macros
+
+    table = read_macros('# a comment, define(NO, 1)\ndefine(B,( "(" .. ")" ))\ndefine(HEAD,("\\n$1 " in $2))\nchangecom\ndefine(LOOP, LOOP)\ndefine(NESTED, HEAD(From:, B))')
+    assert set(table) == {"B", "HEAD", "LOOP", "NESTED"}
+    assert expand("NESTED or x", table) == '("\\nFrom: " in ( "(" .. ")" )) or x'
+    assert expand('"B" or B', table) == '"B" or ( "(" .. ")" )'
+    sl.parse(expand("NESTED", table))
+    with pytest.raises(MacroError):
+        expand("LOOP", table)
+    with pytest.raises(MacroError):
+        read_macros("define(A")
+
+
+def test_command_line(spark, tmp_path):
+    from spanloom.cli import run_command
+
+    (tmp_path / "b.txt").write_text("say the word\nthe end\n")
+    (tmp_path / "a.txt").write_text("nothing\n")
+    (tmp_path / "q").write_text('"the" .. "\\n"')
+    (tmp_path / "m").write_text('define(T,("the"))\n')
+    b, a = f"{tmp_path}/b.txt", f"{tmp_path}/a.txt"
+    go = lambda *x, **k: run_command(list(x), lambda: spark, **{"options": "", **k})
+    assert (go('"the"', b, a).text, go('"the"', b).status, go('"xyz"', b).status) == ("thethe\n", 0, 1)
+    assert go("-c", "-e", '"the"', a, b).text == "2\n"
+    assert go("-f", f"{tmp_path}/q", b).text == "the word\nthe end\n"
+    assert go("-o", "%n:%f|%i-%j\\n", "-e", '"the"', a, b).text.replace(str(tmp_path), "").replace("file:", "") == "1:/b.txt|4-6\n2:/b.txt|13-15\n"
+    assert go("-p", f"{tmp_path}/m", "-P", "T or T").text == '"the" or "the"\n'
+    assert go("-N", '"the end"', b).text == "the end"
+    assert go("-d", "-c", "-e", '"the" or "th"', b).text == "4\n"
+    assert go("-S", "-c", "-e", '"\\n" .. "say"', a, b).text == "1\n" and go("-c", "-e", '"\\n" .. "say"', a, b).status == 1
+    assert go("-a", "-o", "<%r>", '"the"', b).text == "say <the> word\n<the> end\n"
+    assert go("-l", '"end"', b).text.startswith("------------- #1 ")
+    assert go('"the', b).status == 2 and go(b).status == 2 and go("-Z").status == 2
+    assert go("-V").text.startswith("spanloom ") and "Spark" in go("-C").text and go("-h").status == 0
+    assert go("-c", '"THE"', b, options="-i").text == "2\n"
+    index = f"{tmp_path}/index"
+    made = go("-I", "-c", index, "-T", b, a)
+    assert made.status == 0 and "word: 5 terms" in made.text
+    assert go("-I", "-x", index, "-q", "terms").text == "end\nnothing\nsay\nthe\nword\n"
+    assert go("-I", "-x", index, "-q", "terms", "s", "t").text == "say\nthe\n" and go("-I", "-x", index, "-q", "terms", "zz").status == 1
+    assert go("-I", "-x", index, "-l", "4").text == "2 the\n"
+    assert go("-I", "-x", index, "-L", f"{tmp_path}/stop").status == 0
+    assert go("-I", "-c", f"{tmp_path}/i2", "-S", f"{tmp_path}/stop", a).status == 0
+    assert go("-x", index, 'word("the")').text == "thethe\n" and go("-x", f"{tmp_path}/none", 'word("the")').status == 2
+    assert go("-I").status == 2
