@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import json
 import math
+import time
 import uuid
 from dataclasses import dataclass, field
 
@@ -31,6 +32,8 @@ SHARD_BYTES = 16 << 20
 TARGET_BYTES = 64 << 20
 FAN_IN = 4
 SMALLEST = 64 << 10
+#: Seconds for which shards that no manifest names may still be in use.
+GRACE = 86_400.0
 _ENTRY = "name string, rows long, bytes long"
 
 
@@ -215,12 +218,19 @@ class ShardTable:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(*[f"{self.folder}/shards/{s['name']}" for s in now.shards])
 
-    def vacuum(self) -> int:
-        """Deletes shards that the newest manifest doesn't name; for when no older version is read."""
+    def vacuum(self, grace: float = GRACE) -> int:
+        """Deletes shards that the newest manifest doesn't name and that are older than `grace` seconds.
+
+        Writers commit shards after writing them, and readers may read older versions: grace must be
+        longer than any of them takes. It is 0 only where there is no other user of the table.
+        """
+        before = time.time() * 1000 - grace * 1000
+        # Listed first: what is committed after that isn't in the list.
+        listed = [(s.getPath(), s.getModificationTime()) for s in self._fs.listStatus(self._path("shards"))]
         named, n = {s["name"] for s in self.manifest().shards}, 0
-        for s in self._fs.listStatus(self._path("shards")):
-            if s.getPath().getName() not in named:
-                self._fs.delete(s.getPath(), False)
+        for at, written in listed:
+            if written <= before and at.getName() not in named:
+                self._fs.delete(at, False)
                 n += 1
         return n
 
@@ -230,7 +240,7 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = ShardTable(spark, scratch_path(spark, "shards"))
     table.append(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     table.compact()
-    table.vacuum()
+    table.vacuum(grace=0)  # nobody else knows the table
     return table.read().select("doc_id", "lang", "source", "n_chars", F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 

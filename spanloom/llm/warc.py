@@ -9,7 +9,8 @@ that nothing refers to. Reading selects index rows, sorts them by file and offse
 near ranges into one read, and checks every response against its digest.
 
 Defined results: a null payload is empty; a null URL is left out of the record and comes
-back null; a null id comes back null and is smaller than none (it is a response only if all
+back null, and white space and control characters of a URL come back percent-encoded; an empty table
+gives an index and a result without rows; a null id comes back null and is smaller than none (it is a response only if all
 its copies have null ids). Rows that repeat the smallest id of their payload are all
 responses. Other columns are not archived.
 """
@@ -36,7 +37,9 @@ GAP_BYTES = 64 << 10
 RANGE_BYTES = 8 << 20
 #: Digests with several pages are broadcast up to this many (some 80 bytes each).
 BROADCAST_ROWS = 100_000
-SALTS = 8
+#: Compressed bytes that a task reads back, and pages of one payload that one task of a shuffle gets.
+TASK_BYTES = 32 << 20
+SALT_ROWS = 200_000
 DATE = "2000-01-01T00:00:00Z"
 INDEX = "page_id long, url string, payload_digest string, payload_bytes long, record_type string, refers_to long, file string, offset long, length long"
 RECORD = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
@@ -46,12 +49,15 @@ def _roles(pages: DataFrame, id_col: str, revisit_from: int) -> DataFrame:
     """pages with __first: the least id of equal payloads, null where there is no other copy."""
     own = pages.withColumn("__size", F.octet_length("__payload").cast("long")).withColumn("__sha", F.sha1("__payload"))
     groups = own.where(F.col("__size") >= revisit_from).groupBy("__sha").agg(F.min(id_col).alias("__first"), F.count(F.lit(1)).alias("__n"))
-    groups = materialise(groups.where("__n > 1").drop("__n"), "warc-copies")
-    if groups.count() <= BROADCAST_ROWS:
+    groups = materialise(groups.where("__n > 1"), "warc-copies")
+    count, most = groups.agg(F.count(F.lit(1)), F.max("__n")).first()
+    groups = groups.drop("__n")
+    if count <= BROADCAST_ROWS:
         return own.join(F.broadcast(groups), "__sha", "left")
-    # Too many to broadcast: a shuffle, in which the pages of one digest go to SALTS tasks.
-    salted = groups.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    own = own.withColumn("__salt", F.pmod(F.xxhash64(id_col), F.lit(SALTS)).cast("int"))
+    # Too many to broadcast: a shuffle, in which the pages of a hot digest go to as many tasks as they need.
+    salts = -(-most // SALT_ROWS)
+    salted = groups.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    own = own.withColumn("__salt", F.pmod(F.xxhash64(id_col, "__url"), F.lit(salts)).cast("int"))
     return own.join(salted, ["__sha", "__salt"], "left").drop("__salt")
 
 
@@ -155,7 +161,7 @@ def coalesce_ranges(rows: Iterator[tuple[str, int, int]], gap: int = GAP_BYTES,
 def read_records(selected: DataFrame, folder: str, with_payload: bool = True) -> DataFrame:
     """The records of the selected index rows."""
     ddl = RECORD if with_payload else RECORD.rpartition(", payload")[0]
-    schema = arrow_schema(ddl)
+    schema, spark = arrow_schema(ddl), selected.sparkSession
 
     def read(batches):
         from pyarrow import fs
@@ -170,7 +176,10 @@ def read_records(selected: DataFrame, folder: str, with_payload: bool = True) ->
             got = [parse_record(chunk[o - start : o - start + n]) for o, n in parts]
             yield pa.RecordBatch.from_arrays([pa.array([g[f.name] for g in got], type=f.type) for f in schema], schema=schema)
 
-    by_file = selected.select("file", "offset", "length").repartition("file").sortWithinPartitions("file", "offset")
+    # Tasks by bytes of the records, not of the index rows, and several for a large file.
+    total = selected.agg(F.sum("length")).first()[0] or 0
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK_BYTES))
+    by_file = selected.select("file", "offset", "length").repartitionByRange(tasks, "file", "offset").sortWithinPartitions("file", "offset")
     return map_arrow(by_file, read, ddl)
 
 

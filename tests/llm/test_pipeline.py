@@ -58,7 +58,6 @@ def test_whole_pipeline(spark, corpus):
     from spanloom.llm.tokens import default_vocabulary
 
     tok = Tokenizer.from_file(default_vocabulary())
-    tok.encode_special_tokens = True
     got = {}
     for r in cp.run(spark, sf).collect():
         ids = np.frombuffer(r.ids, "<u4")
