@@ -138,6 +138,11 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterato
             yield b.slice(at, rows)
 
 
+def with_text_last(df: DataFrame, kept: list[str], text: str) -> DataFrame:
+    """The kept columns, then the text, under names that can't clash."""
+    return df.select(*kept, F.col(text)).toDF(*[f"c{i}" for i in range(len(kept) + 1)])
+
+
 def map_texts(df: DataFrame, kept: list[str], text: str, ddl: str, make: Callable[[], Callable[[list], dict]]) -> DataFrame:
     """kept columns of df and the columns of ddl, which make()(texts) gives for a slice of rows.
 
@@ -157,7 +162,7 @@ def map_texts(df: DataFrame, kept: list[str], text: str, ddl: str, make: Callabl
             cols += [pa.array(got[schema.field(i).name], type=schema.field(i).type) for i in range(len(kept), len(schema.names))]
             yield pa.RecordBatch.from_arrays([c.cast(schema.field(i).type) if c.type != schema.field(i).type else c for i, c in enumerate(cols)], schema=schema)
 
-    return map_arrow(df.select(*kept, F.col(text).alias("__text")), run, out)
+    return map_arrow(with_text_last(df, kept, text), run, out)
 
 
 def crc_mod(id_col: str, n: int):

@@ -7,7 +7,9 @@ batches against a fixed threshold.
 
 Defined results: a null text counts as empty; an empty text has zero counts, fails the base
 rules (fewer than ten words) and is not kept. Without labels of both kinds the classifier
-says nothing, and the base rules decide alone. Several labels of one id are each a row.
+says nothing, and the base rules decide alone. Several labels of one id are each a row to fit to,
+with one text where that id has several; repeated rows are scored each for itself; a kept column
+that has the name of a given one gives way to it; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -20,7 +20,8 @@ a seeded generator; words after keywords, identifiers, numbers, names and digest
 kinds are planted as outside.
 
 Defined results: a null or empty text has no spans; a text is never cut; a span of the field
-that touches a base span is dropped in its favour; repeated rows are scanned each for itself.
+that touches a base span is dropped in its favour; repeated rows are scanned each for itself; a
+kept column named found gives way to the result; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_schema, crc_mod, labelled_texts, map_arrow, slices
+from .common import arrow_schema, crc_mod, labelled_texts, map_arrow, slices, with_text_last
 from .grams import _M1, mix, words_and_letters
 
 #: Most examples of each label (a documented bound: the model is a classifier).
@@ -462,7 +462,7 @@ def score(docs: DataFrame, labels: DataFrame, kept: list[str], id_col: str = "do
             cols = [b.column(i) for i in range(len(kept))] + [pa.array([o[j] for o in out], type=schema.field(len(kept) + j).type) for j in range(3)]
             yield pa.RecordBatch.from_arrays([c.cast(schema.field(i).type) if c.type != schema.field(i).type else c for i, c in enumerate(cols)], schema=schema)
 
-    return map_arrow(docs.select(*kept, F.col(text_col).alias("__text")), run, fields)
+    return map_arrow(with_text_last(docs, kept, text_col), run, fields)
 
 
 def op7_toxicity(spark, sf_dir: str) -> DataFrame:

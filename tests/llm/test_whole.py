@@ -1,11 +1,13 @@
 """What the operators must not leave out: findings of the review."""
 
+import math
 import random
 import re
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from spanloom.llm import common, decontaminate, quality, secrets, toxicity
+from spanloom.llm import common, decontaminate, language_id, mixture_pack, quality, secrets, token_pack, toxicity
 from tests.llm.test_operators import paraphrase, prose
 
 
@@ -156,3 +158,97 @@ def test_toxicity_kept_columns_give_way(spark):
     long = spark.createDataFrame([(1, "bad " * 60_000), (2, "good " * 60_000), (3, "bad day")], "doc_id long, text string")
     out = toxicity.score(long, spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int"), ["doc_id"]).collect()
     assert {r.doc_id: r.predicted for r in out}[3] in (0, 1) and all(0 <= r.score <= 1 for r in out)
+
+
+def slow_mixture(model, text):
+    """Expectation-maximisation over single trigrams, and the language set by penalised likelihood, step by step."""
+    letters = [c.lower()[0] if c.isalpha() else " " for c in text]
+    padded, grams, m32 = [" ", *letters, " "], [], 0xFFFFFFFF
+    for i, c in enumerate(letters):
+        if c != " ":
+            h = (ord(padded[i]) * 0x9E3779B1 + ord(c) * 0x85EBCA77) & m32
+            h ^= h >> 15
+            h = (h + ord(padded[i + 2]) * 0xC2B2AE3D) & m32
+            grams.append(((h * 0x27D4EB2F) & m32) >> (32 - language_id.BITS))
+    if not grams:
+        return "und", 0.0
+    p = [[float(x) for x in model.probs[g]] for g in grams]
+    n, k = len(grams), len(model.langs)
+
+    def em(chosen, pi):
+        for _ in range(language_id.EM_STEPS):
+            share = [0.0] * len(chosen)
+            for row in p:
+                w = [row[c] * x for c, x in zip(chosen, pi, strict=True)]
+                share = [s + x / sum(w) for s, x in zip(share, w, strict=True)]
+            pi = [s / sum(share) for s in share]
+        return pi, sum(math.log(sum(row[c] * x for c, x in zip(chosen, pi, strict=True))) for row in p)
+
+    single = [sum(math.log(row[c]) for row in p) for c in range(k)]
+    best = single.index(max(single))
+    chosen, pi, now = [best], [1.0], single[best]
+    rough, _ = em(range(k), [1 / k] * k)
+    order = [best] + [i for i in sorted(range(k), key=lambda i: -rough[i]) if i != best]
+    for size in range(2, k + 1):
+        some = order[:size]
+        if rough[some[-1]] * n < 2:
+            break
+        got, ll = em(some, [rough[c] / sum(rough[c] for c in some) for c in some])
+        if (ll - now) / language_id.OVERLAP <= language_id.PENALTY * 0.5 * math.log(n + 1):
+            break
+        chosen, pi, now = some, got, ll
+    top = pi.index(max(pi))
+    rest = [s for c, s in enumerate(single) if c not in chosen]
+    gap = (single[chosen[top]] if len(chosen) == 1 else now) - max(rest) if rest else math.inf
+    return model.langs[chosen[top]], pi[top] / (1 + math.exp(-max(-30.0, min(30.0, gap / language_id.OVERLAP))))
+
+
+def test_language_mixtures_against_brute_force(spark):
+    rng = random.Random(41)
+    rows = [(i, prose(rng, lang, 60), lang) for i in range(90) for lang in [("de", "en", "fr")[i % 3]]]
+    model = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    texts = ["", "12 ..", "É", "a b"] + [" ".join(prose(rng, lang, rng.randrange(1, 40)) for lang in rng.sample(["de", "en", "fr"], rng.randrange(1, 4))) for _ in range(120)]
+    for t in texts:
+        lang, score = slow_mixture(model, t)
+        got = model.mixture(t)
+        assert got[0] == lang and abs(got[1] - score) < 2e-3, (t, got, lang, score)
+
+
+def test_language_of_repeated_rows_and_clashing_columns(spark):
+    rng = random.Random(42)
+    rows = [(i % 7, prose(rng, "en", 30), "en", "x", 1.0) for i in range(40)] + [(None, prose(rng, "fr", 30), "fr", None, None), (3, "long words " * 40_000, None, "y", 2.0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, lang_pred string, score double")
+    out = language_id.identify(df, language_id.train(df), df.columns)
+    assert out.columns == ["doc_id", "text", "lang", "lang_pred", "score", "proportions"] and out.count() == 42
+    assert language_id.identify(df.where("false"), language_id.train(df.where("false")), ["doc_id"]).count() == 0
+
+
+def test_quality_and_secrets_bear_odd_rows(spark):
+    """Very long texts, repeated rows, nulls, empty tables and columns that clash with those given."""
+    rng = random.Random(43)
+    secret = "tail pwd=Tr0ub4dor&77"
+    long = " ".join(prose(rng, "en", 3) for _ in range(20_000)) + " " + secret
+    rows = [(1, long, "a"), (1, long, "a"), (2, None, None), (2, "", "b"), (None, "token: abcdef123", "c")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_words string").withColumns({"found": F.lit(1), "kept": F.lit("x"), "__text": F.lit("y")})
+    got = quality.score(df, None, ["doc_id", "n_words", "kept"]).collect()
+    assert sorted((r.doc_id or 0, r.n_words) for r in got) == [(0, 2), (1, 60_002), (1, 60_002), (2, 0), (2, 0)]
+    assert quality.score(df.where("false"), None, ["doc_id"]).count() == 0
+    train = spark.createDataFrame([(i, prose(rng, "en", 30)) for i in range(60)], "doc_id long, text string")
+    field = secrets.train(train)
+    found = secrets.scan(df, field, ["doc_id", "found"]).collect()
+    ends = [max((s.end for s in r.found), default=0) for r in found if r.doc_id == 1]
+    assert len(found) == 5 and ends == [len(long), len(long)]
+    clean = secrets.redact(df, field)
+    assert clean.columns == df.columns and all(r.text.endswith("[SECRET]") for r in clean.collect() if r.text and r.doc_id != 2)
+    assert secrets.scan(df.where("false"), field, ["doc_id"]).count() == 0
+
+
+def test_packing_keeps_null_ids_and_repeated_rows(spark):
+    rows = [(None, "one two", "s"), (None, "one two", "s"), (5, "x", None), (5, "x", None), (6, None, "s"), (7, "", "t"), (8, "w " * 30_000, "s")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({"n": F.lit(1), "part": F.lit("x"), "ids": F.lit(None).cast("string")})
+    pieces = mixture_pack.pack(df, with_ids=False).collect()
+    assert sorted((r.doc_id or 0) for r in pieces if r.start == 0) == [0, 0, 5, 5, 6, 7, 8]
+    assert sum(r.length for r in pieces) == 3 + 3 + 2 + 2 + 1 + 1 + sum(r.length for r in pieces if r.doc_id == 8)
+    packed = token_pack.pack(df).collect()
+    assert sorted((i or 0) for r in packed for i, s in zip(r.doc_ids, r.starts, strict=True) if s == 0) == [0, 0, 5, 5, 6, 7, 8]
+    assert token_pack.pack(df.where("false")).count() == 0 and mixture_pack.pack(df.where("false")).count() == 0
