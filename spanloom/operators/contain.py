@@ -2,7 +2,8 @@
 
 A region lies in another if it is inside it and not equal to it. All filters but the direct
 ones are one pass over both operands, sorted by position in each document: running extremes say
-whether a partner exists, so cost doesn't depend on how many partners there are.
+whether a partner exists, so cost doesn't depend on how many partners there are. Direct
+containment and the n-th in a container are joins on document and cell of text.
 """
 
 from __future__ import annotations
@@ -12,6 +13,10 @@ from pyspark.sql import functions as F
 
 from ..model import COLS, E, S
 
+#: Width in characters of the cells that joins of regions and their containers meet in.
+CELL = 512
+
+
 def _left():
     return F.col("side") == 1
 
@@ -63,31 +68,42 @@ def equal(a: DataFrame, b: DataFrame, negate: bool = False) -> DataFrame:
     return a.join(b.select(*COLS), COLS, "left_anti" if negate else "left_semi")
 
 
+def _at(a: DataFrame, s: str, e: str) -> DataFrame:
+    """Regions named s, e, each in the cell that it begins in."""
+    return a.select("doc_id", F.floor(S() / CELL).alias("cell"), S().alias(s), E().alias(e))
+
+
+def _over(a: DataFrame, s: str, e: str) -> DataFrame:
+    """Regions named s, e, each in all cells that it has a position in: those that a region in it may begin in."""
+    return a.select("doc_id", F.explode(F.sequence(F.floor(S() / CELL), F.floor(E() / CELL))).alias("cell"), S().alias(s), E().alias(e))
+
+
+def _lies_in(a: str, b: str):
+    """(as, ae) lies in (bs, be) and isn't equal to it."""
+    s, e, t, f = (F.col(x) for x in (f"{a}s", f"{a}e", f"{b}s", f"{b}e"))
+    return (t <= s) & (e <= f) & ((t < s) | (e < f))
+
+
 def _pairs(inside: DataFrame, outside: DataFrame) -> DataFrame:
-    i = inside.select("doc_id", S().alias("is"), E().alias("ie"))
-    o = outside.select("doc_id", S().alias("os"), E().alias("oe"))
-    strict = (F.col("os") <= F.col("is")) & (F.col("ie") <= F.col("oe")) & ((F.col("os") < F.col("is")) | (F.col("ie") < F.col("oe")))
-    return i.join(o, "doc_id").where(strict)
+    """Pairs of a region and one that it lies in; only those with a cell in common meet."""
+    return _at(inside, "is", "ie").join(_over(outside, "os", "oe"), ["doc_id", "cell"]).where(_lies_in("i", "o"))
+
+
+def _direct(inside: DataFrame, outside: DataFrame, between: DataFrame) -> DataFrame:
+    """Pairs with no region of `between` that lies between."""
+    p, m = _pairs(inside, outside).alias("p"), _over(between, "ms", "me").alias("m")
+    same = (F.col("p.doc_id") == F.col("m.doc_id")) & (F.col("p.cell") == F.col("m.cell"))
+    return p.join(m, same & _lies_in("i", "m") & _lies_in("m", "o"), "left_anti")
 
 
 def parenting(a: DataFrame, b: DataFrame) -> DataFrame:
     """Regions of a that directly contain some region of b: with no other region of a between."""
-    p = _pairs(b, a)
-    between = a.select("doc_id", S().alias("ms"), E().alias("me"))
-    c = (F.col("ms") <= F.col("is")) & (F.col("me") >= F.col("ie")) & ((F.col("ms") < F.col("is")) | (F.col("me") > F.col("ie")))
-    d = (F.col("os") <= F.col("ms")) & (F.col("me") <= F.col("oe")) & ((F.col("os") < F.col("ms")) | (F.col("me") < F.col("oe")))
-    p = p.alias("p").join(between.alias("m"), (F.col("p.doc_id") == F.col("m.doc_id")) & c & d, "left_anti")
-    return p.select("doc_id", F.col("os").alias("start_pos"), F.col("oe").alias("end_pos")).distinct()
+    return _direct(b, a, a).select("doc_id", F.col("os").alias("start_pos"), F.col("oe").alias("end_pos")).distinct()
 
 
 def childrening(a: DataFrame, b: DataFrame) -> DataFrame:
     """Regions of a that lie directly in some region of b: with no other region of a between."""
-    p = _pairs(a, b)
-    between = a.select("doc_id", S().alias("ms"), E().alias("me"))
-    c = (F.col("ms") <= F.col("is")) & (F.col("me") >= F.col("ie")) & ((F.col("ms") < F.col("is")) | (F.col("me") > F.col("ie")))
-    d = (F.col("os") <= F.col("ms")) & (F.col("me") <= F.col("oe")) & ((F.col("os") < F.col("ms")) | (F.col("me") < F.col("oe")))
-    p = p.alias("p").join(between.alias("m"), (F.col("p.doc_id") == F.col("m.doc_id")) & c & d, "left_anti")
-    return p.select("doc_id", F.col("is").alias("start_pos"), F.col("ie").alias("end_pos")).distinct()
+    return _direct(a, b, a).select("doc_id", F.col("is").alias("start_pos"), F.col("ie").alias("end_pos")).distinct()
 
 
 def before(a: DataFrame, b: DataFrame, n: int) -> DataFrame:

@@ -129,3 +129,11 @@ def test_pairs_satisfy_the_definition():
         got = pairs(a, b)
         assert len({x for x, _ in got}) == len(got) == len({y for _, y in got})
         assert all(precedes(x, y) for x, y in got)
+
+
+@pytest.mark.parametrize("name", ["parenting", "childrening", "second in", "last in", "extracting"])
+def test_operator_over_cells(frames, name, monkeypatch):
+    """Regions that go over several cells of text meet their partners once."""
+    monkeypatch.setattr(contain, "CELL", 3)
+    monkeypatch.setattr(sets, "CELL", 3)
+    test_operator(frames, name)
