@@ -5,7 +5,9 @@ sizes within a factor of `fan_in`) are merged into files of about the target siz
 that each stream the shards of one merge; nothing is shuffled. What a table holds is said by
 its newest manifest, a versioned file that is created by a rename which fails if that version
 exists already, so a reader sees all of a commit or none of it, and of two writers one has to
-try again. Shards that no manifest names (left by a lost or repeated task) are never read.
+try again. Shards of at least half the target size, which are not merged again, go into pages of
+PAGE entries, immutable files that manifests name, so that neither a commit nor a plan grows with
+them. Shards that no manifest names (left by a lost or repeated task) are never read.
 
 Defined results: all rows and columns are kept as they are, repeated rows, nulls and empty or
 very long texts included; a row larger than a shard's size has a shard of its own. An empty
@@ -18,6 +20,7 @@ import json
 import math
 import time
 import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -34,6 +37,8 @@ FAN_IN = 4
 SMALLEST = 64 << 10
 #: Seconds for which shards that no manifest names may still be in use.
 GRACE = 86_400.0
+#: Finished shards of a page.
+PAGE = 10_000
 _ENTRY = "name string, rows long, bytes long"
 
 
@@ -41,7 +46,8 @@ _ENTRY = "name string, rows long, bytes long"
 class Manifest:
     version: int = 0
     schema: str = ""
-    shards: list[dict] = field(default_factory=list)  # name, rows, bytes, in arrival order
+    shards: list[dict] = field(default_factory=list)  # name, rows, bytes of those in no page, in arrival order
+    pages: list[str] = field(default_factory=list)
 
 
 class Conflict(Exception):
@@ -91,12 +97,7 @@ class ShardTable:
             version = max((int(n[1:21]) for n in names if n.startswith("v") and n.endswith(".json")), default=0)
         if version == 0:
             return Manifest()
-        stream = self._fs.open(self._path(f"manifests/v{version:020d}.json"))
-        try:
-            text = self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-        finally:
-            stream.close()
-        return Manifest(**json.loads(text))
+        return Manifest(**json.loads(self._text(f"manifests/v{version:020d}.json")))
 
     def commit(self, new: Manifest) -> Manifest:
         """Makes new the next version, or raises Conflict if that exists already."""
@@ -115,6 +116,31 @@ class ShardTable:
             raise
         return new
 
+    def _paged(self, new: Manifest, target: int) -> Manifest:
+        """new with its finished shards moved to pages, as far as they fill them."""
+        done = [s for s in new.shards if s["bytes"] >= target / 2]
+        pages = list(new.pages)
+        for at in range(0, len(done) // PAGE * PAGE, PAGE):
+            pages.append(f"p{uuid.uuid4().hex}.json")
+            out = self._fs.create(self._path(f"manifests/{pages[-1]}"), False)
+            out.write(bytearray(json.dumps(done[at : at + PAGE]).encode()))
+            out.close()
+        gone = {s["name"] for s in done[: len(done) // PAGE * PAGE]}
+        return Manifest(new.version, new.schema, [s for s in new.shards if s["name"] not in gone], pages)
+
+    def shards(self, now: Manifest) -> Iterator[dict]:
+        """All shards of a version, page by page."""
+        for p in now.pages:
+            yield from json.loads(self._text(f"manifests/{p}"))
+        yield from now.shards
+
+    def _text(self, name: str) -> str:
+        stream = self._fs.open(self._path(name))
+        try:
+            return self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+
     def append(self, arrivals: DataFrame, shard_bytes: int = SHARD_BYTES, tries: int = 10) -> Manifest:
         """Writes arrivals as small shards and commits them."""
         folder, wanted = f"{self.folder}/shards", arrow_schema(_ENTRY)
@@ -150,7 +176,7 @@ class ShardTable:
             if now.version and now.schema != arrivals.schema.json():
                 raise ValueError("arrivals have another schema than the table")
             try:
-                return self.commit(Manifest(now.version + 1, arrivals.schema.json(), now.shards + new))
+                return self.commit(Manifest(now.version + 1, arrivals.schema.json(), now.shards + new, now.pages))
             except Conflict:
                 continue
         raise Conflict("too many writers")
@@ -161,7 +187,13 @@ class ShardTable:
             now = self.manifest()
             merges = plan_merges(now.shards, target, fan_in)
             if not merges:
-                return now
+                paged = self._paged(Manifest(now.version + 1, now.schema, now.shards, now.pages), target)
+                if paged.pages == now.pages:
+                    return now
+                try:
+                    return self.commit(paged)
+                except Conflict:
+                    continue
             made = self._merge([[s["name"] for s in m] for m in merges])
             for _ in range(10):
                 gone = {s["name"]: k for k, m in enumerate(merges) for s in m}
@@ -176,7 +208,7 @@ class ShardTable:
                         placed.add(k)
                         shards.append(made[k])
                 try:
-                    self.commit(Manifest(now.version + 1, now.schema, shards))
+                    self.commit(self._paged(Manifest(now.version + 1, now.schema, shards, now.pages), target))
                     break
                 except Conflict:
                     now = self.manifest()
@@ -214,9 +246,8 @@ class ShardTable:
         if not now.version:
             raise ValueError("the table has no version yet")
         schema = T.StructType.fromJson(json.loads(now.schema))
-        if not now.shards:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(*[f"{self.folder}/shards/{s['name']}" for s in now.shards])
+        names = [f"{self.folder}/shards/{s['name']}" for s in self.shards(now)]
+        return self.spark.read.schema(schema).parquet(*names) if names else self.spark.createDataFrame([], schema)
 
     def vacuum(self, grace: float = GRACE) -> int:
         """Deletes shards that the newest manifest doesn't name and that are older than `grace` seconds.
@@ -227,7 +258,7 @@ class ShardTable:
         before = time.time() * 1000 - grace * 1000
         # Listed first: what is committed after that isn't in the list.
         listed = [(s.getPath(), s.getModificationTime()) for s in self._fs.listStatus(self._path("shards"))]
-        named, n = {s["name"] for s in self.manifest().shards}, 0
+        named, n = {s["name"] for s in self.shards(self.manifest())}, 0
         for at, written in listed:
             if written <= before and at.getName() not in named:
                 self._fs.delete(at, False)

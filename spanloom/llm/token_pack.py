@@ -8,8 +8,10 @@ nothing is shuffled, and the only padding is in the last sequences of a pool.
 
 A row is one sequence: its ids padded to full length (a row of the id matrix), the cumulative
 lengths of its segments, the places where positions restart, and the document and start of
-each segment. Defined results: a null text is empty; an empty text is just the end id;
-repeated rows and ids are packed each for itself; a null id is carried as null.
+each segment. The id matrices are written as raw files, with a table of their rows, and can be read
+back by ranges. Defined results: a null text is empty; an empty text is just the end id;
+repeated rows and ids are packed each for itself; a null id is carried as null; other columns are
+left out; an empty table gives no sequences and no files.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, map_arrow, slices
+from .common import arrow_schema, map_arrow, materialise, scratch_path, slices
 from .tokens import Encoder, default_vocabulary
 
 LENGTH = 1024
@@ -135,10 +137,13 @@ def position_ids(cu_seqlens: list[int]) -> np.ndarray:
     return np.arange(cu[-1]) - np.repeat(cu[:-1], np.diff(cu))
 
 
-def write_matrices(packed: DataFrame, folder: str, length: int = LENGTH) -> DataFrame:
-    """Writes the id matrices as raw little-endian files, one a task, each with its cumulative
-    segment lengths; gives one row a file (file, sequences, segments). Files of failed tasks aren't in it."""
-    ddl = "file string, sequences long, segments long"
+def write_matrices(packed: DataFrame, folder: str) -> DataFrame:
+    """Writes the id matrices as raw little-endian files below folder, one for each task that has any,
+    and gives the table of what is in them: the columns of packed without the ids, file and row.
+
+    It names only files of tasks that succeeded, so what a lost task has left is never read.
+    """
+    ddl = SCHEMA.rpartition(",")[0] + ", file string, row long"
     schema = arrow_schema(ddl)
 
     def run(batches):
@@ -146,27 +151,52 @@ def write_matrices(packed: DataFrame, folder: str, length: int = LENGTH) -> Data
 
         store, path = fs.FileSystem.from_uri(folder)
         store.create_dir(path)
-        name, n, cu = f"ids-{uuid.uuid4().hex}", 0, [np.zeros(1, "<i8")]
-        at = 0
-        with store.open_output_stream(f"{path}/{name}.bin", compression=None) as out:
+        name, n, out = f"ids-{uuid.uuid4().hex}.bin", 0, None
+        try:
             for b in batches:
-                for ids, ends in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                    out.write(ids)
-                    own = np.asarray(ends[1:], "<i8") + at
-                    if len(own) and own[-1] < at + length:
-                        own = np.append(own, at + length)  # padding is the last segment
-                    cu.append(own.astype("<i8"))
-                    n, at = n + 1, at + length
-        with store.open_output_stream(f"{path}/{name}.cu", compression=None) as out:
-            out.write(np.concatenate(cu).tobytes())
-        if n:
-            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n]), pa.array([sum(map(len, cu)) - 1])], schema=schema)
+                out = out or store.open_output_stream(f"{path}/{name}", compression=None)
+                for ids in b.column(6):
+                    out.write(ids.as_buffer())
+                rows = pa.array(np.arange(n, n + b.num_rows))
+                n += b.num_rows
+                yield pa.RecordBatch.from_arrays([*b.columns[:6], pa.array([name] * b.num_rows, pa.string()), rows], schema=schema)
+        finally:
+            if out is not None:
+                out.close()
+
+    return materialise(map_arrow(packed, run, ddl), "matrices")
+
+
+def read_matrices(index: DataFrame, folder: str, length: int = LENGTH, item: int = 2) -> DataFrame:
+    """The packed sequences again: rows of one file that follow each other are read at once. item: bytes of an id."""
+    schema, width = arrow_schema(SCHEMA), length * item
 
-    return map_arrow(packed.select("input_ids", "cu_seqlens"), run, ddl)
+    def run(batches):
+        from pyarrow import fs
+
+        store, path = fs.FileSystem.from_uri(folder)
+        name, source = None, None
+        for b in slices(batches, 1024):
+            files, rows, ids, at = b.column(6).to_pylist(), b.column(7).to_pylist(), [], 0
+            while at < len(rows):
+                to = at + 1
+                while to < len(rows) and files[to] == files[at] and rows[to] == rows[to - 1] + 1:
+                    to += 1
+                if files[at] != name:
+                    name, source = files[at], store.open_input_file(f"{path}/{files[at]}")
+                raw = source.read_at((to - at) * width, rows[at] * width)
+                ids += [raw[k : k + width] for k in range(0, len(raw), width)]
+                at = to
+            yield pa.RecordBatch.from_arrays([*b.columns[:6], pa.array(ids, pa.binary())], schema=schema)
+
+    return map_arrow(index, run, SCHEMA)
 
 
 def op8_token_ids(spark, sf_dir: str) -> DataFrame:
-    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    """Packed sequences, written as matrices of ids and read back."""
+    folder = scratch_path(spark, "ids")
+    packed = pack(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return read_matrices(write_matrices(packed, folder), folder)
 
 
 QUERIES = {"op8_token_ids": op8_token_ids}

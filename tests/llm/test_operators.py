@@ -217,6 +217,17 @@ def test_sharding(spark, docs, tmp_path, monkeypatch):
         table.commit(compaction.Manifest(before.version, before.schema, []))
     assert table.vacuum() == 0 and rows(table.read(before.version)) == rows(docs), "what may be in use stays"
     assert table.vacuum(grace=0) > 0 and rows(table.read()) == rows(docs)
+    # Finished shards in pages.
+    monkeypatch.setattr(compaction, "PAGE", 2)
+    paged = compaction.ShardTable(spark, f"file://{tmp_path}/p")
+    for k in range(8):
+        paged.append(docs.where(F.pmod(F.hash("text"), F.lit(8)) == k), shard_bytes=4096)
+    paged.compact(target=8192, fan_in=2)
+    now = paged.manifest()
+    assert now.pages and len(now.shards) < len(list(paged.shards(now))) and rows(paged.read()) == rows(docs)
+    paged.append(docs.limit(1))
+    assert paged.manifest().pages == now.pages and paged.read().count() == docs.count() + 1
+    assert paged.vacuum(grace=0) == 0 and paged.read().count() == docs.count() + 1
     # A vacuum between a writer's shards and its commit.
     commit = compaction.ShardTable.commit
     monkeypatch.setattr(compaction.ShardTable, "commit", lambda self, new: (self.vacuum(), commit(self, new))[1])
@@ -374,7 +385,7 @@ def test_ids_are_the_tokenizers(tokenizer):
     assert np.frombuffer(coder.encode(["a <|endoftext|> b"])[0], coder.dtype).tolist() == [64, 220, 50256, 275]
 
 
-def test_token_packing(docs, tokenizer):
+def test_token_packing(docs, tokenizer, tmp_path):
     some = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
     want = {i: tokenizer.encode(t, add_special_tokens=False).ids + [0] for i, t in texts_of(some)}
     parts = {}
@@ -384,6 +395,13 @@ def test_token_packing(docs, tokenizer):
         for k, i in enumerate(r.doc_ids):
             parts.setdefault(i, {})[r.starts[k]] = ids[r.cu_seqlens[k] : r.cu_seqlens[k + 1]].tolist()
     assert {i: [x for s in sorted(p) for x in p[s]] for i, p in parts.items()} == want
+    packed = token_pack.pack(some)
+    index = token_pack.write_matrices(packed, f"file://{tmp_path}/ids")
+    rows = lambda df: sorted(map(str, df.collect()))
+    assert rows(token_pack.read_matrices(index, f"file://{tmp_path}/ids")) == rows(packed)
+    assert sum(p.stat().st_size for p in (tmp_path / "ids").iterdir()) == 2048 * index.count()
+    none = token_pack.write_matrices(token_pack.pack(some.where("false")), f"file://{tmp_path}/none")
+    assert token_pack.read_matrices(none, f"file://{tmp_path}/none").count() == 0
 
 
 def test_best_fit_decreasing():
