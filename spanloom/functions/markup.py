@@ -147,7 +147,9 @@ def words_like(docs: DataFrame, w: str, ignore_case: bool = False, word_chars: s
                     yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], schema=schema)
 
     rows = docs.select("doc_id", "text").where(F.col("text").isNotNull())
-    if stem and not ignore_case:
+    if not re.fullmatch(f"[{word_chars}]*", stem):
+        rows = rows.where("false")  # no word has such a character
+    elif stem and not ignore_case:
         rows = rows.where(F.contains("text", F.lit(stem)))
     return rows.mapInArrow(run, "doc_id long, start_pos long, end_pos long")
 

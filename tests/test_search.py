@@ -394,3 +394,21 @@ def test_command_line(spark, tmp_path):
     assert go("-I", "-c", f"{tmp_path}/i2", "-S", f"{tmp_path}/stop", a).status == 0
     assert go("-x", index, 'word("the")').text == "thethe\n" and go("-x", f"{tmp_path}/none", 'word("the")').status == 2
     assert go("-I").status == 2
+
+
+def test_scanner_options(spark, tmp_path):
+    """Encodings, folders, characters of words, folding when an index is made, and a style from a file."""
+    (tmp_path / "d" / "e").mkdir(parents=True)
+    (tmp_path / "d" / "a").write_bytes("Ünder_score x-y".encode("utf-16"))
+    (tmp_path / "d" / "e" / "b").write_bytes("second x-y".encode("utf-16"))
+    docs = files.read_files(spark, [f"{tmp_path}/d"], recursive=True, encoding="UTF-16")
+    assert [r.text for r in docs.orderBy("doc_id").collect()] == ["Ünder_score x-y", "second x-y"]
+    assert [r.text for r in files.read_files(spark, [f"{tmp_path}/d"], encoding="UTF-16").collect()] == ["Ünder_score x-y"]
+    chars = markup.WORD_CHARS + "_-"
+    assert sl.search(docs, 'word("x-y")', word_chars=chars).count() == 2 and sl.search(docs, 'word("x-y")').count() == 0
+    index = build_index(docs, f"{tmp_path}/i", word_chars=chars, ignore_case=True, with_markup=False)
+    assert [r.term for r in index.terms("", "").collect()] == ["second", "x-y", "ünder_score"]
+    assert sl.search(docs, 'word("X-Y")', index=index).count() == 2
+    (tmp_path / "style").write_text("%n. %r\\n")
+    got = output.formatted(sl.search(docs, '"x-y"'), with_offsets(docs), output.read_style(f"{tmp_path}/style"))
+    assert output.render(got) == "1. x-y\n2. x-y\n"
