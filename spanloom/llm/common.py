@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import ctypes
 import math
+import pickle
 import shutil
 import tempfile
 import uuid
@@ -56,12 +57,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 @contextmanager
 def scratch(spark: SparkSession):
-    """Tables and folders made within, but for those taken off the list that this gives, go at the end."""
-    _scopes.append([])
+    """Tables and folders made within go at the end, but for those whose paths are put in the set that this gives."""
+    made: list[str] = []
+    keep: set[str] = set()
+    _scopes.append(made)
     try:
-        yield _scopes[-1]
+        yield keep
     finally:
-        discard(spark, *_scopes.pop())
+        _scopes.pop()
+        discard(spark, *[p for p in made if p not in keep])
+        if _scopes:
+            _scopes[-1].extend(p for p in made if p in keep)
 
 
 def materialise(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
@@ -93,6 +99,41 @@ def read_shared(path: str, columns: list[str] | None = None) -> pa.Table:
     return pa.concat_tables([pq.ParquetFile(store.open_input_file(f)).read(columns) for f in files])
 
 
+#: Bytes of a row of an object that is kept as a table.
+CHUNK = 4 << 20
+#: Objects that a worker keeps.
+KEPT = 2
+_loaded: dict[str, object] = {}
+
+
+def made_in_task(spark: SparkSession, make: Callable[[], tuple[object, int]], name: str) -> tuple[str, int]:
+    """(path, number) of an object of a bounded size that one task makes, with a number, and leaves in the shared folder."""
+    ddl = "k int, chunk binary, n long"
+    schema = arrow_schema(ddl)
+
+    def run(batches):
+        for _ in batches:
+            pass
+        made, n = make()
+        blob = pickle.dumps(made, protocol=5)
+        del made
+        for k, at in enumerate(range(0, len(blob), CHUNK)):
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([blob[at : at + CHUNK]], pa.binary()), pa.array([n], pa.int64())], schema=schema)
+
+    table = materialise(map_arrow(spark.range(0, 1, 1, 1), run, ddl), name, "none")
+    return table.scratch, table.agg(F.max("n")).first()[0]
+
+
+def loaded(path: str):
+    """The object that made_in_task() left there; a worker keeps the last few."""
+    if path not in _loaded:
+        while len(_loaded) >= KEPT:
+            del _loaded[next(iter(_loaded))]
+        t = read_shared(path, ["k", "chunk"]).sort_by("k")
+        _loaded[path] = pickle.loads(b"".join(t["chunk"].to_pylist()))
+    return _loaded[path]
+
+
 @contextmanager
 def plain_unions(spark: SparkSession):
     """Unions that keep their inputs' partitioning (new in Spark 4.1) go wrong when adaptive

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, discard, map_arrow, materialise, plain_unions, slices
+from .common import arrow_schema, map_arrow, materialise, plain_unions, scratch, slices
 from .graph import components
 from .grams import mix, shingles, words
 
@@ -258,8 +258,10 @@ def _forest(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = NGRAM, threshold: float = THRESHOLD, recall: float = RECALL, hashes: int = HASHES) -> DataFrame:
     """(id, class_id, n_links, n_copies), one row for each row of docs."""
-    with plain_unions(docs.sparkSession):
-        return _near_copies(docs, id_col, text_col, n, threshold, recall, hashes)
+    with plain_unions(docs.sparkSession), scratch(docs.sparkSession) as keep:
+        out = _near_copies(docs, id_col, text_col, n, threshold, recall, hashes)
+        keep.add(out.scratch)
+    return out
 
 
 def _near_copies(docs: DataFrame, id_col: str, text_col: str, n: int, threshold: float, recall: float, hashes: int) -> DataFrame:
@@ -308,9 +310,7 @@ def _near_copies(docs: DataFrame, id_col: str, text_col: str, n: int, threshold:
     by_text = materialise(texts.select("id", "digest", "least_id", "n_copies").join(degree, "id", "left").join(classes, "id", "left").withColumn("comp", F.coalesce("comp", "id")), "by-text")
     least_ids = by_text.groupBy("comp").agg(F.min("least_id").alias("class_id"))
     by_text = by_text.join(least_ids, "comp").select("digest", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies")
-    out = materialise(signed.select("id", "digest").join(by_text, "digest").select("id", "class_id", "n_links", "n_copies"), "classes")
-    discard(spark, signed, texts, members, links, comps, m, links2, comps2, verified)
-    return out
+    return materialise(signed.select("id", "digest").join(by_text, "digest").select("id", "class_id", "n_links", "n_copies"), "classes")
 
 
 def _batches(spark) -> int:

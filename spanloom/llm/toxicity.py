@@ -27,12 +27,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_schema, crc_mod, labelled_texts, map_arrow, slices, with_text_last
+from .common import arrow_schema, crc_mod, discard, labelled_texts, loaded, made_in_task, map_arrow, materialise, read_shared, slices, with_text_last
 from .grams import _M1, mix, words_and_letters
 
 #: Most examples of each label (a documented bound: the model is a classifier).
@@ -222,8 +221,7 @@ class Index:
     entries: np.ndarray  # common term and weight of each, packed
     block: int = BLOCK
     priors: np.ndarray = field(default_factory=lambda: np.ones(2))
-    steps: tuple[np.ndarray, np.ndarray] = (np.zeros(0), np.zeros(0))
-    base: float = 0.0
+    same: dict = field(default_factory=dict)  # class of equal texts by digest
 
     @staticmethod
     def build(vectors: list[tuple[np.ndarray, np.ndarray]], labels, ids, texts, terms: int, apart: np.ndarray | None = None, common: int = COMMON, block: int = BLOCK) -> Index:
@@ -323,11 +321,6 @@ class Index:
         w = s * self.priors[self.labels[i]]
         return float(w[self.labels[i] == 1].sum() / w.sum())
 
-    def calibrated(self, vote: float | None) -> float:
-        if vote is None or not len(self.steps[0]):
-            return self.base
-        return float(np.interp(vote, *self.steps))
-
 
 def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Nodes of the non-decreasing weighted least-squares fit of y to x, by pooling neighbours."""
@@ -370,14 +363,15 @@ def example_terms(texts: list[str | None], ys: np.ndarray) -> tuple[np.ndarray,
     return merged([now, *parts])
 
 
-def document_frequencies(docs: DataFrame, text_col: str, vocabulary: Broadcast, terms: int, parts: int = 64) -> tuple[int, np.ndarray]:
-    """(texts, texts with each term) over all rows."""
-    schema, width = arrow_schema("part int, df binary"), -(-(terms + 1) // parts)
+def document_frequencies(docs: DataFrame, text_col: str, vocabulary: str, terms: int, parts: int = 64) -> str:
+    """Table of the texts with each term, and last the number of all texts, over all rows: int64 in parts."""
+    ddl, width = "part int, df binary", -(-(terms + 1) // parts)
+    schema = arrow_schema(ddl)
 
     def run(batches):
         n = np.zeros(width * parts, np.int32)
         for b in slices(batches, SLICE_ROWS):
-            t, _, _ = vocabulary.value.terms(b.column(0).to_pylist())
+            t, _, _ = loaded(vocabulary)[0].terms(b.column(0).to_pylist())
             n[:terms] += np.bincount(t[t >= 0], minlength=terms)[:terms].astype(np.int32)
             n[terms] += b.num_rows
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(parts, dtype=np.int32)), pa.array([c.tobytes() for c in np.split(n, parts)], pa.binary())], schema=schema)
@@ -389,72 +383,108 @@ def document_frequencies(docs: DataFrame, text_col: str, vocabulary: Broadcast,
                 held[k] = held.get(k, 0) + np.frombuffer(raw, np.int32).astype(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([x.tobytes() for x in held.values()], pa.binary())], schema=schema)
 
-    out = np.zeros((parts, width), np.int64)
-    counted = map_arrow(map_arrow(docs.select(text_col), run, "part int, df binary").repartition("part"), add, "part int, df binary").toArrow()
-    for k, raw in zip(counted["part"].to_pylist(), counted["df"].to_pylist(), strict=True):
-        out[k] = np.frombuffer(raw, np.int64)
-    out = out.reshape(-1)
-    return int(out[terms]), out[:terms]
+    return materialise(map_arrow(map_arrow(docs.select(text_col), run, ddl).repartition("part"), add, ddl), "frequencies", "none").scratch
+
+
+def _examples(path: str) -> list[tuple]:
+    """(id, label, text) of the examples; sorted, so the index is the same each time."""
+    t = read_shared(path)
+    return sorted(zip(*(t[c].to_pylist() for c in ("__id", "__y", "__text")), strict=True), key=lambda r: (r[0], r[1], r[2] or ""))
+
+
+def _digest(text: str | None) -> bytes:
+    return hashlib.sha1((text or "").encode("utf-8", "surrogatepass")).digest()
+
+
+def learn_terms(sample: str, min_df: int) -> tuple[tuple[Vocabulary, np.ndarray], int]:
+    """((vocabulary, do its terms tell the labels apart?), number of terms) of the examples; none without both labels."""
+    found = _examples(sample)
+    ys = np.array([r[1] for r in found], np.int64)
+    n1 = int(ys.sum())
+    if not 0 < n1 < len(ys):
+        return (Vocabulary.of(np.zeros(0, np.uint64)), np.zeros(0, bool)), 0
+    distinct, a, b = example_terms([r[2] for r in found], ys)
+    return (Vocabulary.of(distinct), tell_apart(distinct, a, b, len(ys) - n1, n1, min_df)), len(distinct)
+
+
+def learn_index(sample: str, vocabulary: str, frequencies: str, totals: dict[int, int]) -> tuple[tuple[Index, np.ndarray, float], int]:
+    """((index, weights of terms, weight of a term in no example), number of examples)."""
+    found = _examples(sample)
+    words_of, apart = loaded(vocabulary)
+    k = len(apart)
+    t = read_shared(frequencies).sort_by("part")
+    df = np.frombuffer(b"".join(t["df"].to_pylist()), np.int64)
+    n, df = int(df[k]) if len(df) else 0, df[:k] if len(df) else np.zeros(k, np.int64)
+    weights = (np.log((n + 1) / (df + 1)) + 0.1) * np.where(apart, 1.0, ORDINARY)
+    unseen = (np.log(n + 1) + 0.1) * ORDINARY
+    ys, texts = np.array([r[1] for r in found], np.int64), [r[2] for r in found]
+    own = [(t.astype(np.int32), w) for at in range(0, len(found), SLICE_ROWS) for t, w in words_of.vectors(texts[at : at + SLICE_ROWS], weights, unseen)]
+    same: dict[bytes, int] = {}
+    classes = [same.setdefault(_digest(t), len(same)) for t in texts]
+    index = Index.build(own, ys, [r[0] for r in found], classes, k, apart)
+    index.same = same
+    counts = np.bincount(ys, minlength=2)
+    index.priors = np.array([totals.get(y, 0) / max(1, counts[y]) for y in (0, 1)])
+    return (index, weights, unseen), len(found)
 
 
 def score(docs: DataFrame, labels: DataFrame, kept: list[str], id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", learn=None, examples: int = EXAMPLES, nearest: int = NEAREST, min_df: int = MIN_DF, chars: int = CHARS) -> DataFrame:
     """kept columns, score, predicted and evidence (ids and cosines of the nearest examples).
 
-    A kept column that has the name of one of these gives way to it.
-
-    learn: a condition on the ids of labels that may be learnt from.
+    A kept column that has the name of one of these gives way to it. learn: a condition on the ids
+    of labels that may be learnt from. The vocabulary and the index are made by a task each and read
+    from the shared folder by the others; the driver has just the votes of the examples.
     """
     spark = docs.sparkSession
     kept = [c for c in kept if c.lower() not in ("score", "predicted", "evidence")]
     rows = labels.where(F.col(label).isin(0, 1) & F.col(id_col).isNotNull())
     rows = (rows.where(learn) if learn is not None else rows).select(F.col(id_col).alias("__id"), F.col(label).cast("int").alias("__y"))
     totals = {r[0]: r[1] for r in rows.groupBy("__y").count().collect()}
-    sample = labelled_texts(docs, rows, "__y", "__id", id_col, text_col, examples, chars).toArrow()
-    # Sorted, the index is the same each time.
-    found = sorted(zip(*(sample[c].to_pylist() for c in ("__id", "__y", "__text")), strict=True), key=lambda r: (r[0], r[1], r[2] or ""))
-    ys, own_texts = np.array([r[1] for r in found], np.int64), [r[2] for r in found]
-    n1 = int(ys.sum())
-    distinct, a, b = example_terms(own_texts, ys)
-    apart = tell_apart(distinct, a, b, len(ys) - n1, n1, min_df)
-    k = len(distinct) if 0 < n1 < len(ys) else 0
-    distinct, apart = distinct[:k], apart[:k]
-    vocabulary = Vocabulary.of(distinct)
-    terms = spark.sparkContext.broadcast(vocabulary)  # bounded by the examples' terms
-    n, df = document_frequencies(docs, text_col, terms, k) if k else (0, np.zeros(0))
-    weights = (np.log((n + 1) / (df + 1)) + 0.1) * np.where(apart, 1.0, ORDINARY)
-    unseen = (np.log(n + 1) + 0.1) * ORDINARY
     every = totals.get(0, 0) + totals.get(1, 0)
-    same: dict[str, int] = {}
-    own = [(t.astype(np.int32), w) for at in range(0, len(found), SLICE_ROWS) for t, w in vocabulary.vectors(own_texts[at : at + SLICE_ROWS], weights, unseen)]
-    classes = [same.setdefault(t or "", len(same)) for t in own_texts]
-    index = Index.build(own, ys, [r[0] for r in found], classes, k, apart)
-    index.base = totals.get(1, 0) / every if every else 0.0
-    if k and len(found):
-        counts = np.bincount(ys, minlength=2)
-        index.priors = np.array([totals.get(y, 0) / max(1, counts[y]) for y in (0, 1)])
-        votes = [index.vote(near) for near in index.nearest_many(own, nearest, classes)]
-        some = np.array([v is not None for v in votes])
-        weight = index.priors[ys]
+    base, steps = totals.get(1, 0) / every if every else 0.0, (np.zeros(0), np.zeros(0))
+    sample = materialise(labelled_texts(docs, rows, "__y", "__id", id_col, text_col, examples, chars), "examples")
+    sample_path = sample.scratch
+    terms, k = made_in_task(spark, lambda: learn_terms(sample_path, min_df), "terms")
+    frequencies = document_frequencies(docs, text_col, terms, k)
+    path, count = made_in_task(spark, lambda: learn_index(sample_path, terms, frequencies, totals), "nearest")
+
+    def votes(batches):
+        index, weights, unseen = loaded(path)
+        for b in slices(batches, SLICE_ROWS):
+            texts = b.column(1).to_pylist()
+            near = index.nearest_many(loaded(terms)[0].vectors(texts, weights, unseen), nearest, [index.same[_digest(t)] for t in texts])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([index.vote(x) for x in near], pa.float64())], names=["y", "vote"])
+
+    if k and count:
+        tasks = max(1, -(-count // 256))
+        got = map_arrow(sample.select("__y", "__text").repartition(tasks), votes, "y int, vote double").toArrow()  # two numbers for each example
+        ys = np.array(got["y"].to_pylist(), np.int64)
+        vote = np.array([np.nan if v is None else v for v in got["vote"].to_pylist()])
+        weight = np.array([totals.get(y, 0) / max(1, int((ys == y).sum())) for y in (0, 1)])[ys]
+        some = ~np.isnan(vote)
+        order = np.lexsort((ys, vote))
+        ys, vote, weight, some = ys[order], vote[order], weight[order], some[order]
         if some.any():
-            index.steps = isotonic(np.array([v for v in votes if v is not None]), ys[some].astype(float), weight[some])
+            steps = isotonic(vote[some], ys[some].astype(float), weight[some])
         if (~some).any():
-            index.base = float((weight * ys)[~some].sum() / weight[~some].sum())
-    del own, own_texts, found, sample
-    shared = spark.sparkContext.broadcast((index, weights))  # bounded by examples and their terms
+            base = float((weight * ys)[~some].sum() / weight[~some].sum())
+    discard(spark, sample_path, frequencies)
     fields = T.StructType([docs.schema[c] for c in kept] + list(T._parse_datatype_string("score double, predicted int, evidence array<struct<id:long,cosine:float>>").fields))
     schema = arrow_schema(fields)
 
     def run(batches):
-        index, weights = shared.value
+        index, weights, unseen = loaded(path)
+        words_of = loaded(terms)[0]
         seen: dict[bytes, tuple] = {}
         for b in slices(batches, SLICE_ROWS):
             texts = b.column(len(kept)).to_pylist()
-            keys = [hashlib.sha1((t or "").encode("utf-8", "surrogatepass")).digest() for t in texts]
+            keys = [_digest(t) for t in texts]
             new = {key: t for key, t in zip(keys, texts, strict=True) if key not in seen}
-            got = dict(zip(new, index.nearest_many(terms.value.vectors(list(new.values()), weights, unseen), nearest), strict=True))
+            got = dict(zip(new, index.nearest_many(words_of.vectors(list(new.values()), weights, unseen), nearest), strict=True))
             fresh = {}
             for key, near in got.items():
-                p = min(1.0, max(0.0, index.calibrated(index.vote(near))))
+                v = index.vote(near)
+                p = min(1.0, max(0.0, base if v is None or not len(steps[0]) else float(np.interp(v, *steps))))
                 fresh[key] = p, int(p >= 0.5), [{"id": int(index.ids[i]), "cosine": float(s)} for i, s in zip(near[0][:5], near[1][:5], strict=True)]
             out = [fresh.get(key) or seen[key] for key in keys]
             if len(seen) < 100_000:

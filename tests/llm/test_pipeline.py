@@ -89,3 +89,28 @@ def test_one_document_of_each_class_stays(spark, corpus):
 def test_every_query_is_registered():
     assert [n.split("_")[0] for n in sorted(queries.QUERIES, key=lambda n: int(n[2:].split("_")[0]))] == [f"op{k}" for k in range(1, 11)]
     assert secrets.KINDS[:3] == ("assign", "access", "hex")
+
+
+def test_packing_bears_odd_rows(spark, corpus):
+    """Every row is packed, repeated ones, null ids and clashing columns included; an empty table gives nothing."""
+    sf, rows, _ = corpus
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    odd = docs.union(docs.where("doc_id < 3")).union(docs.where("doc_id = 5").withColumn("doc_id", F.lit(None).cast("long")))
+    odd = odd.withColumns({"n": F.lit(1), "part": F.lit("x"), "ids": F.lit(None).cast("string"), "__row": F.lit(7)})
+    got = cp.packing(spark, odd, sf)
+    assert got.where("start = 0").count() == odd.count() == len(rows) + 4
+    assert cp.packing(spark, odd.where("false"), sf).count() == 0
+
+
+def test_run_leaves_only_its_result(spark, corpus):
+    import pathlib
+
+    from spanloom.llm import common
+
+    sf, _, _ = corpus
+    at = pathlib.Path(common.shared_dir(spark).removeprefix("file://"))
+    before = set(at.iterdir())
+    out = cp.run(spark, sf)
+    new = [p.name.split("-")[0] for p in set(at.iterdir()) - before]
+    # The last stage's own tables go with it; the result alone stays.
+    assert new == ["documents"] and out.count() > 0
