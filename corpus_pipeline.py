@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.llm import decontaminate, language_id, mixture_pack, neardup, secrets
-from spanloom.llm.common import crc_mod, materialise
+from spanloom.llm.common import crc_mod, discard, materialise, scratch
 
 #: Texts of unknown language, or that fit their language this badly, are rejected.
 LEAST_LANGUAGE_SCORE = 0.2
@@ -98,7 +98,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), "documents")
-    return materialise(STAGES[-1][1](spark, docs, sf_dir), "packed")
+    docs, path = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for _, stage in STAGES:
+        with scratch(spark) as keep:  # what a stage has written goes with it
+            docs = materialise(stage(spark, docs, sf_dir), "documents")
+            keep.add(docs.scratch)
+        if path:
+            discard(spark, path)
+        path = docs.scratch
+    return docs
