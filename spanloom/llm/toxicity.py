@@ -42,9 +42,11 @@ CHARS = 64 << 20
 ORDINARY = 0.05
 CHI = 15
 #: Commonest terms whose long posting lists are kept as maxima of blocks, and examples of a block.
-COMMON = 4096
+COMMON = 2048
 BLOCK = 16
 MIN_DF = 4
+#: Texts whose bounds are one product.
+BATCH = 64
 PREFIXES = (4, 5, 6, 7)
 NEAREST = 25
 OCCURRENCES = 3
@@ -262,7 +264,10 @@ class Index:
         if not n:
             return [(np.zeros(0, np.int64), np.zeros(0, np.float32))] * len(vectors)
         dense = np.zeros(max(1, len(self.maxima)), np.float32)
+        bounds = np.zeros((0, self.maxima.shape[1]), np.float32)
         for i, (t, w) in enumerate(vectors):
+            if i % BATCH == 0:
+                bounds = self._bounds(vectors[i : i + BATCH])
             c = self.column.take(t)
             is_long = c >= 0
             long, weight = c[is_long], w[is_long]
@@ -275,7 +280,7 @@ class Index:
                 known = np.zeros(n, np.float32)
             bound = known
             if len(long):
-                bound = known + np.repeat(weight @ self.maxima.take(long, 0), self.block)[:n]
+                bound = known + np.repeat(bounds[i % BATCH], self.block)[:n]
                 dense[long] = weight
             if without is not None:
                 bound = np.where(self.texts[self.place] == without[i], 0, bound)
@@ -299,6 +304,15 @@ class Index:
             out.append((who[got], value[got].astype(np.float32)))
         return out
 
+    def _bounds(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """For each text and block the most that the common terms add: one product, so the maxima are read once."""
+        q = np.zeros((len(vectors), len(self.maxima)), np.float32)
+        for row, (t, w) in zip(q, vectors, strict=True):
+            c = self.column.take(t)
+            own = c >= 0
+            row[c[own]] = w[own]
+        return q @ self.maxima
+
     def _long(self, dense: np.ndarray, places: np.ndarray) -> np.ndarray:
         """What the common terms of a text, as a dense vector, add to the cosines of examples."""
         at, size = _ranges(self.begin.take(places), self.begin.take(places + 1))
