@@ -26,7 +26,6 @@ kept column named found gives way to the result; an empty table gives no rows.
 
 from __future__ import annotations
 
-import hashlib
 import random
 import re
 from dataclasses import dataclass
