@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, map_arrow, materialise, plain_unions, scratch, slices
+from .common import arrow_schema, loaded, made_in_task, map_arrow, materialise, plain_unions, read_shared, scratch, slices
 from .graph import components
 from .grams import mix, shingles, words
 
@@ -43,8 +43,10 @@ SIGMAS = 5.0
 #: Buckets of up to so many members are compared as pairs, others in blocks.
 PAIR_BUCKET = 24
 BLOCK = 384
-#: Texts to verify are broadcast (32 bytes each) up to this many, and joined by a shuffle beyond.
-BROADCAST_ROWS = 1_000_000
+#: Stands for a null id where ids are compared in arrays.
+NO_ID = -(1 << 63)
+#: Texts to verify are listed in the shared folder for the tasks (32 bytes each) up to this many, and joined by a shuffle beyond.
+LISTED_ROWS = 1_000_000
 
 
 def plan_bands(threshold: float, recall: float, hashes: int = HASHES) -> tuple[int, int]:
@@ -168,22 +170,53 @@ def _block_sketches(members: DataFrame, sketches: DataFrame, least: float) -> Da
     return full.select("bucket", "i", "j", "blk", "id", "comp", "sketch").groupBy("bucket", "i", "j").applyInArrow(run, "a long, b long")
 
 
+def _listed(path: str) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], int]:
+    """((digests, ids, least ids) of the wanted texts, by digest; their number). A null least id is the number NO_ID."""
+    t = read_shared(path, ["digest", "id", "least_id"])
+    digest = np.frombuffer(b"".join(t["digest"].to_pylist()), "S16")
+    order = np.argsort(digest)
+    return (digest[order], t["id"].to_numpy()[order], t["least_id"].fill_null(NO_ID).to_numpy()[order]), len(order)
+
+
 def _gram_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
-    """(id, grams): the full n-gram sets of the wanted texts, as bytes of sorted 64-bit hashes."""
+    """(id, grams): the full n-gram sets of the wanted texts, as bytes of sorted 64-bit hashes.
+
+    Tasks look the wanted texts up in a list in the shared folder: a broadcast would go through the driver.
+    """
     schema = arrow_schema("id long, grams binary")
 
-    def run(batches):
-        for b in slices(batches, 256):
-            texts = b.column(1).to_pylist()
-            h, _, _, first = words(texts)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(h[first[i] : first[i + 1]], n).tobytes() for i in range(len(texts))], pa.binary())], schema=schema)
+    def made(ids: pa.Array, texts: list) -> pa.RecordBatch:
+        h, _, _, first = words(texts)
+        return pa.RecordBatch.from_arrays([ids, pa.array([shingles(h[first[i] : first[i + 1]], n).tobytes() for i in range(len(texts))], pa.binary())], schema=schema)
 
     rows = docs.select(F.col(id_col).cast("long").alias("own_id"), F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))).alias("digest"), F.col(text_col).alias("t"))
     wanted = materialise(wanted.select("id", "digest", "least_id"), "wanted")
-    side = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
-    rows = rows.join(side, "digest").where(F.col("own_id").eqNullSafe(F.col("least_id")))
+    count = wanted.count()
+    if 0 < count <= LISTED_ROWS:
+        at = wanted.scratch
+        path, _ = made_in_task(docs.sparkSession, lambda: _listed(at), "listed")
+
+        def run(batches):
+            digests, ids, least = loaded(path)
+            for b in slices(batches, 256):
+                own = np.frombuffer(b"".join(b.column(1).to_pylist()), "S16")
+                place = np.minimum(np.searchsorted(digests, own), len(digests) - 1)
+                # The row that names a text.
+                names = np.flatnonzero((digests[place] == own) & (b.column(0).fill_null(NO_ID).to_numpy() == least[place]))
+                if len(names):
+                    yield made(pa.array(ids[place[names]]), b.column(2).take(pa.array(names)).to_pylist())
+
+        sets = map_arrow(rows, run, "id long, grams binary")
+    else:
+
+        def run(batches):
+            for b in slices(batches, 256):
+                yield made(b.column(0), b.column(1).to_pylist())
+
+        rows = rows.join(wanted.hint("shuffle_merge"), "digest").where(F.col("own_id").eqNullSafe(F.col("least_id")))
+        sets = map_arrow(rows.select("id", "t"), run, "id long, grams binary")
     # The row that names a text may be there repeatedly.
-    return map_arrow(rows.select("id", "t"), run, "id long, grams binary").groupBy("id").agg(F.first("grams").alias("grams"))
+    return sets.groupBy("id").agg(F.first("grams").alias("grams"))
 
 
 def _square_links(table: pa.Table, threshold: float) -> pa.Table:

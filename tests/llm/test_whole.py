@@ -7,7 +7,7 @@ import re
 import numpy as np
 from pyspark.sql import functions as F
 
-from spanloom.llm import common, decontaminate, language_id, mixture_pack, quality, secrets, token_pack, toxicity
+from spanloom.llm import common, decontaminate, language_id, mixture_pack, neardup, quality, secrets, token_pack, toxicity
 from tests.llm.test_operators import paraphrase, prose
 
 
@@ -252,3 +252,23 @@ def test_packing_keeps_null_ids_and_repeated_rows(spark):
     packed = token_pack.pack(df).collect()
     assert sorted((i or 0) for r in packed for i, s in zip(r.doc_ids, r.starts, strict=True) if s == 0) == [0, 0, 5, 5, 6, 7, 8]
     assert token_pack.pack(df.where("false")).count() == 0 and mixture_pack.pack(df.where("false")).count() == 0
+
+
+def test_near_copies_broadcast_nothing(spark, monkeypatch):
+    """Texts to verify are not broadcast through the driver, and a list of them gives what a join gives; null ids and repeated rows too."""
+    rng = random.Random(31)
+    texts = [prose(rng, "en", 20) for _ in range(12)]
+    rows = list(enumerate(texts)) + [(None, texts[0]), (20, texts[1]), (3, texts[3]), (None, "a null id alone"), (None, "a null id alone")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    own = docs.where("doc_id is null or doc_id % 2 = 1 or doc_id = 0").groupBy(F.unhex(F.md5(F.col("text").cast("binary"))).alias("digest"))
+    wanted = common.materialise(own.agg(F.min("doc_id").alias("least_id")).withColumn("id", F.monotonically_increasing_id() + 1000), "test")
+
+    def never(_):
+        raise AssertionError("a broadcast")
+
+    monkeypatch.setattr(neardup.F, "broadcast", never)
+    found = lambda: sorted((r.id, bytes(r.grams)) for r in neardup._gram_sets(docs, wanted, "doc_id", "text", 3).collect())
+    got = found()
+    assert [i for i, _ in got] == sorted(r.id for r in wanted.collect()) and len({g for _, g in got}) == len(got) == 8
+    monkeypatch.setattr(neardup, "LISTED_ROWS", 0)
+    assert found() == got
