@@ -23,8 +23,8 @@ from spanloom.llm.common import crc_mod, discard, materialise, scratch
 
 #: Texts of unknown language, or that fit their language this badly, are rejected.
 LEAST_LANGUAGE_SCORE = 0.2
-#: Numbers of rows to drop (8 bytes each) are broadcast up to this many, and joined by a shuffle beyond.
-BROADCAST_ROWS = 2_000_000
+#: Numbers of rows to drop are broadcast, through the driver, up to this many, and joined by a shuffle beyond.
+BROADCAST_ROWS = 100_000
 KNOWN = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -51,9 +51,9 @@ def _numbered(docs: DataFrame) -> DataFrame:
 
 
 def _without(rows: DataFrame, gone: DataFrame) -> DataFrame:
-    """rows without those whose __row is in gone, a written table; that is broadcast if it is small."""
+    """rows without those whose __row is in gone, a written table; that is broadcast if it is small, and never if not."""
     small = gone.count() <= BROADCAST_ROWS
-    return rows.join(F.broadcast(gone) if small else gone, "__row", "left_anti")
+    return rows.join(gone.hint("broadcast" if small else "shuffle_merge"), "__row", "left_anti")
 
 
 @_whole_rows

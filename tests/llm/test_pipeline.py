@@ -114,3 +114,12 @@ def test_run_leaves_only_its_result(spark, corpus):
     new = [p.name.split("-")[0] for p in set(at.iterdir()) - before]
     # The last stage's own tables go with it; the result alone stays.
     assert new == ["documents"] and out.count() > 0
+
+
+def test_many_dropped_rows_are_never_broadcast(spark, monkeypatch):
+    rows, gone = spark.range(100).withColumnRenamed("id", "__row"), spark.range(0, 100, 3).withColumnRenamed("id", "__row")
+    for most, how in ((1, False), (1000, True)):
+        monkeypatch.setattr(cp, "BROADCAST_ROWS", most)
+        got = cp._without(rows, gone)
+        assert got.count() == 66
+        assert ("Broadcast" in got._jdf.queryExecution().executedPlan().toString()) == how
