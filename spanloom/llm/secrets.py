@@ -39,9 +39,9 @@ from .common import arrow_schema, codepoints, map_arrow, map_texts, slices
 
 #: Most texts that the field is fitted to (a documented bound: the model is a classifier).
 TRAIN_TEXTS = 1500
-#: Tokens of a window that the field is fitted to, and characters of texts worked on at one time.
+#: Tokens of a window that the field is fitted to, and characters of texts worked on at one time: arrays of tokens take some 100 bytes a character.
 WINDOW = 12
-CHARS = 1 << 20
+CHARS = 1 << 17
 KINDS = ("assign", "access", "hex", "field")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")

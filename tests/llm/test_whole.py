@@ -272,3 +272,23 @@ def test_near_copies_broadcast_nothing(spark, monkeypatch):
     assert [i for i, _ in got] == sorted(r.id for r in wanted.collect()) and len({g for _, g in got}) == len(got) == 8
     monkeypatch.setattr(neardup, "LISTED_ROWS", 0)
     assert found() == got
+
+
+def test_secrets_are_found_in_little_memory(monkeypatch):
+    """A slice of texts is worked on in parts, which give what all of it at once gives."""
+    import tracemalloc
+
+    rng, r = random.Random(33), np.random.default_rng(3)
+    texts = [prose(rng, "en", 300) + f' password = "hunter{i}22hunter" ' + prose(rng, "en", 50) for i in range(400)]
+    emit, trans = r.normal(0, 0.3, (int(secrets._OFFSETS[-1]), 3)), np.zeros((4, 3))
+    trans[0, 2] = trans[3, 2] = -1e9
+    emit[:, 0] += 0.1
+    field = secrets.Field(secrets._NAMES, emit, trans)
+    tracemalloc.start()
+    got = secrets.find(texts, field)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(map(len, texts)) > 600_000 and sum(len(b) for _, b in got) > 1000
+    assert peak < 48 << 20, peak
+    monkeypatch.setattr(secrets, "CHARS", 1 << 20)
+    assert secrets.find(texts, field) == got
