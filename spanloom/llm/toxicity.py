@@ -6,11 +6,12 @@ term of every labelled example is indexed; document frequencies are counted over
 text is a sparse vector of length one over all its terms: TF-IDF, times ORDINARY for terms that
 don't tell the labels apart (chi-square with the label, at least MIN_DF examples). Terms in no
 example count in a text's length as those in no text. A text's nearest examples are by exact
-cosine over all terms, found in a block-max inverted index: short posting lists are added up, and
-long ones, whose largest weight in each block of examples bounds what they can add, are looked up
-only for the examples that can still be among the nearest. Their votes are weighted by cosine and
-by the share of their label among all labelled rows, and made a probability by isotonic
-regression on the examples themselves, each scored without its own and equal texts.
+cosine over all terms, found in a block-max inverted index: the commonest terms of many texts are one
+dense product, short posting lists are added up, and long ones, whose largest weight in each block of
+examples bounds what they can add, are looked up only for the examples that can still be among the
+nearest. Their votes are weighted by cosine and by the share of their label among all
+labelled rows, and made a probability by isotonic regression on the examples themselves, each scored
+without its own and equal texts.
 
 Examples are a bounded sample (EXAMPLES of each label, by id hash) of the labelled rows that
 may be learnt from. Defined results: a text without a term of an example, null and empty ones included,
@@ -24,6 +25,7 @@ from __future__ import annotations
 
 import hashlib
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -41,12 +43,14 @@ CHARS = 64 << 20
 #: Weight of terms that don't tell the labels apart, of those that do it is 1.
 ORDINARY = 0.05
 CHI = 15
-#: Commonest terms whose long posting lists are kept as maxima of blocks, and examples of a block.
-COMMON = 2048
-BLOCK = 16
+#: Commonest terms, whose weights are a dense matrix.
+DENSE = 256
+#: Commonest other terms whose long posting lists are kept as maxima of blocks, and examples of a block.
+COMMON = 4096
+BLOCK = 8
 MIN_DF = 4
 #: Texts whose bounds are one product.
-BATCH = 64
+BATCH = 128
 PREFIXES = (4, 5, 6, 7)
 NEAREST = 25
 OCCURRENCES = 3
@@ -193,31 +197,38 @@ def _pack(number: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return out
 
 
-def _ranges(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(all numbers from lo to hi, without hi, of each range; sizes of the ranges)."""
-    size = hi - lo
-    ends = np.cumsum(size)
-    out = np.repeat(lo - (ends - size), size)
-    out += np.arange(len(out))
-    return out, size
+def _lists(first: np.ndarray, packed: np.ndarray) -> pa.LargeBinaryArray:
+    """Lists of packed numbers as byte strings, which Arrow copies whole."""
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(first) - 1, [None, pa.py_buffer(first * 8), pa.py_buffer(packed)])
+
+
+def _joined(lists: pa.LargeBinaryArray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(packed numbers of these lists, one list after the other, sizes of the lists)."""
+    if not len(which):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    _, ends, data = lists.take(pa.array(which)).buffers()
+    ends = np.frombuffer(ends, np.int64, len(which) + 1) >> 3
+    return np.frombuffer(data, np.int64, ends[-1]) if ends[-1] else np.zeros(0, np.int64), np.diff(ends)
 
 
 @dataclass
 class Index:
     """Block-max inverted index of unit vectors.
 
-    Examples lie in an order in which alike ones are neighbours, in blocks. Long posting lists
-    (of the COMMON commonest terms that don't tell the labels apart) are kept as the largest
-    weight in each block, and example by example; those of all other terms as they are.
+    Examples lie in an order in which alike ones are neighbours, in blocks. The weights of the
+    DENSE commonest terms are a matrix. Long posting lists (of the COMMON commonest of the other
+    terms that don't tell the labels apart) are kept as the largest weight in each block, and
+    example by example; those of all other terms as they are.
     """
 
     labels: np.ndarray  # of each example
     ids: np.ndarray
     texts: np.ndarray  # number of equal texts' class
     place: np.ndarray  # example at each place of the index's order
-    column: np.ndarray  # of each term among the common ones, or -1
+    column: np.ndarray  # of each term among the dense and then the common ones, or -1
     first: np.ndarray  # first posting of each other term, and the number of postings
     postings: np.ndarray  # place and weight of each, packed
+    matrix: np.ndarray  # [places, dense terms]
     maxima: np.ndarray  # [common terms, blocks]
     begin: np.ndarray  # first common term of each place, and their number
     entries: np.ndarray  # common term and weight of each, packed
@@ -225,8 +236,16 @@ class Index:
     priors: np.ndarray = field(default_factory=lambda: np.ones(2))
     same: dict = field(default_factory=dict)  # class of equal texts by digest
 
+    @cached_property
+    def _postings(self) -> pa.LargeBinaryArray:
+        return _lists(self.first, self.postings)
+
+    @cached_property
+    def _entries(self) -> pa.LargeBinaryArray:
+        return _lists(self.begin, self.entries)
+
     @staticmethod
-    def build(vectors: list[tuple[np.ndarray, np.ndarray]], labels, ids, texts, terms: int, apart: np.ndarray | None = None, common: int = COMMON, block: int = BLOCK) -> Index:
+    def build(vectors: list[tuple[np.ndarray, np.ndarray]], labels, ids, texts, terms: int, apart: np.ndarray | None = None, common: int = COMMON, block: int = BLOCK, dense: int = DENSE) -> Index:
         n = len(vectors)
         t = np.concatenate([v[0] for v in vectors]).astype(np.int32) if n else np.zeros(0, np.int32)
         w = np.concatenate([v[1] for v in vectors]).astype(np.float32) if n else np.zeros(0, np.float32)
@@ -236,57 +255,58 @@ class Index:
         at = np.empty(n, np.int32)
         at[place] = np.arange(n)
         doc = np.repeat(at, np.diff(cuts))
-        ordinary = df if apart is None else df * ~apart
+        most = np.argsort(-df, kind="stable")[:dense]
+        most = most[df[most] > 0]
+        ordinary = df.copy() if apart is None else df * ~apart
+        ordinary[most] = 0
         long = np.argsort(-ordinary, kind="stable")[: min(common, int((ordinary > 0).sum()))]
         column = np.full(terms, -1, np.int32)
-        column[long] = np.arange(len(long))
+        column[most] = np.arange(len(most))
+        column[long] = len(most) + np.arange(len(long))
 
         def lists(key, number, weight, keys):
             order = np.argsort(key, kind="stable")
             return np.concatenate(([0], np.cumsum(np.bincount(key, minlength=keys)))), _pack(number[order], weight[order])
 
-        is_long = column[t] >= 0
+        c = column[t]
+        is_dense, is_long, short = (c >= 0) & (c < len(most)), c >= len(most), c < 0
+        matrix = np.zeros((n, len(most)), np.float32)
+        matrix[doc[is_dense], c[is_dense]] = w[is_dense]
         maxima = np.zeros((len(long), -(-n // block)), np.float32)
-        c, d, v = column[t[is_long]], doc[is_long], w[is_long]
+        c, d, v = c[is_long] - len(most), doc[is_long], w[is_long]
         np.maximum.at(maxima, (c, d // block), v)
         begin, entries = lists(d, c, v, n)
-        first, postings = lists(t[~is_long], doc[~is_long], w[~is_long], terms)
-        return Index(np.asarray(labels, np.int64), np.asarray(ids), np.asarray(texts), place, column, first, postings, maxima, begin, entries, block)
+        first, postings = lists(t[short], doc[short], w[short], terms)
+        return Index(np.asarray(labels, np.int64), np.asarray(ids), np.asarray(texts), place, column, first, postings, matrix, maxima, begin, entries, block)
 
     def nearest_many(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int = NEAREST, without: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
         """(example, cosine) of the k nearest, nearest first; only those that share a term.
 
-        The short posting lists are added up for all examples. To these sums, which the cosines
-        are not below, each block's bound of what the long lists can add is added; only examples
-        whose bound reaches the k-th largest cosine known get what they do add.
+        The dense terms are one product for many texts, and the short posting lists are added up, for
+        all examples. To these sums, which the cosines are not below, each block's bound of what the
+        long lists can add is added; only examples whose bound reaches the k-th largest cosine known
+        get what they do add. What the dense terms add to these is summed up again, as the last bits
+        of a product may differ with the texts beside a text.
         """
         n, out = len(self.place), []
         if not n:
             return [(np.zeros(0, np.int64), np.zeros(0, np.float32))] * len(vectors)
-        dense = np.zeros(max(1, len(self.maxima)), np.float32)
-        bounds = np.zeros((0, self.maxima.shape[1]), np.float32)
         for i, (t, w) in enumerate(vectors):
             if i % BATCH == 0:
-                bounds = self._bounds(vectors[i : i + BATCH])
-            c = self.column.take(t)
-            is_long = c >= 0
-            long, weight = c[is_long], w[is_long]
-            t, w = t[~is_long], w[~is_long]
-            places, size = _ranges(self.first.take(t), self.first.take(t + 1))
-            if len(places):
-                found = self.postings.take(places)
+                common, bounds = self._bounds(vectors[i : i + BATCH])
+            own, bound = common[i % BATCH], bounds[i % BATCH]
+            short = self.column.take(t) < 0
+            t, w = t[short], w[short]
+            found, size = _joined(self._postings, t)
+            known = None
+            if len(found):
                 known = np.bincount(found >> 32, found.view(np.float32)[::2] * np.repeat(w, size), n).astype(np.float32)
-            else:
-                known = np.zeros(n, np.float32)
-            bound = known
-            if len(long):
-                bound = known + np.repeat(bounds[i % BATCH], self.block)[:n]
-                dense[long] = weight
+                bound += known
             if without is not None:
-                bound = np.where(self.texts[self.place] == without[i], 0, bound)
+                bound[self.texts[self.place] == without[i]] = 0
             m = k + k // 4
             some = np.argpartition(bound, n - m)[n - m :] if n > m else np.arange(n)
-            value = known.take(some) + self._long(dense, some)
+            value = self._cosines(own, known, some)
             if n > m:
                 # The k-th largest of these is not above that of all.
                 more = bound >= np.partition(value, m - k)[m - k] - 2e-5
@@ -294,8 +314,7 @@ class Index:
                 more = np.flatnonzero(more)
                 if len(more):
                     some = np.concatenate((some, more))
-                    value = np.concatenate((value, known.take(more) + self._long(dense, more)))
-            dense[long] = 0
+                    value = np.concatenate((value, self._cosines(own, known, more)))
             value, who = np.round(value.astype(np.float64), 5), self.place[some]
             if without is not None:
                 value[self.texts[who] == without[i]] = 0
@@ -304,21 +323,30 @@ class Index:
             out.append((who[got], value[got].astype(np.float32)))
         return out
 
-    def _bounds(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-        """For each text and block the most that the common terms add: one product, so the maxima are read once."""
-        q = np.zeros((len(vectors), len(self.maxima)), np.float32)
+    def _bounds(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        """(weights of the dense and common terms of each text, the most that they add to each place): products,
+        so that the matrices are read once."""
+        dense = self.matrix.shape[1]
+        q = np.zeros((len(vectors), dense + len(self.maxima)), np.float32)
         for row, (t, w) in zip(q, vectors, strict=True):
             c = self.column.take(t)
             own = c >= 0
             row[c[own]] = w[own]
-        return q @ self.maxima
+        out = q[:, :dense] @ self.matrix.T
+        out += np.repeat(q[:, dense:] @ self.maxima, self.block, axis=1)[:, : len(self.place)]
+        return q, out
+
+    def _cosines(self, own: np.ndarray, known: np.ndarray | None, places: np.ndarray) -> np.ndarray:
+        """The cosines of examples to a text with these weights of dense and common terms and these sums of the others."""
+        dense = self.matrix.shape[1]
+        value = (self.matrix.take(places, 0) * own[:dense]).sum(1) + self._long(own[dense:], places)
+        return value if known is None else value + known.take(places)
 
     def _long(self, dense: np.ndarray, places: np.ndarray) -> np.ndarray:
         """What the common terms of a text, as a dense vector, add to the cosines of examples."""
-        at, size = _ranges(self.begin.take(places), self.begin.take(places + 1))
+        found, size = _joined(self._entries, places)
         out = np.zeros(len(places), np.float32)
-        if len(at):
-            found = self.entries.take(at)
+        if len(found):
             added = dense.take(found >> 32)
             added *= found.view(np.float32)[::2]
             some = np.flatnonzero(size)

@@ -359,6 +359,38 @@ def test_nearest_is_exact():
             assert np.allclose(s, want[want > 0], atol=2e-5)
 
 
+def test_nearest_adds_up_short_lists_only():
+    """The commonest terms, those that tell the labels apart too, are in no posting list that is added up; the result is exact."""
+    rng = np.random.default_rng(6)
+    terms, n = 6000, 1200
+    vectors = []
+    for _ in range(n):
+        t = np.unique((terms * rng.random(80) ** 3).astype(np.int64))
+        w = rng.random(len(t)).astype(np.float32) + np.float32(0.1)
+        vectors.append((t, w / np.sqrt((w * w).sum())))
+    full = np.zeros((n, terms), np.float32)
+    for k, (t, w) in enumerate(vectors):
+        full[k, t] = w
+    apart = np.arange(terms) % 2 == 0
+    df = np.sort((full > 0).sum(0))[::-1]
+    texts = [k // 2 for k in range(n)]
+    assert np.diff(toxicity.Index.build(vectors, [0] * n, range(n), texts, terms, apart).first).max() < n / 8 < df[0]
+    index = toxicity.Index.build(vectors, [0] * n, range(n), texts, terms, apart, common=100, block=8, dense=30)
+    assert 0 < np.diff(index.first).max() <= df[30] and index.matrix.shape == (n, 30) and len(index.maxima) == 100
+    for without in (None, texts):
+        got = index.nearest_many(vectors, 25, without)
+        for k in range(0, n, 13):
+            cosine = full.astype(np.float64) @ full[k]
+            if without is not None:
+                cosine[k // 2 * 2 : k // 2 * 2 + 2] = 0
+                assert not set(got[k][0].tolist()) & {k // 2 * 2, k // 2 * 2 + 1}
+            assert np.allclose(got[k][1], np.sort(cosine)[::-1][:25], atol=2e-5)
+            assert np.allclose(got[k][1], cosine[got[k][0]], atol=2e-5)
+        for k in (0, 500, n - 1):  # the texts beside a text change nothing
+            alone = index.nearest_many(vectors[k : k + 1], 25, None if without is None else texts[k : k + 1])[0]
+            assert (alone[0] == got[k][0]).all() and (alone[1] == got[k][1]).all()
+
+
 def texts_of(docs):
     return {(r.doc_id, r.text or "") for r in docs.collect()}
 
