@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialise, plain_unions
+from .common import discard, materialise, plain_unions, shuffled_joins
 
 
 def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
@@ -14,7 +14,7 @@ def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
     Rows of a hot node are reduced before they are shuffled (minima and distinct pairs); each
     half round is a table in the shared folder, so a lost executor costs one half round.
     """
-    with plain_unions(edges.sparkSession):
+    with plain_unions(edges.sparkSession), shuffled_joins(edges.sparkSession):
         return _components(edges, most_rounds)
 
 

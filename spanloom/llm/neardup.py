@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, loaded, made_in_task, map_arrow, materialise, plain_unions, read_shared, scratch, slices
+from .common import arrow_schema, loaded, made_in_task, map_arrow, materialise, plain_unions, read_shared, scratch, shuffled_joins, slices
 from .graph import components
 from .grams import mix, shingles, words
 
@@ -291,7 +291,7 @@ def _forest(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = NGRAM, threshold: float = THRESHOLD, recall: float = RECALL, hashes: int = HASHES) -> DataFrame:
     """(id, class_id, n_links, n_copies), one row for each row of docs."""
-    with plain_unions(docs.sparkSession), scratch(docs.sparkSession) as keep:
+    with plain_unions(docs.sparkSession), shuffled_joins(docs.sparkSession), scratch(docs.sparkSession) as keep:
         out = _near_copies(docs, id_col, text_col, n, threshold, recall, hashes)
         keep.add(out.scratch)
     return out

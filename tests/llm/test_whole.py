@@ -292,3 +292,23 @@ def test_secrets_are_found_in_little_memory(monkeypatch):
     assert peak < 48 << 20, peak
     monkeypatch.setattr(secrets, "CHARS", 1 << 20)
     assert secrets.find(texts, field) == got
+
+
+def test_near_copies_broadcasts_nothing_unasked(spark, monkeypatch):
+    """A table that is small as a file may be large in the driver: joins of op2 and of its components are shuffled."""
+    plans, write = [], common.materialise
+
+    def seen(df, *args, **options):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, *args, **options)
+
+    monkeypatch.setattr(neardup, "materialise", seen)
+    monkeypatch.setattr("spanloom.llm.graph.materialise", seen)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    rng = random.Random(4)
+    texts = [prose(rng, "en", 60) for _ in range(8)]
+    docs = spark.createDataFrame([(i, texts[i // 2] + " end" * (i % 2)) for i in range(16)], "doc_id long, text string")
+    got = {r.id: r.class_id for r in neardup.near_copies(docs).collect()}
+    assert got == {i: i - i % 2 for i in range(16)}
+    assert any("SortMergeJoin" in p for p in plans) and not any("BroadcastHashJoin" in p for p in plans)
+    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == before
