@@ -1,9 +1,11 @@
 """Expressions to DataFrames.
 
-Equal sub-expressions are compiled once; all phrases and classes of a query are found in one
-pass over the texts, whose result is shuffled once by document if an operator above needs it so.
-Operators of two sets shuffle their union again (see Compiler.run). A large sub-expression that
-is used repeatedly is written as a table, as its plan would be copied, and run, for every use.
+What operators.local knows is evaluated in the one pass over the texts: a whole query without a
+shuffle, or else its largest such parts, whose results are shuffled once by document. Equal
+sub-expressions are compiled once. Without that (an index, ids that several documents share) all
+phrases and classes of a query are found in one pass; operators of two sets shuffle their union
+again (see Compiler.run). A large sub-expression that is used repeatedly, or a large query that
+has such, is written as a table, so that it isn't run again for every use.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions import markup
 from ..model import COLS, E, S
-from ..operators import contain, leaves, pair, sets
+from ..operators import contain, leaves, local, pair, sets
 from ..sources.shared import materialise
 from .ast import BARE, NAMED, Node, rewrite, walk
 
@@ -49,6 +51,8 @@ class Compiler:
         for n in set(walk(node)):
             for a, times in _operands(n):
                 self.uses[a] += times
+        if self.index is None and any(local.known(n) and n.op not in ("start", "end", "chars", "list", "file") for n in walk(node)) and not self._ids_repeat(node):
+            return self._local(node)
         self.patterns = sorted({(n.op, n.args[0]) for n in walk(node) if n.op in ("phrase", "class")})
         if self.patterns:
             self.scanned = leaves.scan(self.docs, self.patterns, self.ignore_case)
@@ -56,6 +60,26 @@ class Compiler:
                 self.scanned = self.scanned.repartition("doc_id")
         return self.compile(node)
 
+    def _ids_repeat(self, node: Node) -> bool:
+        """Whether documents share an id, so that operators take regions of several texts as those of one document."""
+        if all(n.op in LEAVES for n in walk(node)):
+            return False
+        return bool(self.docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count())
+
+    def _local(self, node: Node) -> DataFrame:
+        if local.known(node):
+            out = local.evaluate(self.docs, node, self.ignore_case, self.word_chars)
+            nodes = list(walk(node))
+            if len(nodes) > LARGE and len(set(nodes)) < len(nodes):
+                out = materialise(out, "regions")
+                self.tables.append(out.scratch)
+            return out
+        parts = list(dict.fromkeys(_known_parts(node)))
+        found = local.evaluate_all(self.docs, parts, self.ignore_case, self.word_chars).repartition("doc_id")
+        for k, part in enumerate(parts):
+            self.done[part], self.weights[part] = leaves.hits_of(found, k), 1
+        return self.compile(node)
+
     def compile(self, n: Node) -> DataFrame:
         if n not in self.done:
             self.done[n] = self._compile(n)
@@ -118,6 +142,11 @@ class Compiler:
         raise ValueError(f"unknown operator {op}")
 
 
+def _known_parts(n: Node) -> list[Node]:
+    """The largest parts of an expression that operators.local evaluates."""
+    return [n] if local.known(n) else [x for a in n.args if isinstance(a, Node) for x in _known_parts(a)]
+
+
 def _operands(n: Node) -> list[tuple[Node, int]]:
     nodes = [a for a in n.args if isinstance(a, Node)]
     return list(zip(nodes, TIMES.get(n.op, (1,) * len(nodes)), strict=True))

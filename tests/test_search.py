@@ -412,3 +412,42 @@ def test_scanner_options(spark, tmp_path):
     (tmp_path / "style").write_text("%n. %r\\n")
     got = output.formatted(sl.search(docs, '"x-y"'), with_offsets(docs), output.read_style(f"{tmp_path}/style"))
     assert output.render(got) == "1. x-y\n2. x-y\n"
+
+
+@pytest.mark.parametrize("query", ['"a" not in ("a" .. "b")', '"a" .. "b" or "c"', '("a" .. "b") equal ("a" .. ("b" or "c"))', 'ALL extracting ("a" or "b")', 'concat("ab" or "b")', "WORDS", "MACRO_NAMES", "LINES", 'FIRST_IN("a", LINES)'])
+def test_whole_expressions_are_evaluated_in_the_scan(spark, query):
+    """No shuffle, sort or window, so no task holds more than a slice of documents."""
+    plan = sl.search(docs_of(spark, "abc"), query)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Exchange|Sort|Window|Join", plan)
+
+
+def test_evaluation_in_the_scan_equals_the_operators(spark, monkeypatch):
+    """Random expressions, over texts of both widths of characters, in slices of several documents."""
+    from spanloom.operators import local
+    from spanloom.plans.compile import Compiler
+
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("aab<>.\n é𝄞A1"[: 6 + i % 8]) for _ in range(rng.choice([0, 1, 9, 30]))) for i in range(60)]
+    docs = docs_of(spark, *texts).cache()
+    a, b, c = '"a"', '("b" or "<")', '[(0,2) (1,1) (1,5) (40,80)]'
+    queries = [f"{a} {op} {b} {more} {c}" for op, more in (("..", "or"), ("._", "not in"), ("_.", "containing"), ("__", "extracting"), ("quote", "equal"), ("_quote_", "not equal"), ("near(2)", "or"), ("before(1)", "not containing"), ("or", "in"), ("or", "extracting"))]
+    queries += [f"{f}({x})" for f, x in (("inner", f"{a} .. {b}"), ("outer", c), ("concat", f"{a} or {c}"), ("join", f"2, {c}"), ("first_bytes", f"2, {c}"), ("last_bytes", f"2, {a} .. {b}"), ("nth_in", f"-1, {a}, {c}"))]
+    queries += ['word("a*") in (start .. end)', 'file("1*") extracting "\\n"', f"({a} .. {b}) parenting {a}", f"{a} childrening {c}"]
+    monkeypatch.setattr(local, "SLICE_DOCS", 7)
+    for q in queries:
+        got = sorted(map(tuple, sl.search(docs, q).collect()))
+        with monkeypatch.context() as m:
+            m.setattr(local, "known", lambda n: False)
+            want = sorted(map(tuple, Compiler(docs).run(sl.parse(q, m_macros())).collect()))
+        assert got == want and len(got) == len(set(got)), q
+
+
+def m_macros():
+    return m.MACROS
+
+
+def test_documents_that_share_an_id(spark):
+    """Their regions are those of one document, as before."""
+    docs = spark.createDataFrame([(1, "1", "ab"), (1, "1", "zzz b"), (2, "2", "a")], "doc_id long, name string, text string")
+    assert sorted(map(tuple, sl.search(docs, '"a" .. "b"').collect())) == [(1, 0, 1)]
+    assert sorted(map(tuple, sl.search(docs, '"zz" containing "b"').collect())) == [(1, 0, 1), (1, 1, 2)]
