@@ -1,20 +1,31 @@
-"""Inverted index in Parquet: postings by term, documents and a description.
+"""Inverted index in Parquet: lists of postings by term, documents and a description.
 
-Postings are range-partitioned and sorted by (kind, term, document, position): a term or a prefix
-of terms is a few row groups, which Parquet's statistics find, and a term that a third of
-all postings have is spread over files as any other range.
+A row holds the postings that a term has in a slice of documents, packed, so that what is shuffled,
+sorted and written is a few bytes a posting, and terms are counted without reading any. Rows are
+range-partitioned and sorted by (kind, term, document): a term or a prefix of terms is a few row
+groups, which Parquet's statistics find, and a term that a third of all postings have is spread
+over files as any other range.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import markup
 from ..model import COLS, POSTINGS
+from ..operators import local
 from .shared import delete, materialise
 
-FORMAT = 1
+FORMAT = 2
+#: Rows of an index: of one term, from a document on, how many postings, and these (see _packed).
+LISTS = "kind string, term string, doc_id long, n long, docs binary, starts binary, lengths binary"
+_SCHEMA = pa.schema([("kind", pa.string()), ("term", pa.string()), ("doc_id", pa.int64()), ("n", pa.int64()), ("docs", pa.binary()), ("starts", pa.binary()), ("lengths", pa.binary())])
+_POSTINGS = pa.schema([("kind", pa.string()), ("term", pa.string()), *((c, pa.int64()) for c in COLS)])
+#: Bytes of text (or one document) whose postings of a term are one row.
+SLICE_BYTES = 8 << 20
 #: Stop words are broadcast up to this many, and joined by a shuffle beyond.
 BROADCAST_TERMS = 500_000
 
@@ -33,16 +44,131 @@ def _without(postings: DataFrame, stop_words: DataFrame) -> DataFrame:
     return postings.join(F.broadcast(stop_words) if n <= BROADCAST_TERMS else stop_words, "term", "left_anti")
 
 
-def postings_of(docs: DataFrame, word_chars: str = markup.WORD_CHARS, ignore_case: bool = False, with_markup: bool = True) -> DataFrame:
-    """All postings of documents: words, tags, elements and whole files."""
-    out = markup.tokens(docs, word_chars, ignore_case).select(F.lit("word").alias("kind"), "term", *COLS)
+def _packed(keys: np.ndarray, doc: np.ndarray, start: np.ndarray, size: np.ndarray | None, kinds: pa.Array, terms: pa.Array) -> pa.RecordBatch:
+    """A row of the index for each key (a number of kinds and terms), with its postings by document and position.
+
+    Within a row, documents are differences to its least one; they, starts and lengths are arrays as bytes.
+    A row without lengths has postings as long as its term.
+    """
+    order = np.argsort((keys & 0xFFFF).astype(np.uint16), kind="stable")  # numbers of two bytes are sorted by their digits
+    if len(terms) > 1 << 16:
+        order = order[np.argsort((keys[order] >> 16).astype(np.uint16), kind="stable")]
+    keys, doc, start = keys[order], doc[order], start[order]
+    size = None if size is None else size[order]
+    if len(keys) > 1:
+        same = keys[1:] == keys[:-1]
+        if (same & ((doc[1:] < doc[:-1]) | ((doc[1:] == doc[:-1]) & (start[1:] < start[:-1])))).any():
+            order = np.lexsort((start if size is None else start + size, start, doc, keys))
+            keys, doc, start, size = keys[order], doc[order], start[order], None if size is None else size[order]
+    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    n = np.diff(np.concatenate((first, [len(keys)])))
+    past = doc - np.repeat(doc[first], n)
+    past = past.astype(np.uint32) if not len(past) or past.max() < 1 << 32 and past.min() >= 0 else past
+    bounds = np.concatenate((first, [len(keys)]))
+
+    def column(x: np.ndarray) -> pa.Array:
+        x = np.ascontiguousarray(x)
+        return pa.BinaryArray.from_buffers(pa.binary(), len(first), [None, pa.py_buffer((bounds * x.itemsize).astype(np.int32)), pa.py_buffer(x)])
+
+    which = pa.array(keys[first])
+    lengths = pa.nulls(len(first), pa.binary()) if size is None else column(size.astype(np.int32))
+    return pa.RecordBatch.from_arrays([kinds.take(which), terms.take(which), pa.array(doc[first]), pa.array(n), column(past), column(start.astype(np.int32)), lengths], schema=_SCHEMA)
+
+
+def _strings(words: pa.BinaryArray, kind: np.dtype) -> pa.StringArray:
+    """Words that are code points of one type, as strings."""
+    ends = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1] // kind.itemsize
+    codes = np.frombuffer(words.buffers()[2], kind, ends[-1])
+    size = 1 + (codes >= 0x80).astype(np.int32) + (codes.astype(np.uint32) >= 0x800) + (codes.astype(np.uint32) >= 0x10000)
+    text = codes.tobytes().decode("latin-1" if kind.itemsize == 1 else "utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass")
+    return pa.StringArray.from_buffers(len(words), pa.py_buffer(np.concatenate(([0], np.cumsum(size)))[ends].astype(np.int32)), pa.py_buffer(text))
+
+
+def _word_lists(docs: DataFrame, word_chars: str, ignore_case: bool) -> DataFrame:
+    """Rows of the index for the words of slices of documents: a row for each word of a slice."""
+
+    def run(batches):
+        table = local.char_table(word_chars)
+        for b in batches:
+            for c in local.sliced(b, 1, SLICE_BYTES, b.num_rows):
+                texts = c.column(1).to_pylist()
+                codes = local.codes_of("".join(texts))
+                first = np.concatenate(([0], np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))))
+                inside = np.concatenate(([False], table[codes], [False]))
+                cut = first[1:-1]
+                cut = np.unique(cut[(cut > 0) & (cut < len(codes))])
+                cut = cut[inside[cut] & inside[cut + 1]]  # a word at the end of a text and one at the next one's beginning
+                at = np.flatnonzero(inside[1:] & ~inside[:-1])
+                to = np.flatnonzero(~inside[1:] & inside[:-1])
+                if len(cut):
+                    at, to = np.sort(np.concatenate((at, cut))), np.sort(np.concatenate((to, cut)))
+                if not len(at):
+                    continue
+                letters = np.ascontiguousarray(codes[inside[1:-1]])
+                ends = np.concatenate(([0], np.cumsum(to - at))) * letters.itemsize
+                words = pa.BinaryArray.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(letters)]).dictionary_encode()
+                keys = words.indices.to_numpy()
+                terms = _strings(words.dictionary, letters.dtype)
+                if ignore_case:
+                    lower = [t.lower() for t in terms.to_pylist()]
+                    folded = {t: k for k, t in enumerate(dict.fromkeys(lower))}
+                    keys, terms = np.array([folded[t] for t in lower], np.int64)[keys], pa.array(folded, pa.string())
+                row = np.searchsorted(first, at, "right") - 1
+                doc = c.column(0).to_numpy()[row]
+                yield _packed(keys, doc, at - first[row], to - at if ignore_case else None, pa.array(["word"] * len(terms)), terms)
+
+    rows = docs.select("doc_id", "text").where(F.col("text").isNotNull() & F.col("doc_id").isNotNull())
+    return rows.mapInArrow(run, LISTS)
+
+
+def _lists(postings: DataFrame) -> DataFrame:
+    """Rows of the index for postings of any kind, those of a term in a batch in one."""
+
+    def run(batches):
+        for b in batches:
+            both = pa.StructArray.from_arrays([b.column(0), b.column(1)], names=["kind", "term"])
+            places = {(x["kind"], x["term"]): None for x in both.to_pylist()}
+            keys = {x: k for k, x in enumerate(places)}
+            number = np.fromiter((keys[x["kind"], x["term"]] for x in both.to_pylist()), np.int64, b.num_rows)
+            doc, start, end = (b.column(i).to_numpy() for i in (2, 3, 4))
+            if len(number):
+                yield _packed(number, doc, start, end - start + 1, pa.array([k for k, _ in keys], pa.string()), pa.array([x for _, x in keys], pa.string()))
+
+    return postings.select("kind", "term", *COLS).where("doc_id is not null").mapInArrow(run, LISTS)
+
+
+def _unpacked(lists: DataFrame) -> DataFrame:
+    """The postings of rows of an index."""
+
+    def run(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, 64):
+                c = b.slice(at, 64)
+                n = c.column(3).to_numpy()
+                row = pa.array(np.repeat(np.arange(len(n)), n))
+                docs, starts, ends = (np.concatenate(x) for x in zip(*(_of_row(*x) for x in zip(*(c.column(i).to_pylist() for i in (1, 2, 3, 4, 5, 6)), strict=True)), strict=True))
+                yield pa.RecordBatch.from_arrays([c.column(0).take(row), c.column(1).take(row), pa.array(docs), pa.array(starts), pa.array(ends)], schema=_POSTINGS)
+
+    return lists.mapInArrow(run, POSTINGS)
+
+
+def _of_row(term: str, first: int, n: int, docs: bytes, starts: bytes, lengths: bytes | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Documents, starts and ends of a row's postings."""
+    start = np.frombuffer(starts, np.int32).astype(np.int64)
+    past = np.frombuffer(docs, np.uint32 if len(docs) == 4 * n else np.int64).astype(np.int64)
+    return first + past, start, start + (np.frombuffer(lengths, np.int32) if lengths is not None else len(term)) - 1
+
+
+def lists_of(docs: DataFrame, word_chars: str = markup.WORD_CHARS, ignore_case: bool = False, with_markup: bool = True) -> DataFrame:
+    """All rows of an index of documents: words, tags, elements and whole files."""
+    out = _word_lists(docs, word_chars, ignore_case)
     named = docs.where(F.length("text") > 0)
-    out = out.unionAll(named.select(F.lit("file"), "name", "doc_id", F.lit(0).cast("long"), (F.length("text") - 1).cast("long")))
+    rest = named.select(F.lit("file").alias("kind"), F.col("name").alias("term"), "doc_id", F.lit(0).cast("long").alias("start_pos"), (F.length("text") - 1).cast("long").alias("end_pos"))
     if with_markup:
         marks = markup.scan_tags(docs)
-        out = out.unionAll(marks.select("kind", F.col("name").alias("term"), *COLS))
-        out = out.unionAll(markup.elements(marks, with_name=True).select(F.lit("element"), "name", *COLS))
-    return out
+        rest = rest.unionAll(marks.select("kind", F.col("name").alias("term"), *COLS))
+        rest = rest.unionAll(markup.elements(marks, with_name=True).select(F.lit("element"), "name", *COLS))
+    return out.unionAll(_lists(rest))
 
 
 def build_index(docs: DataFrame, path: str, stop_words: DataFrame | None = None, word_chars: str = markup.WORD_CHARS, ignore_case: bool = False, with_markup: bool = True, partitions: int | None = None, with_texts: bool = False) -> Index:
@@ -52,7 +178,7 @@ def build_index(docs: DataFrame, path: str, stop_words: DataFrame | None = None,
     """
     spark = docs.sparkSession
     # The range shuffle reads its input twice, to find the ranges and to cut by them: texts are scanned once.
-    postings = materialise(postings_of(docs, word_chars, ignore_case, with_markup), "postings")
+    postings = materialise(lists_of(docs, word_chars, ignore_case, with_markup), "postings")
     try:
         if with_texts:
             docs.select("doc_id", "name", "text").write.parquet(f"{path}/texts")
@@ -70,12 +196,12 @@ def _write(docs: DataFrame, postings: DataFrame, path: str, stop_words: DataFram
     if stop_words is not None:
         # Stop words stay known as terms, with how many postings they would have had.
         stopped = postings.where("kind = 'word'").join(F.broadcast(stop_words) if stop_words.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS else stop_words, "term", "left_semi")
-        stopped.groupBy("term").agg(F.count(F.lit(1)).alias("n")).write.parquet(f"{path}/stop_words")
+        stopped.groupBy("term").agg(F.sum("n").alias("n")).write.parquet(f"{path}/stop_words")
         postings = _without(postings, stop_words)
     else:
         spark.createDataFrame([], "term string, n long").write.parquet(f"{path}/stop_words")
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sorted_ = postings.repartitionByRange(n, "kind", "term", "doc_id").sortWithinPartitions("kind", "term", "doc_id", "start_pos")
+    sorted_ = postings.repartitionByRange(n, "kind", "term", "doc_id").sortWithinPartitions("kind", "term", "doc_id")
     sorted_.write.partitionBy("kind").option("compression", "zstd").parquet(f"{path}/postings")
     docs.select("doc_id", "name", F.length("text").cast("long").alias("length")).write.parquet(f"{path}/docs")
     meta = spark.range(1).select(F.lit(FORMAT).alias("format_version"), F.lit(word_chars).alias("word_chars"), F.lit(ignore_case).alias("ignore_case"))
@@ -133,7 +259,7 @@ class Index:
         if meta.format_version != FORMAT:
             raise ValueError(f"{path} has index format {meta.format_version}, not {FORMAT}")
         self.spark, self.path, self.meta = spark, path, meta
-        self.postings = spark.read.schema(POSTINGS).parquet(f"{path}/postings")
+        self.lists = spark.read.schema(LISTS).parquet(f"{path}/postings").select(*_SCHEMA.names)  # kinds are folders, so read last
         self.docs = spark.read.parquet(f"{path}/docs")
         self.stop_words = spark.read.parquet(f"{path}/stop_words")
 
@@ -141,12 +267,17 @@ class Index:
         """The documents themselves, of an index that keeps them."""
         return self.spark.read.schema("doc_id long, name string, text string").parquet(f"{self.path}/texts")
 
+    @property
+    def postings(self) -> DataFrame:
+        """All postings: (kind, term, doc_id, start_pos, end_pos)."""
+        return _unpacked(self.lists)
+
     def lookup(self, kind: str, term: str) -> DataFrame:
         """Regions of a term; a trailing * looks up all terms that begin with what precedes it."""
-        own = self.postings.where(F.col("kind") == kind)
+        own = self.lists.where(F.col("kind") == kind)
         if term.endswith("*"):
-            return own.where(F.col("term").startswith(term[:-1])).select(*COLS).distinct()
-        return own.where(F.col("term") == term).select(*COLS)
+            return _unpacked(own.where(F.col("term").startswith(term[:-1]))).select(*COLS).distinct()
+        return _unpacked(own.where(F.col("term") == term)).select(*COLS)
 
     def leaf(self, op: str, name: str = "*") -> DataFrame:
         if op == "elements":
@@ -156,16 +287,19 @@ class Index:
 
     def range(self, first: str, last: str, kind: str = "word") -> DataFrame:
         """Postings of terms from the prefix first to the prefix last, all extensions of last included."""
+        return _unpacked(self._range(first, last, kind))
+
+    def _range(self, first: str, last: str, kind: str) -> DataFrame:
         t = F.col("term")
-        own = self.postings.where(F.col("kind") == kind)
+        own = self.lists.where(F.col("kind") == kind)
         # term >= first reaches Parquet's statistics; so does the bound on the left part of term.
         own = own.where(t >= first) if first else own
         return own.where(F.substring(t, 1, len(last)) <= last) if last else own
 
     def terms(self, first: str = "", last: str | None = None, kind: str = "word") -> DataFrame:
         """Terms in order: of a range, or exactly one if only first is given; stop words are marked."""
-        found = self.range(first, last, kind) if last is not None or not first else self.postings.where((F.col("kind") == kind) & (F.col("term") == first))
-        out = found.groupBy("term").agg(F.count(F.lit(1)).alias("postings")).withColumn("is_stop_word", F.lit(False))
+        found = self._range(first, last, kind) if last is not None or not first else self.lists.where((F.col("kind") == kind) & (F.col("term") == first))
+        out = found.groupBy("term").agg(F.sum("n").alias("postings")).withColumn("is_stop_word", F.lit(False))
         if kind == "word":
             s = self.stop_words
             if last is not None or not first:
@@ -189,19 +323,40 @@ class Index:
 
         One after the other, the rows of a term are its entry in all documents.
         """
-        # By term and document, so that no group holds all postings of a term.
-        p = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("start_pos", "end_pos"))), lambda x: F.concat(F.lit("("), x["start_pos"], F.lit(","), x["end_pos"], F.lit(")"))), "")
-        return self.postings.where(F.col("kind") == kind).groupBy("term", "doc_id").agg(p.alias("p")).select("term", "doc_id", F.concat("term", F.lit(":["), "p", F.lit("]")).alias("line"))
+        own = self.lists.where(F.col("kind") == kind)
+        if kind != "word" or self.docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("k")).where("k > 1").limit(1).count():
+            # By term and document, so that no group holds all postings of a term.
+            p = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("start_pos", "end_pos"))), lambda x: F.concat(F.lit("("), x["start_pos"], F.lit(","), x["end_pos"], F.lit(")"))), "")
+            return _unpacked(own).groupBy("term", "doc_id").agg(p.alias("p")).select("term", "doc_id", F.concat("term", F.lit(":["), "p", F.lit("]")).alias("line"))
+        # The words of a document are in one slice, so all that a term has in it is in one row.
+        schema = pa.schema([("term", pa.string()), ("doc_id", pa.int64()), ("line", pa.string())])
+
+        def run(batches):
+            for batch in batches:
+                for k in range(0, batch.num_rows, 1024):
+                    b, counts, at, lines = batch.slice(k, 1024), [], [], []
+                    for term, *row in zip(*(b.column(i).to_pylist() for i in (1, 2, 3, 4, 5, 6)), strict=True):
+                        docs, starts, ends = _of_row(term, *row)
+                        cuts = np.flatnonzero(np.concatenate(([True], docs[1:] != docs[:-1])))
+                        each = [f"({s},{e})" for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
+                        bounds = [*cuts.tolist(), len(each)]
+                        lines += [f"{term}:[{''.join(each[x:y])}]" for x, y in zip(bounds, bounds[1:], strict=False)]
+                        counts.append(len(cuts))
+                        at.append(docs[cuts])
+                    terms = b.column(1).take(pa.array(np.repeat(np.arange(len(counts)), counts)))
+                    yield pa.RecordBatch.from_arrays([terms, pa.array(np.concatenate(at)), pa.array(lines, pa.string())], schema=schema)
+
+        return own.mapInArrow(run, "term string, doc_id long, line string")
 
     def weights(self, kind: str = "word") -> DataFrame:
         """(term, postings, share): each term's part of the index, in per cent."""
-        n = self.postings.where(F.col("kind") == kind).groupBy("term").agg(F.count(F.lit(1)).alias("postings"))
+        n = self.lists.where(F.col("kind") == kind).groupBy("term").agg(F.sum("n").alias("postings"))
         total = n.agg(F.sum("postings").alias("total"))  # one row
         return n.crossJoin(F.broadcast(total)).select("term", "postings", (100.0 * F.col("postings") / F.col("total")).alias("share"))
 
     def stop_word_candidates(self, limit: int, kind: str = "word") -> DataFrame:
         """Terms so frequent that the whole index holds their postings fewer than limit times over."""
-        n = self.postings.where(F.col("kind") == kind).groupBy("term").agg(F.count(F.lit(1)).alias("postings"))
+        n = self.lists.where(F.col("kind") == kind).groupBy("term").agg(F.sum("n").alias("postings"))
         total = n.agg(F.sum("postings").alias("total"))
         return n.crossJoin(F.broadcast(total)).where(F.floor(F.col("total") / F.col("postings")) < limit).select("term", "postings")
 
@@ -217,7 +372,7 @@ class Index:
         the index was built; percent is the kind's part of all postings.
         """
         size = self.docs.agg(F.count(F.lit(1)).alias("documents"), F.sum("length").alias("characters"))  # one row
-        held = self.postings.groupBy("kind", "term").agg(F.count(F.lit(1)).alias("n")).withColumn("stop", F.lit(0))
+        held = self.lists.groupBy("kind", "term").agg(F.sum("n").alias("n")).withColumn("stop", F.lit(0))
         held = held.unionAll(self.stop_words.select(F.lit("word"), "term", "n", F.lit(1)))
         kinds = held.groupBy("kind").agg(F.count(F.lit(1)).alias("terms"), F.sum("n").alias("postings"), F.sum("stop").alias("stop_words"))
         total = kinds.agg(F.sum("postings").alias("total"))  # one row

@@ -451,3 +451,26 @@ def test_documents_that_share_an_id(spark):
     docs = spark.createDataFrame([(1, "1", "ab"), (1, "1", "zzz b"), (2, "2", "a")], "doc_id long, name string, text string")
     assert sorted(map(tuple, sl.search(docs, '"a" .. "b"').collect())) == [(1, 0, 1)]
     assert sorted(map(tuple, sl.search(docs, '"zz" containing "b"').collect())) == [(1, 0, 1), (1, 1, 2)]
+
+
+def test_index_rows_are_lists(spark, tmp_path, monkeypatch):
+    """A term's postings in a slice of documents are one row; dumping words shuffles nothing, if ids tell documents apart."""
+    from spanloom.sources import index as ix
+
+    texts = ["to be or not to be", "", "été be 𝄞to be", "İx be", "to", "be" * 3 + " be"]
+    docs = docs_of(spark, *texts).coalesce(1)
+    i = build_index(docs, f"{tmp_path}/a", with_markup=False)
+    assert [(r.n, r.doc_id) for r in i.lists.where("kind = 'word' and term = 'be'").collect()] == [(6, 0)]
+    want = {(t, d, s, s + len(t) - 1) for d, x in enumerate(texts) for t, s in ((w.group(), w.start()) for w in re.finditer(f"[{markup.WORD_CHARS}]+", x))}
+    assert {(r.term, r.doc_id, r.start_pos, r.end_pos) for r in i.postings.where("kind = 'word'").collect()} == want
+    assert "Exchange" not in i.dump()._jdf.queryExecution().executedPlan().toString()
+    lines = {(r.term, r.doc_id): r.line for r in i.dump().collect()}
+    assert lines["be", 0] == "be:[(3,4)(16,17)]" and len(lines) == len({x[:2] for x in want})
+    monkeypatch.setattr(ix, "SLICE_BYTES", 4)  # a row for each document
+    j = build_index(docs, f"{tmp_path}/b", with_markup=False)
+    assert {(r.term, r.doc_id, r.start_pos, r.end_pos) for r in j.postings.where("kind = 'word'").collect()} == want
+    assert j.lists.where("term = 'be'").count() == 4 and {(r.term, r.postings) for r in j.terms("", "").collect()} == {(r.term, r.postings) for r in i.terms("", "").collect()}
+    folded = build_index(docs, f"{tmp_path}/c", ignore_case=True, with_markup=False)
+    assert {(r.term, r.start_pos, r.end_pos) for r in folded.lookup("word", "*").join(folded.postings.where("kind = 'word' and doc_id = 3"), ["doc_id", "start_pos", "end_pos"]).collect()} == {("İx".lower(), 0, 1), ("be", 3, 4)}
+    twice = build_index(docs.unionAll(docs), f"{tmp_path}/d", with_markup=False)
+    assert {(r.term, r.doc_id): r.line for r in twice.dump().collect()}["be", 0] == "be:[(3,4)(3,4)(16,17)(16,17)]"
