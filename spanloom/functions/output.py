@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -92,18 +90,14 @@ def long(found: DataFrame, docs: DataFrame) -> DataFrame:
 _FIELDS = {"f": "file", "s": "start_pos", "e": "end_pos", "l": "length", "i": "file_start_pos", "j": "file_end_pos", "r": "region_text", "n": "ordinal"}
 
 
-def format_column(style: str) -> Column:
-    """A format as one string column over the columns of long().
-
-    %f %s %e %l %i %j %r %n are the fields, %% is a per cent sign, and backslash escapes are known.
-    """
+def _parts(style: str) -> list[tuple[bool, str]]:
+    """A format as plain text (False, text) and fields (True, column of long())."""
     parts, plain, at = [], "", 0
     while at < len(style):
         c = style[at : at + 2]
         if c[0] == "%" and c[1:] in _FIELDS and c[1:]:
-            parts += [F.lit(plain)] if plain else []
+            parts += [(False, plain), (True, _FIELDS[c[1]])]
             plain = ""
-            parts.append(F.col(_FIELDS[c[1]]).cast("string"))
             at += 2
         elif c[0] in "%\\" and c[1:] in (_UNESCAPE if c[0] == "\\" else "%") and c[1:]:
             plain += _UNESCAPE[c[1]]
@@ -113,7 +107,15 @@ def format_column(style: str) -> Column:
         else:
             plain += c[0]
             at += 1
-    return F.concat(*parts, F.lit(plain))
+    return [*parts, (False, plain)]
+
+
+def format_column(style: str) -> Column:
+    """A format as one string column over the columns of long().
+
+    %f %s %e %l %i %j %r %n are the fields, %% is a per cent sign, and backslash escapes are known.
+    """
+    return F.concat(*[F.col(x).cast("string") if field else F.lit(x) for field, x in _parts(style)])
 
 
 def formatted(found: DataFrame, docs: DataFrame, style: str = "%r") -> DataFrame:
@@ -131,22 +133,35 @@ def filtered(found: DataFrame, docs: DataFrame, style: str = "%r") -> DataFrame:
 
     A format with %n needs seq in docs too (model.with_offsets): regions are numbered over all documents.
     """
+    parts = _parts(style)
     merged = sets.concat(found, adjacent=False)
-    own = merged.join(docs.select("doc_id", F.col("name").alias("file"), "text", F.col("base")), "doc_id")
-    if re.search(r"(?<!%)(?:%%)*%n", style):
-        numbers = numbered(merged, docs).select("doc_id", "ordinal", F.col("file_start_pos").alias("start_pos"))
-        own = own.join(numbers, ["doc_id", "start_pos"])
+    if (True, "ordinal") in parts:
+        merged = numbered(merged, docs).select("doc_id", F.col("file_start_pos").alias("start_pos"), F.col("file_end_pos").alias("end_pos"), "ordinal")
     else:
-        own = own.withColumn("ordinal", F.lit(None).cast("long"))
-    own = own.select("doc_id", "text", "ordinal", "file", S().alias("file_start_pos"), E().alias("file_end_pos"), (S() + F.col("base")).alias("start_pos"), (E() + F.col("base")).alias("end_pos"), (E() - S() + 1).alias("length"), F.substring("text", (S() + 1).cast("int"), (E() - S() + 1).cast("int")).alias("region_text"))
-    w = Window.partitionBy("doc_id").orderBy("file_start_pos")
-    last = F.coalesce(F.lag("file_end_pos").over(w), F.lit(-1))
-    own = own.withColumn("from", last + 1)
-    own = own.withColumn("piece", F.concat(F.substring("text", (F.col("from") + 1).cast("int"), (F.col("file_start_pos") - F.col("from")).cast("int")), format_column(style)))
-    parts = own.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("file_start_pos", "piece"))).alias("p"), F.max("file_end_pos").alias("end"))
-    out = docs.select("doc_id", "text").join(parts, "doc_id", "left")
-    rest = F.substring("text", (F.col("end") + 2).cast("int"), F.length("text"))
-    return out.select("doc_id", F.when(F.col("p").isNull(), F.col("text")).otherwise(F.concat(F.array_join(F.transform("p", lambda x: x["piece"]), ""), rest)).alias("text"))
+        merged = merged.withColumn("ordinal", F.lit(None).cast("long"))
+    # A text meets the regions of its document as one row: it isn't copied for each.
+    own = merged.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start_pos", "end_pos", "ordinal"))).alias("p"))  # bounded by what one text holds
+    rows = docs.select("doc_id", "text", "name", "base").join(own, "doc_id", "left").select("doc_id", "text", "name", "base", "p")
+    schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string())])
+
+    def replaced(text: str, name: str, base: int, p: list[dict]) -> str:
+        out, at = [], 0
+        for r in p:
+            s, e = r["start_pos"], r["end_pos"]
+            fields = {"file": name, "start_pos": s + base, "end_pos": e + base, "length": e - s + 1, "file_start_pos": s, "file_end_pos": e, "region_text": text[s : e + 1], "ordinal": r["ordinal"]}
+            out.append(text[at:s])
+            out += [str(fields[x]) if field else x for field, x in parts]
+            at = e + 1
+        return "".join(out) + text[at:]
+
+    def run(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                c = b.slice(at, 256)
+                texts = [replaced(text, *rest, p) if p and text is not None else text for text, *rest, p in zip(*(c.column(i).to_pylist() for i in (1, 2, 3, 4)), strict=True)]
+                yield pa.RecordBatch.from_arrays([c.column(0), pa.array(texts, pa.string())], schema=schema)
+
+    return rows.mapInArrow(run, "doc_id long, text string")
 
 
 def count(found: DataFrame) -> DataFrame:

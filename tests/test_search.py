@@ -474,3 +474,12 @@ def test_index_rows_are_lists(spark, tmp_path, monkeypatch):
     assert {(r.term, r.start_pos, r.end_pos) for r in folded.lookup("word", "*").join(folded.postings.where("kind = 'word' and doc_id = 3"), ["doc_id", "start_pos", "end_pos"]).collect()} == {("İx".lower(), 0, 1), ("be", 3, 4)}
     twice = build_index(docs.unionAll(docs), f"{tmp_path}/d", with_markup=False)
     assert {(r.term, r.doc_id): r.line for r in twice.dump().collect()}["be", 0] == "be:[(3,4)(3,4)(16,17)(16,17)]"
+
+
+def test_filter_meets_each_text_once(spark):
+    """No text is shuffled or sorted with each of its regions."""
+    docs = docs_of(spark, "ab abc", "", "x", "𝄞ab")
+    got = output.filtered(sl.search(docs, '"ab"'), with_offsets(docs), "<%f|%s-%e|%l|%i-%j|%r|%%>")
+    assert {r.doc_id: r.text for r in got.collect()} == {0: "<0|0-1|2|0-1|ab|%> <0|3-4|2|3-4|ab|%>c", 1: "", 2: "x", 3: "𝄞<3|8-9|2|1-2|ab|%>"}
+    plan = output.filtered(sl.search(docs, '"ab"'), docs.selectExpr("*", "0L base"), "%r")._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"Window[^\n]*text", plan)
