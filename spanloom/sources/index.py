@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -144,19 +145,29 @@ def _unpacked(lists: DataFrame) -> DataFrame:
         for b in batches:
             for at in range(0, b.num_rows, 64):
                 c = b.slice(at, 64)
-                n = c.column(3).to_numpy()
-                row = pa.array(np.repeat(np.arange(len(n)), n))
-                docs, starts, ends = (np.concatenate(x) for x in zip(*(_of_row(*x) for x in zip(*(c.column(i).to_pylist() for i in (1, 2, 3, 4, 5, 6)), strict=True)), strict=True))
-                yield pa.RecordBatch.from_arrays([c.column(0).take(row), c.column(1).take(row), pa.array(docs), pa.array(starts), pa.array(ends)], schema=_POSTINGS)
+                row, docs, starts, ends = _of_rows(c)
+                which = pa.array(row)
+                yield pa.RecordBatch.from_arrays([c.column(0).take(which), c.column(1).take(which), pa.array(docs), pa.array(starts), pa.array(ends)], schema=_POSTINGS)
 
     return lists.mapInArrow(run, POSTINGS)
 
 
-def _of_row(term: str, first: int, n: int, docs: bytes, starts: bytes, lengths: bytes | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Documents, starts and ends of a row's postings."""
-    start = np.frombuffer(starts, np.int32).astype(np.int64)
-    past = np.frombuffer(docs, np.uint32 if len(docs) == 4 * n else np.int64).astype(np.int64)
-    return first + past, start, start + (np.frombuffer(lengths, np.int32) if lengths is not None else len(term)) - 1
+def _of_rows(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row, document, start and end of all postings of rows of an index."""
+    n = b.column(3).to_numpy()
+    row = np.repeat(np.arange(len(n)), n)
+    docs, starts, lengths = (b.column(i).to_pylist() for i in (4, 5, 6))
+    if all(len(x) == 4 * k for x, k in zip(docs, n.tolist(), strict=True)):
+        past = np.frombuffer(b"".join(docs), np.uint32).astype(np.int64)
+    else:
+        past = np.concatenate([np.frombuffer(x, np.uint32 if len(x) == 4 * k else np.int64).astype(np.int64) for x, k in zip(docs, n.tolist(), strict=True)])
+    start = np.frombuffer(b"".join(starts), np.int32).astype(np.int64)
+    size = pc.utf8_length(b.column(1)).to_numpy(zero_copy_only=False).astype(np.int64)[row]
+    own = b"".join(x for x in lengths if x is not None)
+    if own:
+        given = np.array([x is not None for x in lengths])[row]
+        size[given] = np.frombuffer(own, np.int32)
+    return row, b.column(2).to_numpy()[row] + past, start, start + size - 1
 
 
 def lists_of(docs: DataFrame, word_chars: str = markup.WORD_CHARS, ignore_case: bool = False, with_markup: bool = True) -> DataFrame:
@@ -334,17 +345,14 @@ class Index:
         def run(batches):
             for batch in batches:
                 for k in range(0, batch.num_rows, 1024):
-                    b, counts, at, lines = batch.slice(k, 1024), [], [], []
-                    for term, *row in zip(*(b.column(i).to_pylist() for i in (1, 2, 3, 4, 5, 6)), strict=True):
-                        docs, starts, ends = _of_row(term, *row)
-                        cuts = np.flatnonzero(np.concatenate(([True], docs[1:] != docs[:-1])))
-                        each = [f"({s},{e})" for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
-                        bounds = [*cuts.tolist(), len(each)]
-                        lines += [f"{term}:[{''.join(each[x:y])}]" for x, y in zip(bounds, bounds[1:], strict=False)]
-                        counts.append(len(cuts))
-                        at.append(docs[cuts])
-                    terms = b.column(1).take(pa.array(np.repeat(np.arange(len(counts)), counts)))
-                    yield pa.RecordBatch.from_arrays([terms, pa.array(np.concatenate(at)), pa.array(lines, pa.string())], schema=schema)
+                    b = batch.slice(k, 1024)
+                    row, docs, starts, ends = _of_rows(b)
+                    new = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (docs[1:] != docs[:-1]))))
+                    each = [f"({s},{e})" for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
+                    terms = b.column(1).take(pa.array(row[new]))
+                    bounds = [*new.tolist(), len(each)]
+                    lines = [f"{term}:[{''.join(each[x:y])}]" for term, x, y in zip(terms.to_pylist(), bounds, bounds[1:], strict=False)]
+                    yield pa.RecordBatch.from_arrays([terms, pa.array(docs[new]), pa.array(lines, pa.string())], schema=schema)
 
         return own.mapInArrow(run, "term string, doc_id long, line string")
 
